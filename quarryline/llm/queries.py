@@ -4,16 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+import public_tokenizers
+
+from . import bpe, decontam, neardup, sharding
 from .common import table
 
+#: The vocabulary of op6; a parameter of the operator.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op4_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
 
+def op6_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), 8)
+
+
 QUERIES = {
     "op4_minhash_hamming": op4_minhash_hamming,
+    "op6_bpe_backtracking": op6_bpe_backtracking,
+    "op8_suffix_automaton": op8_suffix_automaton,
+    "op10_hilbert_shards": op10_hilbert_shards,
 }
 
 ORACLES: dict[str, str] = {}
