@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, decontam, neardup, sharding
+from . import bpe, decontam, neardup, quality, sharding
 from .common import table
 
 #: The vocabulary of op6; a parameter of the operator.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
@@ -30,6 +34,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_robust_outliers": op1_robust_outliers,
     "op4_minhash_hamming": op4_minhash_hamming,
     "op6_bpe_backtracking": op6_bpe_backtracking,
     "op8_suffix_automaton": op8_suffix_automaton,
