@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, decontam, neardup, quality, sharding
+from . import bpe, decontam, lattice, neardup, quality, sharding
 from .common import table
 
 #: The vocabulary of op6; a parameter of the operator.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: The pieces of op3; likewise.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op4_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
@@ -35,6 +41,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
+    "op3_subword_lattice": op3_subword_lattice,
     "op4_minhash_hamming": op4_minhash_hamming,
     "op6_bpe_backtracking": op6_bpe_backtracking,
     "op8_suffix_automaton": op8_suffix_automaton,
