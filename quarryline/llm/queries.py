@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, decontam, lattice, neardup, quality, sharding
+from . import bpe, decontam, lattice, linededup, neardup, quality, sharding
 from .common import table
 
 #: The vocabulary of op6; a parameter of the operator.
@@ -35,6 +35,10 @@ def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), 8)
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op4_minhash_hamming": op4_minhash_hamming,
     "op6_bpe_backtracking": op6_bpe_backtracking,
     "op8_suffix_automaton": op8_suffix_automaton,
+    "op9_deletion_neighbourhood": op9_deletion_neighbourhood,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
 
