@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, decontam, lattice, linededup, neardup, quality, sharding
+from . import bpe, decontam, htmltext, lattice, linededup, neardup, quality, sharding
 from .common import table
 
 #: The vocabulary of op6; a parameter of the operator.
@@ -31,6 +31,10 @@ def op6_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op3_subword_lattice": op3_subword_lattice,
     "op4_minhash_hamming": op4_minhash_hamming,
     "op6_bpe_backtracking": op6_bpe_backtracking,
+    "op7_line_blocks": op7_line_blocks,
     "op8_suffix_automaton": op8_suffix_automaton,
     "op9_deletion_neighbourhood": op9_deletion_neighbourhood,
     "op10_hilbert_shards": op10_hilbert_shards,
