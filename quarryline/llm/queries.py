@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, decontam, htmltext, lattice, linededup, neardup, quality, sharding
+from . import bpe, decontam, edits, htmltext, lattice, licenses, linededup, neardup, quality, sharding
 from .common import table
 
 #: The vocabulary of op6; a parameter of the operator.
@@ -19,6 +19,10 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op2_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.counts(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op3_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"), PIECES)
 
@@ -27,6 +31,10 @@ def op4_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(licenses.laid_out(table(spark, sf_dir, "documents")))
+
+
 def op6_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -49,8 +57,10 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
+    "op2_edit_aware_counts": op2_edit_aware_counts,
     "op3_subword_lattice": op3_subword_lattice,
     "op4_minhash_hamming": op4_minhash_hamming,
+    "op5_licence_scan": op5_licence_scan,
     "op6_bpe_backtracking": op6_bpe_backtracking,
     "op7_line_blocks": op7_line_blocks,
     "op8_suffix_automaton": op8_suffix_automaton,
