@@ -235,10 +235,11 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(each, "doc_id long, decoded string")
 
 
-def digests(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of a round trip through encode and decode."""
+def digests(documents: DataFrame, path: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of a round trip through encode and decode;
+    with ids also the ids themselves."""
     both = encode(documents, path, decoded=True)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if ids else []))

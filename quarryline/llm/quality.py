@@ -234,9 +234,8 @@ def quality(documents: DataFrame, cutoff: float = CHI2_9999) -> DataFrame:
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
-    """documents without the rows that quality() rejects, columns as given. Rows with the same
-    doc_id, text, lang and source have the same verdict."""
-    named = cut(documents.withColumn("_row", F.monotonically_increasing_id()))
-    ids = named.withColumn("doc_id", F.col("_row"))
-    bad = quality(ids).where(~F.col("kept")).select(F.col("doc_id").alias("_row"))
-    return named.join(bad, "_row", "left_anti").select(*documents.columns)
+    """documents without the rows that quality() rejects, columns as given. Rows are told apart by
+    a hash of doc_id, text, lang and source, so equal rows share their verdict."""
+    name = F.xxhash64("doc_id", "text", "lang", "source")
+    bad = quality(documents.select(name.alias("doc_id"), "text", "lang", "source")).where(~F.col("kept"))
+    return documents.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), name == F.col("_bad"), "left_anti")
