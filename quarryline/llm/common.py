@@ -29,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, so that later steps neither
     repeat the work nor depend on any executor's disk."""
     path = f"{shared_dir(df.sparkSession)}/quarryline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

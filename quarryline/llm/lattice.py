@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Words in a block of documents at which it closes.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 22
 ROUNDS = 1
 #: Added to each piece's expected count, so that none becomes impossible.
 ADDED = 0.1
@@ -151,21 +151,21 @@ def expected(pieces: Pieces, words: list[bytes], counts: np.ndarray) -> np.ndarr
     return out
 
 
-BLOCK = "block string, doc_ids binary, held binary, starts binary, columns binary, times binary, words array<binary>, train array<long>"
+BLOCK = "block long, doc_ids binary, held binary, starts binary, columns binary, times binary, words array<binary>, train array<long>"
 
 
 def _blocks(documents: DataFrame, block_words: int) -> DataFrame:
     """One row for each block of documents: see the module's text. held: 1 for held-out rows."""
     def each(batches):
         task = TaskContext.get()
-        name, done = f"{task.partitionId() if task else 0}", 0
+        name, done = (task.partitionId() if task else 0) << 32, 0
         ids: dict[bytes, int] = {}
         doc_ids, held, starts, columns, times = [], [], [0], [], []
         train = np.zeros(0, np.int64)
 
         def closed():
             yield pa.RecordBatch.from_arrays([
-                pa.array([f"{name}-{done}"]), *(pa.array([np.concatenate(x).astype(t).tobytes()], pa.binary()) for x, t in (
+                pa.array([name + done]), *(pa.array([np.concatenate(x).astype(t).tobytes()], pa.binary()) for x, t in (
                     ([np.array(doc_ids, np.int64)], "<i8"), ([np.array(held, np.uint8)], "u1"), ([np.array(starts)], "<i8"),
                     ([np.zeros(0, np.int64), *columns], "<i4"), ([np.zeros(0, np.int64), *times], "<i4"))),
                 pa.array([list(ids)], pa.list_(pa.binary())), pa.array([train[: len(ids)].tolist()], pa.list_(pa.int64()))],
