@@ -1,4 +1,6 @@
 """Registry of queries() and oracle_sql() for the operators of the library."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quarryline.plans import dialogues, facts, selection
+
+QUERIES = selection.QUERIES | dialogues.QUERIES | facts.QUERIES
+ORACLES: dict[str, str] = selection.ORACLES | dialogues.ORACLES | facts.ORACLES
