@@ -82,7 +82,7 @@ def seeded_families(spark, d):
 
 def group_exclusion(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    return S.without_groups(p, ["p_brand", "p_size"], p.where("p_retailprice > 1800")).select("p_partkey", "p_brand", "p_size")
+    return S.without_groups(p, ["p_brand", "p_size"], p.where("p_retailprice > 990")).select("p_partkey", "p_brand", "p_size")
 
 
 #: Prefixes of the identifiers from which an absent one is chosen.
@@ -110,7 +110,7 @@ def equally_spaced(spark, d):
 
 
 def unseen_values_anti(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name", X.family_split(F.col("p_brand")).alias("split"))
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_size").alias("p_name"), X.family_split(F.col("p_brand")).alias("split"))
     seen = p.where("split = 'train'").select(F.lower("p_name").alias("n")).distinct()
     return p.where("split = 'val'").join(seen, F.lower("p_name") == F.col("n"), "left_anti").select("p_partkey", "p_name")
 
@@ -156,14 +156,15 @@ ORACLES = {
     "repository_dedup": "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY 1",
     "seeded_representative": "SELECT p_brand, p_type, arg_min(p_partkey, sha256('3407:' || p_brand || ':' || p_type || ':' || p_partkey)) AS representative, count(*) AS n_members FROM part GROUP BY 1, 2",
     "seeded_families": "WITH s AS (SELECT DISTINCT source FROM documents) SELECT source, row_number() OVER (ORDER BY sha256('3407:' || source), source)::INT AS place FROM s QUALIFY place <= 8",
-    "group_exclusion": "SELECT p_partkey, p_brand, p_size FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND q.p_size = p.p_size AND q.p_retailprice > 1800)",
+    "group_exclusion": "SELECT p_partkey, p_brand, p_size FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND q.p_size = p.p_size AND q.p_retailprice > 990)",
     "absent_identifiers": f"""WITH s AS (SELECT s_nationkey AS nation, {_NAMES}[s_suppkey % 7 + 1] || (s_suppkey % 128 + 1) AS ref FROM supplier),
         pool AS (SELECT p || i AS ref FROM (SELECT unnest({_NAMES}) AS p), range(1, 129) r(i)), free AS (SELECT n_nationkey AS nation, ref FROM nation, pool)
         SELECT nation, arg_min(ref, sha256('3407:' || nation || ':' || ref)) AS ref FROM free WHERE (nation, ref) NOT IN (SELECT nation, ref FROM s) GROUP BY 1""",
     "first_n_distinct": "SELECT arg_min(p_brand, p_partkey) AS p_brand, min(p_partkey) AS first_at FROM part GROUP BY lower(p_brand) ORDER BY 2 LIMIT 12",
     "equally_spaced": """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rank, count(*) OVER () AS n FROM orders)
         SELECT DISTINCT o_orderkey, rank FROM o, range(0, 26) r(i) WHERE rank = round_even(i * (n - 1) / 25.0::DOUBLE, 0)::BIGINT""",
-    "unseen_values_anti": f"""SELECT p_partkey, p_name FROM part WHERE {split_sql('p_brand')} = 'val' AND lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE {split_sql('p_brand')} = 'train')""",
+    "unseen_values_anti": f"""WITH p AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_size AS p_name, {split_sql('p_brand')} AS split FROM part)
+        SELECT p_partkey, p_name FROM p WHERE split = 'val' AND lower(p_name) NOT IN (SELECT lower(p_name) FROM p WHERE split = 'train')""",
     "region_semi": "SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)",
     "key_coverage": """SELECT count(*) FILTER (l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL) AS matched, count(*) FILTER (d.doc_id IS NULL) AS missing, count(*) FILTER (l.doc_id IS NULL) AS extra
         FROM (SELECT DISTINCT doc_id FROM labels) l FULL JOIN (SELECT DISTINCT doc_id FROM documents) d USING (doc_id)""",
