@@ -84,11 +84,11 @@ def shards(documents: DataFrame, n_shards: int = 8) -> DataFrame:
     part, within = F.shiftrightunsigned("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     placed = placed.withColumns({"part": part, "within": within})
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))
-    # One row for each partition, and one row in all; neither grows with the data.
+    # One row for each partition.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    total = counts.agg(F.sum("n").alias("total"))
-    ranked = placed.join(F.broadcast(starts), "part").crossJoin(F.broadcast(total)).withColumn("rank", F.col("start") + F.col("within"))
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(every).alias("total"))
+    ranked = placed.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("within"))
     ranked = ranked.withColumn("shard", F.expr(f"(rank * {n_shards}) div total"))
     # The first rank of a shard s is the least r with r * n_shards >= s * total.
     first = F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")

@@ -94,10 +94,10 @@ def absent_identifiers(spark, d):
     s = table(spark, d, "supplier").select(
         F.col("s_nationkey").alias("nation"),
         F.concat(F.element_at(F.array(*map(F.lit, PREFIXES)), (F.col("s_suppkey") % 7 + 1).cast("int")), (F.col("s_suppkey") % 128 + 1).cast("string")).alias("ref"))
-    names = F.explode(F.array(*map(F.lit, PREFIXES))).alias("prefix")
-    pool = spark.range(1, 129).select("id", names).select(F.concat("prefix", F.col("id").cast("string")).alias("ref"))
-    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"))
-    free = nations.crossJoin(F.broadcast(pool)).join(s, ["nation", "ref"], "left_anti")  # 896 names for each nation
+    names = F.flatten(F.transform(F.array(*map(F.lit, PREFIXES)), lambda p: F.transform(
+        F.sequence(F.lit(1), F.lit(128)), lambda i: F.concat(p, i.cast("string")))))
+    pool = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.explode(names).alias("ref"))  # 896 names for each nation
+    free = pool.join(s, ["nation", "ref"], "left_anti")
     return free.groupBy("nation").agg(F.min_by("ref", X.seeded(3407, F.col("nation"), F.col("ref"))).alias("ref"))
 
 
