@@ -8,6 +8,7 @@ import public_tokenizers
 
 from . import bpe, decontam, edits, htmltext, lattice, licenses, linededup, neardup, quality, sharding
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 #: The vocabulary of op6; a parameter of the operator.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,5 +68,3 @@ QUERIES = {
     "op9_deletion_neighbourhood": op9_deletion_neighbourhood,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
-
-ORACLES: dict[str, str] = {}
