@@ -1,6 +1,6 @@
 """Registry of queries() and oracle_sql() for the operators of the library."""
 
-from quarryline.plans import dialogues, facts, selection
+from quarryline.plans import dialogues, facts, records, selection
 
-QUERIES = selection.QUERIES | dialogues.QUERIES | facts.QUERIES
-ORACLES: dict[str, str] = selection.ORACLES | dialogues.ORACLES | facts.ORACLES
+QUERIES = selection.QUERIES | dialogues.QUERIES | facts.QUERIES | records.QUERIES
+ORACLES: dict[str, str] = selection.ORACLES | dialogues.ORACLES | facts.ORACLES | records.ORACLES
