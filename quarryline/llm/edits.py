@@ -12,78 +12,98 @@ to the root are updated. Strings of special tokens are ordinary text here.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterable
+from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import NARROW, Encoder, Vocabulary, pre_token_pattern
-from .common import cut, rows
+from .bpe import CACHE, NARROW, Encoder, Vocabulary, pre_token_pattern
+from .common import cut
 
 #: Pre-tokens of a leaf.
 LEAF = 32
 
 
 class Counter:
-    """Cuts texts and counts the tokens of pieces, with the encoder's memory."""
+    """Cuts texts and counts the tokens of pieces, with a bounded memory of pieces."""
 
-    def __init__(self, path: str, patterns: list[str]):
-        self.encoder = Encoder(Vocabulary(path), patterns)
+    def __init__(self, path: str, patterns: Iterable[str]):
+        self.encoder = Encoder(Vocabulary(path), list(patterns))
+        self.sizes: dict[str, int] = {}
 
     def pieces(self, text: str) -> list[str]:
         e = self.encoder
         return e.wide(text) if e.beyond(text) else e.narrow(text)
 
     def tokens(self, pieces: list[str]) -> list[int]:
-        seen = self.encoder.seen
-        for p in pieces:
-            if p not in seen:
-                self.encoder.plain(p)
-        return [len(seen[p]) // 4 for p in pieces]
+        sizes = self.sizes
+        if len(sizes) > CACHE:
+            sizes.clear()
+        try:
+            return list(map(sizes.__getitem__, pieces))
+        except KeyError:
+            for p in pieces:
+                if p not in sizes:
+                    sizes[p] = len(self.encoder.vocabulary.encode_piece(p.encode()))
+            return list(map(sizes.__getitem__, pieces))
 
 
-def tree(values: list[int]) -> list[int]:
+@lru_cache(maxsize=1)
+def _counter(path: str, patterns: tuple[str, ...]) -> Counter:
+    """The one Counter of a worker process; its tasks share the tables and the memory of pieces."""
+    return Counter(path, patterns)
+
+
+def tree(values: np.ndarray) -> np.ndarray:
     """Sums over a binary tree of values: node 1 is the root, node i has children 2i and 2i + 1."""
     size = 1
     while size < len(values):
         size *= 2
-    out = [0] * size + values + [0] * (size - len(values))
-    for i in range(size - 1, 0, -1):
-        out[i] = out[2 * i] + out[2 * i + 1]
+    out = np.zeros(2 * size, np.int32)
+    out[size : size + len(values)] = values
+    while size > 1:
+        out[size // 2 : size] = out[size : 2 * size].reshape(-1, 2).sum(1)
+        size //= 2
     return out
 
 
-def put(sums: list[int], leaf: int, value: int) -> None:
+def put(sums: np.ndarray, leaf: int, value: int) -> None:
     i = len(sums) // 2 + leaf
-    change = value - sums[i]
+    change = value - int(sums[i])
     while i and change:
         sums[i] += change
         i //= 2
 
 
-def locate(sums: list[int], position: int) -> tuple[int, int]:
+def locate(sums: np.ndarray, position: int) -> tuple[int, int]:
     """Leaf of the character at position, and the characters before that leaf. The end of the text
     belongs to the last leaf that is not empty."""
-    position = max(0, min(position, sums[1] - 1))
+    position = max(0, min(position, int(sums[1]) - 1))
     i, before = 1, 0
     while i < len(sums) // 2:
         i *= 2
         if position - before >= sums[i]:
-            before += sums[i]
+            before += int(sums[i])
             i += 1
     return i - len(sums) // 2, before
 
 
-def build(counter: Counter, text: str, leaf: int) -> tuple[list[int], list[int]]:
+def build(counter: Counter, text: str, leaf: int) -> tuple[np.ndarray, np.ndarray]:
     """Trees of characters and tokens."""
     pieces = counter.pieces(text)
-    tokens = counter.tokens(pieces)
-    groups = range(0, max(1, len(pieces)), leaf)
-    return (tree([sum(map(len, pieces[i : i + leaf])) for i in groups]), tree([sum(tokens[i : i + leaf]) for i in groups]))
+    n = len(pieces)
+    if not n:
+        return tree(np.zeros(1, np.int32)), tree(np.zeros(1, np.int32))
+    at = np.arange(0, n, leaf)
+    chars = np.add.reduceat(np.fromiter(map(len, pieces), np.int32, n), at)
+    return tree(chars), tree(np.add.reduceat(np.array(counter.tokens(pieces), np.int32), at))
 
 
-def edited(counter: Counter, text: str, chars: list[int], tokens: list[int], start: int, removed: int, inserted: str) -> tuple[str, int]:
+def edited(counter: Counter, text: str, chars: np.ndarray, tokens: np.ndarray, start: int, removed: int, inserted: str) -> tuple[str, int]:
     """The text after one edit, with both trees updated, and the characters that were cut anew."""
     n = len(text)
     start = max(0, min(start, n))
@@ -93,7 +113,7 @@ def edited(counter: Counter, text: str, chars: list[int], tokens: list[int], sta
     size = len(chars) // 2
     first, begin = locate(chars, start - 2)
     last, before = locate(chars, stop)
-    end = before + chars[size + last]
+    end = before + int(chars[size + last])
     while end < n:
         # Of a part's pieces only the last can go on in the whole text, so the others are borders.
         found = counter.pieces(out[begin : end + shift + 64])
@@ -103,7 +123,7 @@ def edited(counter: Counter, text: str, chars: list[int], tokens: list[int], sta
             pieces = found[: at + 1]
             break
         last += 1
-        end += chars[size + last]
+        end += int(chars[size + last])
     else:
         pieces = counter.pieces(out[begin:])
     put(chars, first, sum(map(len, pieces)))
@@ -114,25 +134,45 @@ def edited(counter: Counter, text: str, chars: list[int], tokens: list[int], sta
     return out, sum(map(len, pieces))
 
 
-def _key() -> list:
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+def _named(documents: DataFrame) -> DataFrame:
+    """doc_id, text and a name for both, without nulls: key and crc."""
+    doc = F.col("doc_id").cast("long")
+    text = F.col("text").cast("string")
+    return documents.select(doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, F.lit(-1)).alias("key"),
+                            F.xxhash64(doc.isNull(), F.coalesce(text, F.lit(""))).alias("crc"))
+
+
+def _lists(trees: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, trees)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *trees])))
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as arrays that may be written to."""
+    values, at = column.flatten().to_numpy().astype(np.int32), np.cumsum([0, *column.value_lengths().to_pylist()])
+    return [values[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
+def _parts(batches, size: int = 250):
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
 
 
 def trees(documents: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
-    """doc_id, crc (of the text), chars and tokens (the trees' sums) for each distinct doc_id and
-    text of documents. A null text counts as an empty one."""
-    patterns = [pre_token_pattern(NARROW), pre_token_pattern()]
+    """doc_id, key and crc (the name of doc_id and text), chars and tokens (the trees' sums) for each
+    row of documents. A null text counts as an empty one."""
+    patterns = (pre_token_pattern(NARROW), pre_token_pattern())
 
     def each(batches):
-        counter = Counter(path, patterns)
-        for d in rows(batches, 250):
-            both = [build(counter, t or "", leaf) for t in d["text"]]
+        counter = _counter(path, patterns)
+        for part in _parts(batches):
+            both = [build(counter, t or "", leaf) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d["doc_id"], pa.int64()), pa.array(d["crc"], pa.int64()),
-                 *(pa.array([b[i] for b in both], pa.list_(pa.int32())) for i in (0, 1))], ["doc_id", "crc", "chars", "tokens"])
+                [*(part.column(c) for c in ("doc_id", "key", "crc")), *(_lists([b[i] for b in both]) for i in (0, 1))],
+                ["doc_id", "key", "crc", "chars", "tokens"])
 
-    named = documents.select(*_key()).withColumn("crc", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return named.mapInArrow(each, "doc_id long, crc long, chars array<int>, tokens array<int>").dropDuplicates(["doc_id", "crc"])
+    return _named(documents).mapInArrow(each, "doc_id long, key long, crc long, chars array<int>, tokens array<int>")
 
 
 def recount(documents: DataFrame, state: DataFrame, edits: DataFrame, path: str) -> DataFrame:
@@ -144,33 +184,34 @@ def recount(documents: DataFrame, state: DataFrame, edits: DataFrame, path: str)
     text as the edit finds it and is moved into the text if it lies outside. Edits without doc_id
     or start are left out, a null inserted text is empty, a null removed is 0. Rows without edits
     or without doc_id stay as they are. Empty tables give no rows or no edits.
+
+    Edits find the names of their documents first, so that texts and trees meet them by these names
+    and are dealt out once.
     """
-    patterns = [pre_token_pattern(NARROW), pre_token_pattern()]
-    script = edits.where("doc_id is not null and start is not null").groupBy(F.col("doc_id").cast("long").alias("e_id")).agg(
+    patterns = (pre_token_pattern(NARROW), pre_token_pattern())
+    script = edits.where("doc_id is not null and start is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.sort_array(F.collect_list(F.struct(
             F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"),
             F.coalesce(F.col("removed").cast("long"), F.lit(0)).alias("removed"), F.coalesce("inserted", F.lit("")).alias("inserted")))).alias("edits"))
-    named = documents.select(*_key()).withColumn("crc", F.xxhash64(F.coalesce("text", F.lit(""))))
-    state = state.select(F.col("doc_id").alias("s_id"), F.col("crc").alias("s_crc"), "chars", "tokens")
-    joined = named.join(state, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("crc") == F.col("s_crc")))
-    joined = joined.join(script, F.col("doc_id") == F.col("e_id"), "left")
+    names = state.select("doc_id", "key", "crc").distinct().join(script, "doc_id").select("key", "crc", "edits")
+    once = state.select("key", "crc", "chars", "tokens").dropDuplicates(["key", "crc"])
+    joined = _named(documents).join(once, ["key", "crc"]).join(names, ["key", "crc"], "left")
 
     def each(batches):
-        counter = Counter(path, patterns)
-        for d in rows(batches, 250):
-            out: dict[str, list] = {k: [] for k in ("text", "chars", "tokens", "before", "recut")}
-            for text, chars, tokens, script in zip(d["text"], d["chars"], d["tokens"], d["edits"], strict=True):
-                before, recut = tokens[1], 0
+        counter = _counter(path, patterns)
+        for part in _parts(batches):
+            out: dict[str, list] = {k: [] for k in ("text", "before", "after", "edits", "recut")}
+            chars, tokens = _arrays(part.column("chars")), _arrays(part.column("tokens"))
+            for text, c, t, script in zip(part.column("text").to_pylist(), chars, tokens, part.column("edits").to_pylist(), strict=True):
+                before, recut = int(t[1]), 0
                 for e in script or ():
-                    text, n = edited(counter, text or "", chars, tokens, e["start"], e["removed"], e["inserted"])
+                    text, n = edited(counter, text or "", c, t, e["start"], e["removed"], e["inserted"])
                     recut += n
-                for k, v in zip(out, (text, chars, tokens, before, recut), strict=True):
+                for k, v in zip(out, (text, before, int(t[1]), len(script or ()), recut), strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d["doc_id"], pa.int64()), pa.array(out["text"], pa.string()), pa.array(out["chars"], pa.list_(pa.int32())),
-                 pa.array(out["tokens"], pa.list_(pa.int32())), pa.array(out["before"], pa.int64()),
-                 pa.array([t[1] for t in out["tokens"]], pa.int64()), pa.array([len(e or ()) for e in d["edits"]], pa.int64()),
-                 pa.array(out["recut"], pa.int64())],
+                [part.column("doc_id"), pa.array(out["text"], pa.string()), _lists(chars), _lists(tokens),
+                 *(pa.array(out[k], pa.int64()) for k in ("before", "after", "edits", "recut"))],
                 ["doc_id", "text", "chars", "tokens", "tokens_before", "tokens_after", "n_edits", "recut_chars"])
 
     return joined.select("doc_id", "text", "chars", "tokens", "edits").mapInArrow(
@@ -180,11 +221,12 @@ def recount(documents: DataFrame, state: DataFrame, edits: DataFrame, path: str)
 def revision(documents: DataFrame) -> DataFrame:
     """An edit script for every document, as a revision would leave it: a word replaced after a
     third, a remark put in after two thirds, the first character gone."""
-    n = F.length(F.coalesce("text", F.lit("")))
+    n = F.col("n")
     edit = lambda seq, start, removed, inserted: F.struct(
         F.lit(seq).alias("seq"), start.cast("long").alias("start"), F.lit(removed).alias("removed"), F.lit(inserted).alias("inserted"))
     script = F.array(edit(0, F.floor(n / 3), 7, " revised "), edit(1, F.floor(2 * n / 3), 0, " (see note 12)\n"), edit(2, F.lit(0), 1, ""))
-    return documents.select("doc_id", "text").dropDuplicates(["doc_id"]).select("doc_id", F.inline(script))
+    sizes = documents.groupBy("doc_id").agg(F.min(F.length(F.coalesce("text", F.lit("")))).alias("n"))
+    return sizes.select("doc_id", F.inline(script))
 
 
 def counts(documents: DataFrame, path: str) -> DataFrame:
