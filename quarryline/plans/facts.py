@@ -253,6 +253,13 @@ ORACLES = {
     "think_strip": r"SELECT conv_id, turn, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS answer_sha256 FROM conversations WHERE text IS NOT NULL",
     "pin_f1": f"""WITH {_PADS}, n AS (SELECT source, net, list_sort(list(DISTINCT pad)) AS gold FROM p GROUP BY 1, 2), m AS (SELECT *, gold[1:2] AS said FROM n)
         SELECT source, net, round(2.0::DOUBLE * len(said) / (len(said) + len(gold)), 6) AS f1 FROM m""",
+    "contextual_refusal": """SELECT p_partkey, 'missing_component' AS kind, 'R' || p_partkey AS subject, p_size % 3 = 0 AS accepted,
+        CASE p_size % 3 WHEN 0 THEN 'restricted_grammar_match' WHEN 1 THEN 'unrecognized_or_unsupported_claim' ELSE 'empty_answer' END AS reason FROM part""",
+    "tool_call_parse": """SELECT p_partkey, CASE WHEN p_size < 50 THEN 'See.' END AS content,
+        CASE WHEN p_size < 50 THEN '[{"arguments": {"box": [' || p_size || ', 10, 50, 60]}, "name": "show_region"}]' END AS calls,
+        CASE WHEN p_size >= 50 THEN 'unknown function or bad arguments' END AS error FROM part""",
+    "strict_json": """SELECT CASE event_id % 4 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'not an object' WHEN 2 THEN 'repeated field' ELSE 'ok' END AS verdict, count(*) AS n
+        FROM events GROUP BY 1""",
     "canonical_digest": "SELECT event_id, sha256(regexp_replace(props::VARCHAR, '([:,]) +', '\\1', 'g')) AS digest FROM events",
     "metrics_rollup": """WITH e AS (SELECT user_id, event_type, CASE WHEN event_id % 97 <> 0 THEN value END AS s, CASE WHEN event_id % 89 <> 0 THEN length(props) END AS t FROM events)
         SELECT user_id, count(*) AS n_steps, CASE WHEN count(s) = count(*) THEN round(sum(s), 4) END AS seconds, CASE WHEN count(t) = count(*) THEN sum(t)::BIGINT END AS tokens,
