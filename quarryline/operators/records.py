@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import expressions as X
+from quarryline.functions import parsers as P
 
 from .selection import first_of
 
@@ -67,6 +68,21 @@ def graded(turns: DataFrame) -> DataFrame:
     return turns.withColumns({"metric": metric, "score": score})
 
 
+def view_graded(answers: DataFrame) -> DataFrame:
+    """answers (output, function, label, box, min_iou) with score: 1 if the answer makes exactly one
+    call, of the right function, whose label is the same but for letter case or whose box overlaps
+    the expected one by min_iou; functions without either need no more than the call."""
+    form = "array<struct<arguments:struct<box:array<int>,label:string>,name:string>>"
+    calls = F.from_json("_calls", form)
+    made = answers.withColumn("_calls", P.parsed_calls(F.col("output"))["calls"]).withColumn("_one", F.when(F.size(calls) == 1, F.element_at(calls, 1)))
+    corners = lambda c: [F.get(c, i) for i in range(4)]
+    found = F.col("_one.arguments")
+    fits = F.when(F.col("function") == "show_label", P.casefolded(found["label"]) == P.casefolded(F.col("label"))).when(
+        F.col("function") == "show_region", X.iou(corners(found["box"]), corners(F.col("box"))) >= F.col("min_iou")).otherwise(True)
+    right = F.coalesce((F.col("_one.name") == F.col("function")) & fits, F.lit(False))
+    return made.withColumn("score", right.cast("double")).drop("_calls", "_one")
+
+
 def series(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Number, least, greatest and last value of each series."""
     return df.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"),

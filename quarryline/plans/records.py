@@ -34,6 +34,15 @@ def graded_metrics(spark, d):
     return R.graded(made).groupBy("metric").agg(F.round(F.avg("score"), 6).alias("mean"), F.count("score").alias("n"))
 
 
+def view_grading(spark, d):
+    """Calls that show a region whose left edge is a part's size, against one expected region."""
+    p = table(spark, d, "part").select("p_partkey", "p_size")
+    text = F.format_string("See.<tool_call><function=show_region><parameter=box>[%d, 10, 50, 60]</parameter></function></tool_call>", F.col("p_size"))
+    made = p.select("p_partkey", text.alias("output"), F.lit("show_region").alias("function"), F.lit(None).cast("string").alias("label"),
+                    F.array(*map(F.lit, (10, 10, 50, 60))).alias("box"), F.lit(0.5).alias("min_iou"))
+    return R.view_graded(made).select("p_partkey", "score")
+
+
 def rollout_totals(spark, d):
     t = C.blocked(C.user_turns(table(spark, d, "conversations")))
     c = t.groupBy("conv_id").agg(F.bool_and(F.col("status") == "success").alias("p"), F.count("*").alias("n"))
@@ -102,7 +111,7 @@ def net_choice(spark, d):
 
 def endpoint_budget(spark, d):
     """Questions on nets of several pages, asked with the net's pads only and with all of its source:
-    how many exceed a budget of 8 tokens for each pad of an average net."""
+    how many exceed a budget of 40 tokens, at 8 for each pad."""
     p = _pads(spark, d)
     net = p.groupBy("source", "net").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("focused")).where("pages > 1")
     whole = p.groupBy("source").agg(F.count("*").alias("full"))
@@ -179,7 +188,7 @@ def unexpected_residents(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    message_trace, aligned_questions, graded_metrics, rollout_totals, diagnostic_cap, series_extrema, newest_valid, approval_ttl, job_states,
+    message_trace, aligned_questions, graded_metrics, view_grading, rollout_totals, diagnostic_cap, series_extrema, newest_valid, approval_ttl, job_states,
     progress_tail, step_budget, seeded_ranges, content_ids, union_views, net_choice, endpoint_budget, affine_points, calculator,
     value_questions, image_masks, title_cleanup, label_lookup, cardinality, view_agreement, totals_recomputed, unexpected_residents)}
 
@@ -195,6 +204,8 @@ ORACLES = {
           CASE k WHEN 0 THEN regexp_matches(output, '{_THE}', 'i') WHEN 1 THEN {refuses_sql('output')}
             ELSE NOT regexp_matches(output, '{_PIN}') AND regexp_matches(output, 'isn''t connected|not connected|floating|nothing', 'i') END AS hit FROM s)
         SELECT metric, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS mean, count(*) AS n FROM g GROUP BY 1""",
+    "view_grading": """WITH a AS (SELECT p_partkey, p_size, (50 - greatest(p_size, 10)) * 50 AS i FROM part)
+        SELECT p_partkey, CASE WHEN p_size < 50 AND i / ((50 - p_size) * 50 + 2000 - i)::DOUBLE >= 0.5 THEN 1.0::DOUBLE ELSE 0 END AS score FROM a""",
     "rollout_totals": f"""WITH {_T}, c AS (SELECT conv_id, bool_and(status = 'success') AS p, count(*) AS n FROM t GROUP BY 1)
         SELECT count(*) AS n_rollouts, count(*) FILTER (p) AS n_passed, bool_and(p) AS all_passed, sum(n)::BIGINT AS n_turns FROM c""",
     "diagnostic_cap": """SELECT role, conv_id, turn, substr(text, 1, 40) AS text, length(text) > 40 AS truncated FROM conversations

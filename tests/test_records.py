@@ -46,3 +46,14 @@ def test_states_and_numbers(spark):
     assert {r.id: r.state for r in R.token_states(e, "u", "ts", "id", 300).collect()} == {1: "used", 2: "expired", 3: "open"}
     talk = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "r")], "conv_id long, turn long, role string, text string")
     assert sorted((r.n, r.question, r.answer) for r in R.aligned(talk).collect()) == [(0, "q", "a"), (1, "r", "b")]
+
+
+def test_view_grading(spark):
+    call = "<tool_call><function={}>{}</function></tool_call>"
+    label, box = "<parameter=label>r1</parameter>", "<parameter=box>[0, 0, 10, 10]</parameter>"
+    rows = [(call.format("show_label", label), "show_label", "R1", None, None), (call.format("show_label", label), "show_label", "R2", None, None),
+            (call.format("show_region", box), "show_region", None, [0, 0, 10, 10], 0.9), (call.format("show_region", box), "show_region", None, [5, 0, 15, 10], 0.5),
+            (call.format("show_full_sheet", ""), "show_full_sheet", None, None, None), (call.format("show_full_sheet", "") * 2, "show_full_sheet", None, None, None),
+            ("no call", "show_full_sheet", None, None, None), (None, "show_label", "R1", None, None)]
+    df = spark.createDataFrame(rows, "output string, function string, label string, box array<int>, min_iou double")
+    assert [r.score for r in R.view_graded(df).collect()] == [1.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0]
