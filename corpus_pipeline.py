@@ -24,8 +24,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    return neardup.keep_one(docs, percent=85, width=5)
+    """One document of each group of near-duplicates (similarity 0.8 or more) stays, the one with
+    the smallest doc_id."""
+    return neardup.keep_one(docs, percent=80, width=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

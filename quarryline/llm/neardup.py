@@ -2,10 +2,10 @@
 
 A document's set holds its distinct shingles of ``width`` words (the whole sequence if it has
 fewer). Equal sets fall into one class and only one member of a class goes on. Its signature has
-60 components of 11 bits. Two sets of similarity J differ in each component with probability
-1 - J, so with J >= 0.85 they differ in more than 23 of 60 with probability about 2e-6 at the
-threshold itself and far less above it. The signature is split into 12 chunks of five; by the pigeonhole
-principle two signatures at distance <= 23 agree in some chunk up to one component. Every chunk
+60 components of 14 bits. Two sets of similarity J differ in each component with probability
+1 - J, so with J >= 0.80 they differ in more than 29 of 60 with probability about 2e-7 at that
+similarity and far less above it (2e-10 at 0.85). The signature is split into 15 chunks of four; by the pigeonhole
+principle two signatures at distance <= 29 agree in some chunk up to one component. Every chunk
 is emitted once for each component left out, so that all pairs under the distance share a key.
 
 Beside the components stands an odd sketch: one bit for each of 1024 classes of shingle hashes,
@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, mixed, rows, seeds
 
-CHUNKS = 12
+CHUNKS = 15
 #: Components of a chunk. They stand in one long, each in a lane with a spare bit.
-SPAN = 5
+SPAN = 4
 COMPONENTS = CHUNKS * SPAN
 #: Any pair up to this distance has a chunk with one error at most.
 MAX_DISTANCE = 2 * CHUNKS - 1
-BITS = 11
+#: Pairs of less similarity would be lost beyond MAX_DISTANCE too often.
+LEAST_PERCENT = 80
+BITS = 14
 LOW = np.int64(sum((1 << BITS) - 1 << i * (BITS + 1) for i in range(SPAN)))
 SPARE = np.int64(sum(1 << BITS << i * (BITS + 1) for i in range(SPAN)))
 #: Longs of an odd sketch, which follow the chunks in a signature.
@@ -248,8 +250,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 5) ->
     Documents without words (null, empty, blank) are linked with nothing and kept. Rows that share
     a doc_id are one node. A row without doc_id belongs to the component of its class; if the class
     has no doc_id, component_id is null and the row is kept. Other columns are ignored. An empty
-    table gives an empty result. MAX_DISTANCE fits percent >= 85.
+    table gives an empty result. A percent under LEAST_PERCENT raises ValueError.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"signatures fit {LEAST_PERCENT} percent and more, not {percent}")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(_signed(docs, width))
     # sig follows from set_hash, so any row of a class has it.

@@ -74,3 +74,33 @@ def test_edge_rows(spark):
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in neardup.near_duplicates(df).collect())
     assert got == [("7", "7", True), ("7", "7", True), ("9", "9", True), ("None", "7", False), ("None", "None", True)]
     assert neardup.keep_one(df).columns == df.columns
+
+
+def test_pipeline_stage_links_from_80_percent(spark):
+    """Pairs on both sides of 0.80 and 0.85; a signature as laid out loses hardly any pair at 0.80."""
+    from math import comb
+
+    import corpus_pipeline
+
+    r = random.Random(8)
+    docs = []
+    for i, changed in enumerate([40, 41, 42, 43, 47, 50, 52, 54, 55, 56, 58, 70] * 10):  # 500 shingles, the last words changed
+        own = [f"v{r.randrange(10**9)}" for _ in range(504)]
+        docs += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[: 504 - changed] + [f"n{w}" for w in own[504 - changed :]]))]
+    between = [(500 - c) / (500 + c) for c in (40, 41, 42, 43, 47, 50, 52, 54, 55, 56, 58, 70)]
+    assert sum(0.80 <= j < 0.85 for j in between) == 8
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = {x.doc_id for x in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert left == {i for i, (_, component) in brute(docs, 80).items() if i == component}
+    assert len(left) == 120 + 10 * sum(j < 0.80 for j in between)
+    n, d = neardup.COMPONENTS, neardup.MAX_DISTANCE
+    assert sum(comb(n, k) * 0.2**k * 0.8 ** (n - k) for k in range(d + 1, n + 1)) < 3e-6
+
+
+def test_too_low_a_percent_raises(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    try:
+        neardup.near_duplicates(df, percent=neardup.LEAST_PERCENT - 1)
+    except ValueError:
+        return
+    raise AssertionError("no ValueError")
