@@ -4,7 +4,7 @@ Markup is stripped block by block: every block element starts a new line. Lines
 headers, footers, sidebars, notices, adverts, forms and reader comments have no length. Over the
 lines run sums of ``window`` lengths; a sum that leaves zero is a surge point and one that falls
 back to zero a dive point, and the lines between the two are a stretch of text. Where the page
-names its article (article or main), the stretches inside it are kept, else the longest stretch.
+names its article (article or main), the stretches inside it are kept, else all stretches.
 """
 
 from __future__ import annotations
@@ -136,10 +136,7 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
     named = any(inside and counts for _, counts, inside in found)
     # A line outside of a named article, or of none, has no length.
     sizes = [len(t) if counts and (inside or not named) else 0 for t, counts, inside in found]
-    runs = stretches(sizes, window)
-    if not named and runs:
-        runs = [max(runs, key=lambda r: (sum(sizes[r[0] : r[1]]), -r[0]))]
-    return "\n".join(found[i][0] for a, b in runs for i in range(a, b) if sizes[i])
+    return "\n".join(found[i][0] for a, b in stretches(sizes, window) for i in range(a, b) if sizes[i])
 
 
 def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:

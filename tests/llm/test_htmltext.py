@@ -19,6 +19,14 @@ def test_page_without_article():
     assert htmltext.main_text(page).split("\n") == [f"Sentence number {i} of the text." for i in range(5)]
 
 
+def test_interrupted_text_without_article():
+    part = lambda k: "".join(f"<p>Sentence {i} of part {k}, {'long ' * k}</p>" for i in range(4))
+    adverts = "".join(f"<div class=ad>Buy {i}</div>" for i in range(htmltext.WINDOW + 1))
+    page = f"<body><div class=nav>Home</div>{part(1)}{adverts}{part(9)}{adverts}{part(2)}<div class=footer>c</div></body>"
+    assert htmltext.main_text(page).split("\n") == [
+        f"Sentence {i} of part {k}, {'long ' * k}".strip() for k in (1, 9, 2) for i in range(4)]
+
+
 def test_surge_and_dive_points():
     assert htmltext.stretches([0, 3, 0, 0, 4, 0, 0, 0, 5, 0], 3) == [(1, 5), (8, 9)]
     assert htmltext.stretches([], 3) == [] and htmltext.stretches([0, 0], 3) == []
