@@ -4,7 +4,8 @@ Four statistics of a text's shape are transformed so that their spread does not
 level: mean word length (logarithm), and the shares of symbols, repeated lines and repeated words
 (arcsine of the square root). For each language and source the minimum covariance determinant
 estimate gives their centre and covariance, untouched by up to half of the rows. A document is
-rejected if its squared Mahalanobis distance exceeds a chi-square quantile.
+rejected if its squared Mahalanobis distance exceeds a chi-square quantile. Rows of a group too
+small for an estimate are held against that of their language, or else of all rows.
 
 The estimate starts from two fixed subsets (nearest to the medians, and nearest to the centre of
 all) and takes concentration steps. All rows of a group count: a step sums products for each
@@ -30,7 +31,7 @@ LEAST_SD = (0.10, 0.05, 0.15, 0.15)
 PSEUDO_WORDS = 20
 #: Concentration steps, and bands of distance for each doubling of 1/16 + squared distance.
 STEPS, BANDS = 4, 8
-#: Groups with fewer rows have no estimate and reject nothing.
+#: Groups with fewer rows take the estimate of their language, and languages with fewer that of all rows.
 LEAST_ROWS = 10
 #: Quantiles of the chi-square distribution with four degrees of freedom, at 0.975
 #: (rows that count in the reweighted estimate) and 0.9999 (rows that stay).
@@ -191,11 +192,9 @@ def _concentrated(x: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def robust_parameters(x: DataFrame) -> DataFrame:
-    """The reweighted minimum covariance determinant estimate of each group with LEAST_ROWS rows:
-    lang, source, mean, white (both in units of the transformed statistics)."""
-    groups = x.groupBy("lang", "source").agg(*_sums()).where(F.col("n") >= LEAST_ROWS)
-    groups = cut(groups)
-    x = x.join(groups.select("lang", "source"), ["lang", "source"], "left_semi")
+    """The reweighted minimum covariance determinant estimate of each group: lang, source, mean,
+    white (both in units of the transformed statistics)."""
+    groups = cut(x.groupBy("lang", "source").agg(*_sums()))
     centre = _params(groups.withColumn("start", F.lit(1)), ["lang", "source", "start"])
     params = cut(_medians(x).unionByName(centre))
     for _ in range(STEPS):
@@ -216,17 +215,47 @@ def robust_parameters(x: DataFrame) -> DataFrame:
     return cut(_params(sums, ["lang", "source"]).drop("logdet"))
 
 
+def _judges(measured_rows: DataFrame) -> DataFrame:
+    """For each lang and source, level and key (of_lang, of_source) of the rows whose estimate judges
+    it: its own, those of its language (source ""), or all (both ""). An own source starts with "="."""
+    good = measured_rows.groupBy("lang", "source").agg(F.count_if(~base_failed()).alias("n"))
+    level = F.when(F.col("n") >= LEAST_ROWS, 0).when(F.sum("n").over(Window.partitionBy("lang")) >= LEAST_ROWS, 1).otherwise(2)
+    return good.withColumn("level", level).select(
+        "lang", "source", "level", F.when(F.col("level") == 2, "").otherwise(F.concat(F.lit("="), "lang")).alias("of_lang"),
+        F.when(F.col("level") > 0, "").otherwise(F.concat(F.lit("="), "source")).alias("of_source"))
+
+
+def _judging(good: DataFrame, judges: DataFrame) -> DataFrame:
+    """The rows of good once under each key that judges some group: lang, source (the key), DIMS."""
+    key = (F.concat(F.lit("="), "lang"), F.concat(F.lit("="), "source"))
+    own = good.join(judges.where("level = 0").select("lang", "source"), ["lang", "source"], "left_semi").select(
+        key[0].alias("lang"), key[1].alias("source"), *DIMS)
+    if judges.where("level = 1").isEmpty():
+        out = own
+    else:
+        out = own.unionByName(good.join(judges.where("level = 1").select("lang").distinct(), "lang", "left_semi").select(
+            key[0].alias("lang"), F.lit("").alias("source"), *DIMS))
+    if judges.where("level = 2").isEmpty():
+        return out
+    return out.unionByName(good.select(F.lit("").alias("lang"), F.lit("").alias("source"), *DIMS))
+
+
 def quality(documents: DataFrame, cutoff: float = CHI2_9999) -> DataFrame:
     """For each row of documents (doc_id, text, lang, source): doc_id, the five base statistics,
     base_failed (fewer than 10 words, or over a fifth of them repeated), distance2 (squared
-    Mahalanobis distance, null in groups with fewer than LEAST_ROWS rows) and kept.
+    Mahalanobis distance, null only if all rows fail the base rules) and kept. A group with fewer than
+    LEAST_ROWS rows that pass the base rules is held against the estimate of its language, or of all
+    rows if the language has fewer too.
 
     A null text is an empty one and fails. Null lang or source are groups of their own. Rows count
     as often as they stand; other columns are ignored; an empty table gives no rows.
     """
     measured_rows = cut(statistics(documents).select("*", *_vector()))
     # Texts that fail anyway say nothing about their group.
-    params = robust_parameters(measured_rows.where(~base_failed()).select("lang", "source", *DIMS))
+    good = measured_rows.where(~base_failed()).select("lang", "source", *DIMS)
+    judges = cut(_judges(measured_rows))
+    params = robust_parameters(_judging(good, judges)).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    params = judges.join(params, ["of_lang", "of_source"]).select("lang", "source", "mean", "white")
     out = measured_rows.join(params, ["lang", "source"], "left").withColumn("distance2", _distance())
     return out.select(
         "doc_id", *STATS[:5], base_failed().alias("base_failed"),

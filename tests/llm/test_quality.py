@@ -99,3 +99,28 @@ def test_shapes(spark):
     assert sorted(str(r.kept) for r in quality.quality(df).collect()) == ["False", "True"]
     kept = quality.keep_good(df)
     assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [None]
+
+
+def test_small_groups_are_judged(spark):
+    """Groups of one to three rows take the estimate of their language, a rare language that of all."""
+    r = random.Random(5)
+    plain = lambda: " ".join("".join(r.choice("abcde") for _ in range(r.randrange(2, 9))) for _ in range(80))
+    docs = [(i, plain(), "en", f"s{i % 30}") for i in range(60)] + [(i, plain(), "fr", "big") for i in range(60, 90)]
+    docs += [(90, " ".join(w + "###" for w in plain().split()), "en", "rare"), (91, plain(), "xx", "one"),
+             (92, " ".join(w + "$$$|" for w in plain().split()), "xx", "two"), (93, "", "en", "empty")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in quality.quality(df).collect()}
+    assert all(got[i].distance2 is not None for i in range(94))
+    assert {i for i in got if not got[i].kept} == {90, 92, 93}
+
+    def vector(text):
+        n, chars, sym, dup, rep, failed = base(text)
+        share = lambda a, b: np.arcsin(np.sqrt(min(1, a / max(b, 1))))
+        return None if failed else np.round(np.array([np.log((chars + 100) / (n + 20)), share(sym, chars), share(dup, 1), share(rep, n)]) * 1000) / 1000
+
+    vectors = {i: vector(t) for i, t, _, _ in docs}
+    english = estimated(np.array([vectors[i] for i, _, lang, _ in docs if lang == "en" and vectors[i] is not None]))
+    every = estimated(np.array([v for v in vectors.values() if v is not None]))
+    for i, judge in ((0, english), (90, english), (91, every), (92, every)):
+        d2 = judge(vectors[i][None])[0]
+        assert abs(got[i].distance2 - d2) < 2e-3 * (1 + d2), i
