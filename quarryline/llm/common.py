@@ -1,10 +1,12 @@
-"""What the operators share: cutting lineage, hashing, and walking Arrow batches."""
+"""What the operators share: cutting lineage, unused names, hashing, walking Arrow batches, components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Folders that cut() made, innermost scratch() last.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or else the context's
-    checkpoint folder. Where neither is set (tests on one machine), one is made and set."""
+    checkpoint folder. Where neither is set, one is made and set, but only if all tasks run on this
+    machine; a cluster without a shared folder is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quarryline-"))
         spark.sparkContext.setCheckpointDir(found)
@@ -29,8 +36,47 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, so that later steps neither
     repeat the work nor depend on any executor's disk."""
     path = f"{shared_dir(df.sparkSession)}/quarryline-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what cut() wrote for these frames. Nothing that is still to be computed may read it."""
+    for df in frames:
+        _delete(df.sparkSession, df._cut_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What cut() writes inside is deleted at the end, so results must have been written elsewhere."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+
+
+def spare(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name, n = stem, 0
+        while name.lower() in taken:
+            name, n = f"{stem}_{n}", n + 1
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def rows(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[dict[str, list]]:
@@ -52,39 +98,36 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)) | np.uint64(1)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b) of longs: rows (id, component), the smallest id
-    reachable, for every id that an edge names. Alternates large-star and small-star steps;
-    each step is two shuffles of the edges, and no component meets in one task."""
-    spark = edges.sparkSession
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        both = both.union(both.select("v", "u")) if large else both.select(
-            F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
-        if large:
-            out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        else:
-            out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
-                least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    size = None
+    reachable, for every id that an edge names.
+
+    Each id holds a label, at first the least id beside it. In a round every id and the id that is
+    its label take the least label of their neighbours, and then each label is followed one step,
+    so paths halve. Edges meet labels in joins of written tables, of which the label side has one
+    row for each id: Spark splits the edges of a hub over tasks, and minima are taken before the
+    shuffle.
+    """
+    a, b = F.col("a").alias("u"), F.col("b").alias("v")
+    one = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = cut(one.select(F.explode(F.array(F.struct(a, b), F.struct(b.alias("u"), a.alias("v")))).alias("e")).select("e.u", "e.v"))
+    label = cut(both.groupBy(F.col("u").alias("id")).agg(F.least("id", F.min("v")).alias("label")))
+    total = lambda df: df.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+    now = total(label)
     for _ in range(rounds):
-        e = cut(star(star(e, True), False))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
-                    F.countDistinct("a")).first()
-        if now == size:
-            break
-        size = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    label = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
-    roots = label.select(F.col("component").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return label.union(roots)
+        seen = both.join(label.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("least"))
+        met = label.join(seen.withColumnRenamed("u", "id"), "id")
+        offered = met.select("id", F.least("label", "least").alias("label")).unionAll(
+            met.where("least < label").select(F.col("label").alias("id"), F.col("least").alias("label")))
+        hooked = cut(offered.groupBy("id").agg(F.min("label").alias("label")))
+        jumped = cut(hooked.withColumnRenamed("label", "via").join(
+            hooked.select(F.col("id").alias("via"), "label"), "via").select("id", "label"))
+        discard(label, hooked)
+        label, last, now = jumped, now, total(jumped)
+        if now == last:
+            discard(both)
+            return label.withColumnRenamed("label", "component")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

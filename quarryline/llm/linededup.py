@@ -1,62 +1,86 @@
 """Near-duplicate lines by deletion neighbourhoods, keeping the earliest.
 
-A line is its lower-cased words. Two lines are near if one word changed, added or left out turns
-one into the other. Lines with fewer than ``min_words`` words are left alone. Equal lines become
-one first, in the place of the earliest. Each other line that can have a neighbour emits the hash of
-every variant with one word deleted, and of itself:
+Lines are compared with A-Z lower-cased and their words joined by one space. Equal lines become one
+first, in the place of the earliest, however short they are. Lines of ``min_words`` words or more are
+near if one word changed, added or left out turns one into the other; shorter lines of
+``min_chars`` characters or more (a line of a script without spaces is one word) likewise with
+one character. Other lines are near to equal ones only: one word or character is too much of them.
 
-* lines with the same variant at the same place differ in that word only;
-* a line that equals another's variant lacks that word only.
+Each distinct line that can have a neighbour emits the hash of every variant with one unit (word or
+character) deleted, and of itself:
+
+* lines with the same variant at the same place differ in that unit only;
+* a line that equals another's variant lacks that unit only.
 
 So the earliest line under a key and place, or under a key beside lines that equal it, is near to
-all the others there; neither pairs within a key nor a key's rows in one task are needed, and a
-group of any size costs its rows. What a line was removed for is then checked by edit distance on
-the words themselves. A line near to another shares with it the first half of its words or the
-second half, so lines that share no half with any other emit nothing.
+all the others there; no pairs within a key are needed, and a group of any size costs its rows.
+Minima are taken before the shuffle and joined to the rows of keys that several lines have, so that
+Spark can split a hot key. What a line was removed for is then checked by edit distance on the
+units themselves. A line near to another shares with it a run of units at its start or at its end,
+so lines that share neither with any other emit nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, mixed, rows, seeds
+from .common import cut, mixed, rows, seeds, spare
+
+#: Least lengths of lines that one changed word, or one changed character, leaves near.
+MIN_WORDS, MIN_CHARS = 8, 20
+
+
+def normalised(line: bytes) -> bytes:
+    return b" ".join(line.lower().split())
 
-MIN_WORDS = 8
 
+def units(line: bytes, min_words: int, min_chars: int) -> tuple[bytes, Sequence]:
+    """Kind and units of a normalised line: words (bytes), characters (a string), or none."""
+    words = line.split(b" ")
+    if len(words) >= min_words:
+        return b"w", words
+    chars = line.decode("utf-8", "surrogatepass")
+    return (b"c", chars) if len(chars) >= min_chars else (b"", b"")
 
-def normalised(line: bytes) -> list[bytes]:
-    return line.lower().split()
+
+def _bytes(part: Sequence) -> bytes:
+    return part.encode("utf-8", "surrogatepass") if isinstance(part, str) else b" ".join(part)
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def halves(words: list[bytes]) -> list[int]:
-    """Keys of which near lines share one: the first and the second half as seen from a line of n
-    words, and from a partner of n - 1 words."""
-    n, out = len(words), []
-    for size in (n, n - 1):
-        half = size // 2
-        for kind, part in ((b"p", words[:half]), (b"s", words[n - (size - half):])):
-            out.append(_signed(xxhash.xxh3_64_intdigest(b"%b%d " % (kind, size) + b" ".join(part))))
+def ends(kind: bytes, u: Sequence) -> list[int]:
+    """Keys of which near lines share one: the first and the last units of a line of n, about half of
+    them, and as a line of n - 1 has them where that is another number."""
+    n = len(u)
+    half = 2 * (n // 4)
+    out = []
+    for size in {half, 2 * ((n - 1) // 4)}:
+        out += [_signed(xxhash.xxh3_64_intdigest(b"%bp%d " % (kind, size) + _bytes(u[:size]))),
+                _signed(xxhash.xxh3_64_intdigest(b"%bs%d " % (kind, size) + _bytes(u[n - size:])))]
     return out
 
 
-def variants(words: list[bytes]) -> np.ndarray:
-    """Hash of the line, then of the line without its first word, its second, and so on; a hash
-    stands for the remaining words in order and their number."""
-    n = len(words)
-    h = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n))
-    base = seeds(1, 23)[0]
+def variants(kind: bytes, u: Sequence) -> np.ndarray:
+    """Hash of the line, then of the line without its first unit, its second, and so on; a hash
+    stands for the remaining units in order, their number and kind."""
+    n = len(u)
+    if kind == b"c":
+        u = [c.encode("utf-8", "surrogatepass") for c in u]
+    h = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, u), np.uint64, n))
+    base = seeds(1, 23 if kind == b"w" else 29)[0]
     with np.errstate(over="ignore"):
         power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base), dtype=np.uint64)])
-        # Sum over places i of h[i] * power[i]: what stands behind a deleted word moves one place forward.
+        # Sum over places i of h[i] * power[i]: what stands behind a deleted unit moves one place forward.
         terms = h * power[:n]
         upto = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
         moved = np.concatenate([[np.uint64(0)], np.cumsum(h[1:] * power[: n - 1], dtype=np.uint64)])
@@ -64,8 +88,8 @@ def variants(words: list[bytes]) -> np.ndarray:
         return np.concatenate([[mixed(upto[n:] + np.uint64(n))[0]], mixed(without + np.uint64(n - 1))])
 
 
-def near(a: list[bytes], b: list[bytes]) -> bool:
-    """Whether the edit distance of two word sequences is one at most."""
+def near(a: Sequence, b: Sequence) -> bool:
+    """Whether the edit distance of two sequences is one at most."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > 1:
@@ -76,157 +100,166 @@ def near(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) == len(b)):] == b[i + 1:]
 
 
-def _lines(documents: DataFrame, min_words: int) -> DataFrame:
-    """A row for each line with min_words words: doc_id, place, hash of its words, halves as h0 to h3."""
+def _lines(documents: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """A row for each line with a word: doc_id, place, hash of the line, and the keys of its ends
+    (null where it has no units)."""
     def each(batches):
         for d in rows(batches):
             docs, places, names, keys = [], [], [], []
             for doc, text in zip(d["doc_id"], d["text"], strict=True):
                 for place, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-                    w = normalised(line)
-                    if len(w) >= min_words:
+                    line = normalised(line)
+                    if line:
+                        kind, u = units(line, min_words, min_chars)
                         docs.append(doc)
                         places.append(place)
-                        names.append(xxhash.xxh3_128_digest(b" ".join(w)))
-                        keys.append(halves(w))
-            found = list(zip(*keys, strict=True)) or [()] * 4
+                        names.append(xxhash.xxh3_128_digest(line))
+                        keys.append(ends(kind, u) if kind else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(names, pa.binary()),
-                 *(pa.array(x, pa.int64()) for x in found)], ["doc_id", "place", "line", *HALVES])
+                 pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "place", "line", "ends"])
 
-    return documents.mapInArrow(each, "doc_id long, place int, line binary, " + ", ".join(f"{h} long" for h in HALVES))
+    return documents.mapInArrow(each, "doc_id long, place int, line binary, ends array<long>")
 
 
-HALVES = ("h0", "h1", "h2", "h3")
+#: Lines of a document that its place in the order leaves room for.
+PLACES = 1 << 31
 
 
 def _order() -> Column:
     """A line's place in the corpus as one number, of which hash aggregation can keep the least."""
     doc = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(str(1 << 63)).cast("decimal(19,0)"))
-    return (doc * F.lit(1 << 31).cast("decimal(10,0)") + F.col("place")).cast("decimal(38,0)")
+    return (doc * F.lit(PLACES).cast("decimal(10,0)") + F.col("place")).cast("decimal(38,0)")
 
 
 def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, words) of the wanted lines (doc_id, place, line); words joined by a space."""
+    """(first, text) of the wanted lines (doc_id, place, line, first), as normalised."""
     def each(batches):
         for d in rows(batches, 200):
-            lines, words = [], []
-            for text, places, names in zip(d["text"], d["places"], d["names"], strict=True):
+            firsts, texts = [], []
+            for text, places, names, orders in zip(d["text"], d["places"], d["names"], d["orders"], strict=True):
                 split = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-                for p, name in zip(places, names, strict=True):
-                    w = b" ".join(normalised(split[p])) if p < len(split) else b""
-                    if xxhash.xxh3_128_digest(w) == name:  # another row of this doc_id may have another text
-                        lines.append(name)
-                        words.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), pa.array(words, pa.binary())], ["line", "words"])
-
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "line")).alias("x")).select(
-        F.col("doc_id").alias("of"), F.col("x.place").alias("places"), F.col("x.line").alias("names"))
-    return documents.join(by_doc, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "places", "names").mapInArrow(
-        each, "line binary, words binary").dropDuplicates(["line"])
-
-
-def _keys(texts: DataFrame) -> DataFrame:
-    """(key, at, line): at is the deleted word's place, or -1 for the line itself."""
+                for p, name, first in zip(places, names, orders, strict=True):
+                    line = normalised(split[p]) if p < len(split) else b""
+                    if xxhash.xxh3_128_digest(line) == name:  # another row of this doc_id may have another text
+                        firsts.append(first)
+                        texts.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.decimal128(38, 0)), pa.array(texts, pa.binary())], ["first", "line"])
+
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "line", "first")).alias("x")).select(
+        F.col("doc_id").alias("of"), F.col("x.place").alias("places"), F.col("x.line").alias("names"), F.col("x.first").alias("orders"))
+    found = documents.join(by_doc, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "places", "names", "orders").mapInArrow(
+        each, "first decimal(38,0), line binary")
+    return found.dropDuplicates(["first", "line"])
+
+
+def _keys(texts: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """(key, at, first): at is the deleted unit's place, or -1 for the line itself."""
     def each(batches):
         for d in rows(batches, 500):
-            keys = [variants(w.split(b" ")) for w in d["words"]]
+            keys = [variants(*units(line, min_words, min_chars)) for line in d["line"]]
             sizes = [len(k) for k in keys]
             names = np.repeat(np.arange(len(keys)), sizes)
             at = np.concatenate([np.arange(n) - 1 for n in sizes]) if sizes else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(at.astype(np.int32)),
-                 pa.array(d["line"], pa.binary()).take(pa.array(names.astype(np.int64)))], ["key", "at", "line"])
+                 pa.array(d["first"], pa.decimal128(38, 0)).take(pa.array(names.astype(np.int64)))], ["key", "at", "first"])
 
-    return texts.select("line", "words").mapInArrow(each, "key long, at int, line binary")
+    return texts.select("line", "first").mapInArrow(each, "key long, at int, first decimal(38,0)")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """line of the pairs (line, earlier) that are near by their words."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """first of the pairs (first, earlier) of which the lines are near by their units."""
     def each(batches):
         for d in rows(batches):
-            keep = [n for n, a, b in zip(d["line"], d["words"], d["others"], strict=True) if near(a.split(b" "), b.split(b" "))]
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.binary())], ["line"])
+            keep = []
+            for n, a, b in zip(d["first"], d["line"], d["other"], strict=True):
+                (kind, x), (same, y) = units(a, min_words, min_chars), units(b, min_words, min_chars)
+                if kind == same and near(x, y):
+                    keep.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.decimal128(38, 0))], ["first"])
 
-    other = texts.select(F.col("line").alias("earlier"), F.col("words").alias("others"))
-    return pairs.join(texts, "line").join(other, "earlier").select("line", "words", "others").mapInArrow(
-        each, "line binary").distinct()
+    other = texts.select(F.col("first").alias("earlier"), F.col("line").alias("other"))
+    return pairs.join(texts, "first").join(other, "earlier").select("first", "line", "other").mapInArrow(
+        each, "first decimal(38,0)").distinct()
 
 
-def duplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def duplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """From documents (doc_id, text): (doc_id, place, line) of every line to be removed, line being
-    the hash of its words. A line goes if an earlier one is equal or near to it, whether or not the
-    earlier one goes itself. Order: doc_id (null last), then place in the text."""
-    lines = cut(_lines(documents, min_words).withColumn("own", _order()))
-    distinct = cut(lines.groupBy("line").agg(F.min("own").alias("first"), *(F.first(h).alias(h) for h in HALVES)))
-    # Lines that share a half with another line.
-    by_half = distinct.select(F.xxhash64("line").alias("id"), F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
-    half = Window.partitionBy("half").orderBy("id")
-    paired = by_half.withColumns({"before": F.lag("id").over(half), "after": F.lead("id").over(half)}).where(
-        "before is not null or after is not null").select("id").distinct()
-    candidates = cut(distinct.select(F.xxhash64("line").alias("id"), "line", "first").join(paired, "id").select("line", "first"))
-    wanted = lines.select("doc_id", "place", F.col("line").alias("name"), "own").join(
-        candidates, (F.col("name") == F.col("line")) & (F.col("own") == F.col("first"))).select("doc_id", "place", "line").distinct()
+    its hash. A line goes if an earlier one is equal or near to it, whether or not the earlier one
+    goes itself. Order: doc_id (null last), then place in the text."""
+    limits = min_words, min_chars
+    lines = cut(_lines(documents, *limits).withColumn("own", _order()))
+    distinct = cut(lines.groupBy("line").agg(F.min("own").alias("first"), F.max("own").alias("last"), F.first("ends").alias("ends")))
+    # Lines that share an end with another line.
+    by_end = distinct.select("line", "first", F.explode("ends").alias("end"))
+    twice = cut(by_end.groupBy("end").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("end"))
+    candidates = by_end.join(twice, "end").select("line", "first").distinct()
+    # The order holds the document and the place of a line's first occurrence.
+    doc = F.expr(f"if(first >= {1 << 63}BD * {PLACES}BD, null, (first - pmod(first, {PLACES}BD)) div {PLACES}BD)")
+    wanted = candidates.select(doc.alias("doc_id"), F.expr(f"cast(pmod(first, {PLACES}BD) as int)").alias("place"), "line", "first")
     texts = cut(_texts(documents, wanted))
-    keys = _keys(texts).join(candidates, "line")
-    whole, place = Window.partitionBy("key"), Window.partitionBy("key", "at")
-    met = keys.withColumns({
-        "same_place": F.min("first").over(place),
-        "equal": F.min(F.when(F.col("at") == -1, F.col("first"))).over(whole),
-        "variant": F.min(F.when(F.col("at") >= 0, F.col("first"))).over(whole)})
-    # Under one key a line itself faces variants of longer lines, and these face it and each other.
+    keys = _keys(texts, *limits)
+    # Under one key a line itself (at = -1) faces variants of longer lines, and these face it and each other.
+    of_key = cut(keys.groupBy("key").agg(
+        F.min("first").alias("a"), F.max("first").alias("b"), F.min(F.when(F.col("at") == -1, F.col("first"))).alias("equal"),
+        F.min(F.when(F.col("at") >= 0, F.col("first"))).alias("variant")).where("a < b").drop("a", "b"))
+    met = cut(keys.join(of_key, "key"))
+    of_place = cut(met.groupBy("key", "at").agg(F.min("first").alias("same_place")))
     earlier = F.when(F.col("at") == -1, F.col("variant")).otherwise(F.least("same_place", "equal"))
-    pairs = met.select("line", "first", earlier.alias("e")).where("e < first").select("line", "e").distinct()
-    pairs = pairs.join(candidates.select(F.col("first").alias("e"), F.col("line").alias("earlier")), "e").select("line", "earlier")
-    near_lines = cut(_confirmed(pairs, texts))
-    later = lines.select("doc_id", "place", "line", "own").join(distinct.select("line", "first"), "line")
-    flagged = later.join(near_lines.withColumn("near", F.lit(True)), "line", "left")
-    return flagged.where("own > first or near").select("doc_id", "place", "line")
+    pairs = met.join(of_place, ["key", "at"]).select("first", earlier.alias("earlier")).where("earlier < first").distinct()
+    near_lines = _confirmed(pairs, texts, *limits).withColumn("near", F.lit(True))
+    verdicts = cut(distinct.join(near_lines, "first", "left").where("first < last or near").select("line", "first", "near"))
+    return lines.select("doc_id", "place", "line", "own").join(verdicts, "line").where("own > first or near").select("doc_id", "place", "line")
 
 
-def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, drop_emptied: bool = False,
+                count_as: str | None = None) -> DataFrame:
     """documents with the columns given, text without the lines that equal or nearly equal an
-    earlier line of the table, and n_removed_lines.
+    earlier line of the table. count_as: name of a further column, the number of lines removed; it
+    must not be a column of documents.
 
-    Null and empty texts, and lines under min_words words, stay as they are. Rows that share a
-    doc_id are one document: a line at the same place in them is one line. Rows without doc_id
-    share their lines likewise, after all others. With drop_emptied, rows that lose lines and keep
-    no word are left out. An empty table gives no rows.
+    Null and empty texts and lines without a word stay as they are. Rows that share a doc_id are
+    one document: a line at the same place in them is one line. Rows without doc_id share their lines
+    likewise, after all others. With drop_emptied, rows that lose lines and keep no word are left
+    out. An empty table gives no rows.
     """
+    if count_as is not None and spare(documents, count_as) != [count_as]:
+        raise ValueError(f"documents have a column {count_as} already")
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = duplicate_lines(chosen, min_words).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "line")).alias("x"))
-    gone = gone.select(F.col("doc_id").alias("_of"), F.col("x.place").alias("_places"), F.col("x.line").alias("_lines"))
-    joined = documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
+    gone = duplicate_lines(chosen, min_words, min_chars).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "line")).alias("x"))
+    of, found = spare(documents, "of", "found")
+    gone = gone.select(F.col("doc_id").alias(of), F.col("x").alias(found))
+    joined = documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(of)), "left").drop(of)
     fields = list(documents.schema.fields)
-    names = [f.name for f in fields]
+    at = documents.columns.index("text")
 
     def each(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts, counts, keep = [], [], []
-                d = part.select(["text", "_places", "_lines"]).to_pydict()
-                for text, places, hashes in zip(*d.values(), strict=True):
+                for text, found in zip(part.column(at).to_pylist(), part.column(len(fields)).to_pylist(), strict=True):
                     n = 0
-                    if places and text:
+                    if found and text:
                         split = text.split("\n")
-                        drop = {p for p, h in zip(places, hashes, strict=True) if p < len(split) and h == xxhash.xxh3_128_digest(
-                            b" ".join(normalised(split[p].encode("utf-8", "surrogatepass"))))}
+                        drop = {f["place"] for f in found if f["place"] < len(split) and f["line"] == xxhash.xxh3_128_digest(
+                            normalised(split[f["place"]].encode("utf-8", "surrogatepass")))}
                         n, text = len(drop), "\n".join(x for i, x in enumerate(split) if i not in drop)
                     texts.append(text)
                     counts.append(n)
                     keep.append(not (drop_emptied and n and not text.encode("utf-8", "surrogatepass").split()))
-                cols = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], [*names, "n_removed_lines"]).filter(
-                    pa.array(keep, pa.bool_()))
+                cols = [pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(fields))]
+                more = [] if count_as is None else [pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, *more], schema.names).filter(pa.array(keep, pa.bool_()))
 
-    schema = StructType([*fields, StructField("n_removed_lines", LongType())])
-    return joined.select(*names, "_places", "_lines").mapInArrow(each, schema)
+    schema = StructType(fields + ([] if count_as is None else [StructField(count_as, LongType())]))
+    return joined.mapInArrow(each, schema)
 
 
 def digests(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text_sha256 of the text that stays (null for a null text)."""
     newlines = F.length("text") - F.length(F.replace("text", F.lit("\n")))
     before = documents.select("doc_id", "text", (newlines + 1).cast("long").alias("n_lines"))
-    after = dedup_lines(before)
-    return after.select("doc_id", "n_lines", F.col("n_removed_lines").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+    after = dedup_lines(before, count_as="n_removed")
+    return after.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))

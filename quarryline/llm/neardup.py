@@ -12,10 +12,14 @@ Beside the components stands an odd sketch: one bit for each of 1024 classes of
 the parity of the set's members there. The bits in which two sketches differ never outnumber the
 shingles that only one set has, so the sketch rules out pairs for certain, and no true pair.
 
-Copies of copies can fill a key. Round one links every member of a key to its smallest member
-only, confirms these links on the full sets and takes components. Round two compares only
-members of a key that are still in different components, in tiles of bounded size.
+Copies of copies can fill a key. Round one compares every member of a key with three pivots only
+(its smallest member and two that hashes choose, so that no outlier stands for a group), confirms
+these links on the full sets and takes components. Round two compares only members of a key that
+are still in different components, in pairs of tiles; two tiles of one component never meet.
 No link between different components is lost, and a tight group costs as many pairs as members.
+
+Keys with one member go before anything else is done. What a key has is found by aggregates that
+are taken before the shuffle, and is joined to its members, so that Spark can split a hot key.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, mixed, rows, seeds
+from .common import components, cut, mixed, rows, seeds, spare
 
 CHUNKS = 15
 #: Components of a chunk. They stand in one long, each in a lane with a spare bit.
@@ -41,8 +45,6 @@ LOW = np.int64(sum((1 << BITS) - 1 << i * (BITS + 1) for i in range(SPAN)))
 SPARE = np.int64(sum(1 << BITS << i * (BITS + 1) for i in range(SPAN)))
 #: Longs of an odd sketch, which follow the chunks in a signature.
 ODD = 16
-#: Bytes kept of each shingle hash in a stored set.
-KEPT_BYTES = 6
 LANES = np.arange(SPAN, dtype=np.uint64) * np.uint64(BITS + 1)
 
 
@@ -147,20 +149,36 @@ def _near_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(each, "a long, b long")
 
 
+def _tiles(split: DataFrame, tile: int) -> DataFrame:
+    """split (key, component, id, ...) once for each pair of tiles (lo, hi) that a row belongs to, with
+    its own tile. A component with more than ``tile`` members of a key has tiles of its own, all
+    others of the key share some; hashes deal members out, and two tiles of one large component are
+    no pair, as they need no comparing."""
+    counts = split.groupBy("key", "component").agg(F.count("*").alias("n_of"))
+    large = cut(counts.where(F.col("n_of") > tile).withColumn("n_tiles", F.ceil(F.col("n_of") / tile)))
+    shared = counts.where(F.col("n_of") <= tile).groupBy("key").agg(F.ceil(F.sum("n_of") / tile).alias("first"))
+    # A row for each large component of a key, so few.
+    upto = Window.partitionBy("key").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    large = large.withColumn("before", F.coalesce(F.sum("n_tiles").over(upto), F.lit(0)))
+    own = cut(large.join(shared, "key", "left").select(
+        "key", "component", (F.coalesce("first", F.lit(0)) + F.col("before")).alias("from"), F.col("n_tiles").alias("of")))
+    total = cut(counts.groupBy("key").agg(
+        F.ceil(F.coalesce(F.sum(F.when(F.col("n_of") <= tile, F.col("n_of"))), F.lit(0)) / tile).alias("first"),
+        F.sum(F.when(F.col("n_of") > tile, F.ceil(F.col("n_of") / tile)).otherwise(0)).alias("large")).select(
+        "key", "first", (F.col("first") + F.col("large")).alias("tiles")))
+    placed = split.join(total, "key").join(own, ["key", "component"], "left")
+    mine = F.coalesce(F.col("from"), F.lit(0)) + F.pmod(F.xxhash64("id"), F.coalesce("of", "first"))
+    others = F.expr("""concat(if(from is null, sequence(0L, tiles - 1), array()), if(from > 0, sequence(0L, from - 1), array()),
+        if(from + of < tiles, sequence(from + of, tiles - 1), array()))""")
+    dealt = placed.withColumn("own", mine).withColumn("other", F.explode(others))
+    return dealt.select(*split.columns, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
+
+
 def _cross_pairs(members: DataFrame, percent: int, tile: int = 4096) -> DataFrame:
     """From members (key, slot, id, component, n, sig): the pairs (a, b) in the same key but not in
-    the same component of which the signatures are near, each at the first slot that it shares.
-
-    A key with more than ``tile`` members is cut into tiles, and each pair of tiles is a group of
-    its own; so no task holds more than two tiles of a key.
-    """
-    by_key = Window.partitionBy("key")
-    dealt = members.withColumns({"place": F.row_number().over(by_key.orderBy("id")) - 1, "size": F.count("*").over(by_key)})
-    own, last = F.floor(F.col("place") / tile), F.floor((F.col("size") - 1) / tile)
-    dealt = dealt.select("key", "slot", "id", "component", "n", "sig", own.alias("own"),
-                         F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own",
-                         "slot", "id", "component", "n", "sig")
+    the same component of which the signatures are near, each at the first slot that it shares. Each
+    pair of tiles of a key is a group of its own, so no task holds more than two tiles of a key."""
+    dealt = _tiles(members, tile).select("key", "lo", "hi", "own", "slot", "id", "component", "n", "sig")
     dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "id")
 
     def found(t: pa.Table):
@@ -177,8 +195,8 @@ def _cross_pairs(members: DataFrame, percent: int, tile: int = 4096) -> DataFram
             d = _differ(sig[i], sig[y])
             chunk, at = slot[i] // SPAN, slot[i] % SPAN
             y = y[(d[:, :chunk] >= 2).all(1) & ((d[:, chunk] == 1) | (at == 0))]
-            a.append(np.full(len(y), ids[i]))
-            b.append(ids[y])
+            a.append(np.minimum(ids[i], ids[y]))
+            b.append(np.maximum(ids[i], ids[y]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b)], ["a", "b"])
 
     def each(batches):
@@ -197,23 +215,13 @@ def _cross_pairs(members: DataFrame, percent: int, tile: int = 4096) -> DataFram
     return dealt.mapInArrow(each, "a long, b long")
 
 
-def _packed(h: np.ndarray) -> bytes:
-    return (h >> np.uint64(64 - 8 * KEPT_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
-
-
-def _unpacked(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // KEPT_BYTES, 8), np.uint8)
-    out[:, :KEPT_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, KEPT_BYTES)
-    return out.view("<u8").ravel()
-
-
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, full set) of the documents that some other document may be close to."""
     def each(batches):
         for d in rows(batches, 500):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d["id"], pa.int64()),
-                 pa.array([_packed(shingle_hashes(t, width)) for t in d["text"]], pa.binary())], ["id", "members"])
+                 pa.array([shingle_hashes(t, width).tobytes() for t in d["text"]], pa.binary())], ["id", "members"])
 
     chosen = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
     return chosen.mapInArrow(each, "id long, members binary")
@@ -226,8 +234,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep, last, have = [], None, None
             for a, x, y in zip(d["a"], d["members_a"], d["members_b"], strict=True):
                 if a != last:
-                    last, have = a, _unpacked(x)
-                other = _unpacked(y)
+                    last, have = a, np.frombuffer(x, np.uint64)
+                other = np.frombuffer(y, np.uint64)
                 both = np.concatenate([have, other])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -260,24 +268,24 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 5) ->
     classes = cut(signed.where("set_hash is not null").groupBy("set_hash").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
     reps = classes.where("id is not null").select("id", "n", "sig")
-    by_key = Window.partitionBy("key").orderBy("id")
-    shared = _keys(reps).withColumns({"before": F.lag("id").over(by_key), "after": F.lead("id").over(by_key),
-                                      "least": F.first("id").over(by_key)})
-    shared = cut(shared.where("before is not null or after is not null").select("key", "slot", "id", "least"))
+    twice = cut(_keys(reps).groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key"))
+    shared = cut(_keys(reps).join(twice, "key").select("key", "slot", "id"))
     sets = cut(_sets(docs, shared.select("id").distinct(), width))
-    stars = shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    # One order of all ids, so that groups which share many keys have the same pivots in all of them.
+    dice = F.xxhash64("id")
+    pivots = cut(shared.groupBy("key").agg(F.array(F.min("id"), F.min_by("id", dice), F.max_by("id", dice)).alias("pivots")))
+    stars = shared.join(pivots, "key").select(F.explode("pivots").alias("p"), "id").where("p <> id").select(
+        F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
     stars = _near_pairs(stars, reps, percent)
     first = cut(_confirmed(stars, sets, percent))
     label = components(first)
-    placed = shared.select("key", "slot", "id").join(label, "id", "left").select(
-        "key", "slot", "id", F.coalesce("component", "id").alias("component"))
-    whole = Window.partitionBy("key")
-    split = placed.withColumns({"low": F.min("component").over(whole), "high": F.max("component").over(whole)}).where(
-        "low <> high").select("key", "slot", "id", "component")
+    placed = cut(shared.join(label, "id", "left").select("key", "slot", "id", F.coalesce("component", "id").alias("component")))
+    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    split = cut(placed.join(cut(mixed_keys), "key"))
     cross = cut(_cross_pairs(split.join(reps, "id"), percent))
     label = components(cut(first.union(_confirmed(cross, sets, percent))))
-    placed = classes.select("set_hash", "id").join(label, "id", "left").select(
-        "set_hash", F.coalesce("component", "id").alias("component_id"))
+    placed = cut(classes.select("set_hash", "id").join(label, "id", "left").select(
+        "set_hash", F.coalesce("component", "id").alias("component_id")))
     # Two classes that share a doc_id as their smallest are one node already.
     out = signed.select("doc_id", "n_shingles", "set_hash").join(placed, "set_hash", "left")
     component = F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -288,6 +296,6 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 5) ->
 def keep_one(documents: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """documents without those whose component has a smaller doc_id; repeated rows of the doc_id
     that stays, all stay. Columns as given."""
-    gone = near_duplicates(documents, percent, width).where(~F.col("kept")).select(
-        F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    (name,) = spare(documents, "gone")
+    gone = near_duplicates(documents, percent, width).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -35,13 +35,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
   coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
 
 LINE_DEDUP = f"""
-WITH l AS MATERIALIZED (SELECT doc_id, place, line AS text, doc_id * 2147483648 + place AS own, regexp_extract_all({LOWER.replace('text', 'line')}, {WORD}) AS w
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL)),
-  f AS MATERIALIZED (SELECT w, min(own) AS first FROM l WHERE len(w) >= 8 GROUP BY w),
-  v AS MATERIALIZED (SELECT first, p AS at, array_to_string(CASE WHEN p = 0 THEN w ELSE w[1:p - 1] || w[p + 1:] END, ' ') AS key FROM (SELECT *, unnest(range(0, len(w) + 1)) AS p FROM f)),
-  bad AS (SELECT DISTINCT a.first FROM v a JOIN v b ON a.key = b.key AND (a.at = b.at OR a.at = 0 OR b.at = 0) AND a.first > b.first),
+WITH l AS MATERIALIZED (SELECT doc_id, place, line AS text, doc_id * 2147483648 + place AS own, array_to_string(w, ' ') AS s, w
+    FROM (SELECT *, regexp_extract_all({LOWER.replace('text', 'line')}, {WORD}) AS w FROM (SELECT doc_id,
+      unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL))),
+  f AS MATERIALIZED (SELECT s, min(own) AS first, CASE WHEN len(w) >= 8 THEN w WHEN length(s) >= 20 THEN string_split(s, '') END AS u,
+    len(w) >= 8 AS by_word FROM l WHERE len(w) > 0 GROUP BY s, w),
+  v AS MATERIALIZED (SELECT first, by_word, p AS at, CASE WHEN by_word THEN array_to_string(x, ' ') ELSE array_to_string(x, '') END AS key
+    FROM (SELECT *, CASE WHEN p = 0 THEN u ELSE u[1:p - 1] || u[p + 1:] END AS x FROM (SELECT *, unnest(range(0, len(u) + 1)) AS p FROM f WHERE u IS NOT NULL))),
+  bad AS (SELECT DISTINCT a.first FROM v a JOIN v b ON a.key = b.key AND a.by_word = b.by_word AND (a.at = b.at OR a.at = 0 OR b.at = 0) AND a.first > b.first),
   k AS (SELECT l.doc_id, l.place, l.text, f.first IS NOT NULL AND (l.own > f.first OR bad.first IS NOT NULL) AS gone
-    FROM l LEFT JOIN f ON f.w = l.w LEFT JOIN bad ON bad.first = f.first),
+    FROM l LEFT JOIN f ON f.s = l.s LEFT JOIN bad ON bad.first = f.first),
   t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(text, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text FROM k GROUP BY doc_id)
 SELECT doc_id, n_lines, coalesce(n_removed, 0) AS n_removed, sha256(t.text) AS text_sha256 FROM documents LEFT JOIN t USING (doc_id)"""
 

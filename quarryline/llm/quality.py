@@ -4,14 +4,17 @@ Four statistics of a text's shape are transformed so that their spread does not
 level: mean word length (logarithm), and the shares of symbols, repeated lines and repeated words
 (arcsine of the square root). For each language and source the minimum covariance determinant
 estimate gives their centre and covariance, untouched by up to half of the rows. A document is
-rejected if its squared Mahalanobis distance exceeds a chi-square quantile. Rows of a group too
-small for an estimate are held against that of their language, or else of all rows.
+rejected if its squared Mahalanobis distance exceeds a chi-square quantile.
+
+A group's estimate is drawn towards that of its language, and a language's towards that of all
+rows, by PRIOR_ROWS pseudo-rows: few rows hardly move it, many outweigh them, and the same
+arithmetic holds for a group of any size, of none even.
 
 The estimate starts from two fixed subsets (nearest to the medians, and nearest to the centre of
-all) and takes concentration steps. All rows of a group count: a step sums products for each
-band of distance, so the subset of the nearest half is a prefix of bands, and a group of any size
-is summed before the shuffle. Values are whole thousandths and sums are whole numbers, so results
-do not depend on the order of rows.
+all) and takes concentration steps until no determinant falls any more. All rows count: a step sums
+products for each narrow band of distance, so the nearest half is a run of whole bands and of the
+part of the last band that is missing, and a group of any size is summed before the shuffle.
+Values are whole thousandths and sums are whole numbers, so the order of rows does not matter.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, rows
+from .common import cut, discard, rows, spare
 
 DIMS = ("word_length", "symbols", "lines", "repeats")
 #: Least standard deviation of each statistic, as it counts in every group's covariance: most
@@ -29,10 +33,14 @@ DIMS = ("word_length", "symbols", "lines", "repeats")
 LEAST_SD = (0.10, 0.05, 0.15, 0.15)
 #: Pseudo-words of five characters added to each document, so that short ones do not stray by chance.
 PSEUDO_WORDS = 20
-#: Concentration steps, and bands of distance for each doubling of 1/16 + squared distance.
-STEPS, BANDS = 4, 8
-#: Groups with fewer rows take the estimate of their language, and languages with fewer that of all rows.
-LEAST_ROWS = 10
+#: Bands of distance for each doubling of 1/16 + squared distance.
+BANDS = 64
+#: A logarithm of a determinant that falls by less has settled; a guard against a loop without end.
+SETTLED, MOST_STEPS = 1e-3, 500
+#: Pseudo-rows by which the wider estimate counts in the narrower one.
+PRIOR_ROWS = 20
+#: Values for the medians from which an estimate starts are told apart to so many thousandths.
+START_STEP = 10
 #: Quantiles of the chi-square distribution with four degrees of freedom, at 0.975
 #: (rows that count in the reweighted estimate) and 0.9999 (rows that stay).
 CHI2_975, CHI2_9999 = 11.1433, 23.5127
@@ -92,179 +100,218 @@ def statistics(documents: DataFrame) -> DataFrame:
     return chosen.mapInArrow(each, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in STATS))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(stat=F.col) -> Column:
+    return (stat("n_words") < 10) | (100 * stat("n_repeat_words") > 20 * stat("n_words"))
 
 
-def _vector() -> list[Column]:
+def _vector(stat=F.col) -> list[Column]:
     """The transformed statistics in whole thousandths."""
     def share(part: str, whole: Column) -> Column:
-        return F.asin(F.sqrt(F.least(F.lit(1.0), F.col(part) / F.greatest(whole, F.lit(1)))))
+        return F.asin(F.sqrt(F.least(F.lit(1.0), stat(part) / F.greatest(whole, F.lit(1)))))
 
-    values = (F.log((F.col("word_chars") + 5 * PSEUDO_WORDS) / (F.col("n_words") + PSEUDO_WORDS)),
-              share("n_symbols", F.col("word_chars")), share("n_dup_lines", F.col("n_lines")),
-              share("n_repeat_words", F.col("n_words")))
+    values = (F.log((stat("word_chars") + 5 * PSEUDO_WORDS) / (stat("n_words") + PSEUDO_WORDS)),
+              share("n_symbols", stat("word_chars")), share("n_dup_lines", stat("n_lines")),
+              share("n_repeat_words", stat("n_words")))
     return [F.round(v * SCALE).cast("long").alias(d) for v, d in zip(values, DIMS, strict=True)]
 
 
-PAIRS = [(i, j) for i in range(len(DIMS)) for j in range(i, len(DIMS))]
-SUMS = [f"s{i}" for i in range(len(DIMS))] + [f"p{i}{j}" for i, j in PAIRS]
+D = range(len(DIMS))
+PAIRS = [(i, j) for i in D for j in range(i + 1)]
+SUMS = [f"s{i}" for i in D] + [f"p{i}{j}" for i, j in PAIRS]
+#: A centre, and the lower half of a covariance.
+MOMENTS = [f"m{i}" for i in D] + [f"c{i}{j}" for i, j in PAIRS]
+#: A centre, and the lower triangular matrix that makes a covariance the identity.
+PARAMS = [f"m{i}" for i in D] + [f"w{i}{j}" for i, j in PAIRS]
+GROUP = ["lang", "source"]
 
 
 def _sums() -> list[Column]:
-    singles = [F.sum(d).alias(f"s{i}") for i, d in enumerate(DIMS)]
-    return [F.count("*").alias("n"), *singles,
-            *(F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p{i}{j}") for i, j in PAIRS)]
+    return [F.count("*").alias("n"), *(F.expr(f"sum({d}) as s{i}") for i, d in enumerate(DIMS)),
+            *(F.expr(f"sum({DIMS[i]} * {DIMS[j]}) as p{i}{j}") for i, j in PAIRS)]
 
 
-def estimate(n: int, sums: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Centre, whitening matrix and log-determinant from sums of thousandths and of their products."""
-    d = len(DIMS)
-    mean = np.array([s / n for s in sums[:d]])
-    cov = np.zeros((d, d))
-    for (i, j), p in zip(PAIRS, sums[d:], strict=True):
-        cov[i, j] = cov[j, i] = p / n - mean[i] * mean[j]
-    cov = cov / SCALE**2 + np.diag(np.square(LEAST_SD))
-    lower = np.linalg.cholesky(cov)
-    return mean / SCALE, np.linalg.inv(lower), 2 * float(np.log(np.diag(lower)).sum())
+def _moments() -> list[Column]:
+    """MOMENTS from n and SUMS; the covariance holds LEAST_SD."""
+    out = [f"s{i} / n / {SCALE} as m{i}" for i in D]
+    for i, j in PAIRS:
+        least = LEAST_SD[i] ** 2 if i == j else 0
+        out.append(f"p{i}{j} / n / {SCALE**2} - s{i} / n / {SCALE} * (s{j} / n / {SCALE}) + {least}D as c{i}{j}")
+    return list(map(F.expr, out))
 
 
-PARAMS = "mean array<double>, white array<double>, logdet double"
+def _cholesky() -> list[str]:
+    """SQL of the lower triangular root of the covariance, of its inverse, and of the determinant;
+    later expressions use the names of earlier ones."""
+    out = []
+    for j in D:
+        for i in range(j, len(DIMS)):
+            rest = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            out.append(f"sqrt(c{j}{j}{rest}) as l{j}{j}" if i == j else f"(c{i}{j}{rest}) / l{j}{j} as l{i}{j}")
+    out += [f"1 / l{j}{j} as w{j}{j}" for j in D]
+    for gap in range(1, len(DIMS)):
+        for j in range(len(DIMS) - gap):
+            i = j + gap
+            out.append("-(" + " + ".join(f"l{i}{k} * w{k}{j}" for k in range(j, i)) + f") / l{i}{i} as w{i}{j}")
+    return [*out, "2 * (" + " + ".join(f"ln(l{i}{i})" for i in D) + ") as logdet"]
 
 
-def _params(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """From rows of sums, rows of PARAMS."""
-    types = {"lang": pa.string(), "source": pa.string(), "start": pa.int32()}
+CHOLESKY = _cholesky()
 
-    def each(batches):
-        for d in rows(batches):
-            out = [estimate(n, list(s)) for n, *s in zip(d["n"], *(d[c] for c in SUMS), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(d[k], types[k]) for k in keys), pa.array([m.tolist() for m, _, _ in out], pa.list_(pa.float64())),
-                 pa.array([w.ravel().tolist() for _, w, _ in out], pa.list_(pa.float64())), pa.array([x for _, _, x in out], pa.float64())],
-                [*keys, "mean", "white", "logdet"])
 
-    fields = ", ".join(f"{k} {'int' if k == 'start' else 'string'}" for k in keys)
-    return sums.select(*keys, "n", *SUMS).mapInArrow(each, f"{fields}, {PARAMS}")
+def _whitened(moments: DataFrame) -> DataFrame:
+    """moments with PARAMS and the logarithm of the determinant."""
+    return moments.selectExpr("*", *CHOLESKY).drop(*(f"l{i}{j}" for i, j in PAIRS))
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance to the joined parameters."""
-    d = len(DIMS)
-    gap = [F.col(x) / SCALE - F.col("mean")[i] for i, x in enumerate(DIMS)]
-    parts = []
-    for i in range(d):
-        z = F.lit(0.0)
-        for j in range(i + 1):
-            z = z + F.col("white")[i * d + j] * gap[j]
-        parts.append(z * z)
-    return sum(parts[1:], parts[0])
+def _distance(value: str = "{}", param: str = "{}") -> Column:
+    """Squared Mahalanobis distance of DIMS to PARAMS, in columns of these forms."""
+    gap = [f"({value.format(x)} / {SCALE} - {param.format(f'm{i}')})" for i, x in enumerate(DIMS)]
+    turned = [" + ".join(f"{param.format(f'w{i}{j}')} * {gap[j]}" for j in range(i + 1)) for i in D]
+    return F.expr(" + ".join(f"power({t}, 2)" for t in turned))
+
+
+def _band() -> Column:
+    return F.floor(BANDS * F.log2(F.lit(1 / 16) + F.col("d2"))).cast("int")
 
 
 def _medians(x: DataFrame) -> DataFrame:
-    """Parameters around the medians of each group. They come from counts of values, of which
-    there are a few thousand at most in each dimension."""
-    long = x.select("lang", "source", F.explode(F.array(*(
-        F.struct(F.lit(i).alias("dim"), F.col(d).alias("value")) for i, d in enumerate(DIMS)))).alias("v"))
-    counts = long.groupBy("lang", "source", "v.dim", "v.value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("lang", "source", "dim")
+    """PARAMS around the medians of each group, with the least spread. They come from counts of
+    values to START_STEP thousandths, of which there are a few hundred at most in each dimension."""
+    long = x.select(*GROUP, F.explode(F.array(*(
+        F.struct(F.lit(i).alias("dim"), F.floor(F.col(d) / START_STEP).alias("value")) for i, d in enumerate(DIMS)))).alias("v"))
+    counts = long.groupBy(*GROUP, "v.dim", "v.value").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*GROUP, "dim")
     below = counts.withColumns({"upto": F.sum("n").over(w.orderBy("value")), "all": F.sum("n").over(w)})
-    middle = below.where(2 * F.col("upto") >= F.col("all")).groupBy("lang", "source", "dim").agg(F.min("value").alias("value"))
-    folded = middle.groupBy("lang", "source").agg(*(
-        F.max(F.when(F.col("dim") == i, F.col("value"))).alias(f"m{i}") for i in range(len(DIMS))))
-    white = np.diag([1 / s for s in LEAST_SD]).ravel().tolist()
-    return folded.select("lang", "source", F.lit(0).alias("start"),
-                         F.array(*(F.col(f"m{i}") / SCALE for i in range(len(DIMS)))).alias("mean"),
-                         F.array(*map(F.lit, white)).alias("white"), F.lit(0.0).alias("logdet"))
-
-
-def _concentrated(x: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step for each group and start: PARAMS of the nearest half."""
-    band = F.floor(BANDS * F.log2(F.lit(1 / 16) + F.col("d2"))).cast("int")
-    near = x.join(params, ["lang", "source"]).withColumn("d2", _distance())
-    bands = near.withColumn("band", band).groupBy("lang", "source", "start", "band").agg(*_sums())
-    w = Window.partitionBy("lang", "source", "start")
-    before = F.coalesce(F.sum("n").over(w.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    half = F.floor((F.sum("n").over(w) + len(DIMS) + 1) / 2)
-    chosen = bands.withColumns({"before": before, "half": half}).where("before < half")
-    sums = chosen.groupBy("lang", "source", "start").agg(*(F.sum(c).alias(c) for c in ("n", *SUMS)))
-    return _params(sums, ["lang", "source", "start"])
-
-
-def robust_parameters(x: DataFrame) -> DataFrame:
-    """The reweighted minimum covariance determinant estimate of each group: lang, source, mean,
-    white (both in units of the transformed statistics)."""
-    groups = cut(x.groupBy("lang", "source").agg(*_sums()))
-    centre = _params(groups.withColumn("start", F.lit(1)), ["lang", "source", "start"])
-    params = cut(_medians(x).unionByName(centre))
-    for _ in range(STEPS):
-        params = cut(_concentrated(x, params))
-    best = Window.partitionBy("lang", "source").orderBy("logdet", "start")
-    raw = params.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place", "start")
+    middle = below.where(2 * F.col("upto") >= F.col("all")).groupBy(*GROUP, "dim").agg(F.min("value").alias("value"))
+    return middle.groupBy(*GROUP).agg(
+        *((F.max(F.when(F.col("dim") == i, F.col("value"))) * START_STEP / SCALE).alias(f"m{i}") for i in D),
+        *(F.max(F.lit(1 / LEAST_SD[i] if i == j else 0.0)).alias(f"w{i}{j}") for i, j in PAIRS))
+
+
+def _concentrated(x: DataFrame, state: DataFrame) -> DataFrame:
+    """One concentration step from the PARAMS of each group and start: MOMENTS, PARAMS and logdet of
+    the nearest half, and before, the logdet that it had."""
+    near = x.join(state.select(*GROUP, "start", *PARAMS), GROUP).withColumn("d2", _distance())
+    bands = near.withColumn("band", _band()).groupBy(*GROUP, "start", "band").agg(*_sums())
+    w = Window.partitionBy(*GROUP, "start")
+    rows_of = F.sum("n").over(w)
+    bands = bands.withColumns({"upto": F.sum("n").over(w.orderBy("band")),
+                               "half": F.least(rows_of, F.floor((rows_of + len(DIMS) + 1) / 2))})
+    taken = bands.where("upto - n < half").groupBy(*GROUP, "start").agg(F.max("half").alias("n"), *(F.expr(
+        f"coalesce(sum(if(upto <= half, {c}, null)), 0) + coalesce(max(if(upto > half, {c} * ((half - upto + n) / n), null)), 0) as {c}") for c in SUMS))
+    new = _whitened(taken.select(*GROUP, "start", *_moments()))
+    return new.join(state.select(*GROUP, "start", F.col("logdet").alias("before")), [*GROUP, "start"])
+
+
+def raw_estimates(x: DataFrame) -> DataFrame:
+    """The minimum covariance determinant estimate of each group of x (lang, source, DIMS): GROUP,
+    MOMENTS, PARAMS, logdet."""
+    centre = _whitened(x.groupBy(*GROUP).agg(*_sums()).select(*GROUP, *_moments()))
+    state = cut(_medians(x).withColumn("start", F.lit(0)).unionByName(centre.select(*GROUP, *PARAMS, F.lit(1).alias("start"))).withColumn(
+        "logdet", F.lit(float("inf"))))
+    done = []
+    for _ in range(MOST_STEPS):
+        new = cut(_concentrated(x, state))
+        if not done:
+            discard(state)
+        done.append(new.where(F.col("before") - F.col("logdet") <= SETTLED))
+        state = new.where(F.col("before") - F.col("logdet") > SETTLED)
+        if state.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"estimates did not settle in {MOST_STEPS} steps")
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    best = Window.partitionBy(*GROUP).orderBy("logdet", "start")
+    return found.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place", "start", "before")
+
+
+def robust_moments(x: DataFrame) -> DataFrame:
+    """The reweighted estimate of each group of x: GROUP, n (rows of the group) and MOMENTS."""
+    raw = cut(raw_estimates(x).select(*GROUP, *PARAMS))
     # The nearest half of normal data is too narrow: scale so that its widest row lies at the median.
-    near = x.join(raw, ["lang", "source"]).withColumn("d2", _distance())
-    band = F.floor(BANDS * F.log2(F.lit(1 / 16) + F.col("d2"))).cast("int")
-    bands = near.withColumn("band", band).groupBy("lang", "source", "band").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("lang", "source")
+    bands = x.join(raw, GROUP).withColumn("d2", _distance()).withColumn("band", _band()).groupBy(*GROUP, "band").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*GROUP)
     upto = bands.withColumns({"upto": F.sum("n").over(w.orderBy("band")), "all": F.sum("n").over(w)})
-    middle = upto.where(2 * F.col("upto") >= F.col("all")).groupBy("lang", "source").agg(F.min("band").alias("band"))
+    middle = upto.where(2 * F.col("upto") >= F.col("all")).groupBy(*GROUP).agg(F.min("band").alias("band"), F.max("all").alias("rows"))
     factor = F.greatest(F.lit(1.0), (F.pow(F.lit(2.0), (F.col("band") + 1) / BANDS) - 1 / 16) / CHI2_MEDIAN)
-    scaled = cut(raw.join(middle, ["lang", "source"]).select("lang", "source", "mean", "white", factor.alias("factor")))
-    kept = x.join(scaled, ["lang", "source"]).where(_distance() <= CHI2_975 * F.col("factor"))
-    sums = kept.groupBy("lang", "source").agg(*_sums())
-    return cut(_params(sums, ["lang", "source"]).drop("logdet"))
-
-
-def _judges(measured_rows: DataFrame) -> DataFrame:
-    """For each lang and source, level and key (of_lang, of_source) of the rows whose estimate judges
-    it: its own, those of its language (source ""), or all (both ""). An own source starts with "="."""
-    good = measured_rows.groupBy("lang", "source").agg(F.count_if(~base_failed()).alias("n"))
-    level = F.when(F.col("n") >= LEAST_ROWS, 0).when(F.sum("n").over(Window.partitionBy("lang")) >= LEAST_ROWS, 1).otherwise(2)
-    return good.withColumn("level", level).select(
-        "lang", "source", "level", F.when(F.col("level") == 2, "").otherwise(F.concat(F.lit("="), "lang")).alias("of_lang"),
-        F.when(F.col("level") > 0, "").otherwise(F.concat(F.lit("="), "source")).alias("of_source"))
-
-
-def _judging(good: DataFrame, judges: DataFrame) -> DataFrame:
-    """The rows of good once under each key that judges some group: lang, source (the key), DIMS."""
-    key = (F.concat(F.lit("="), "lang"), F.concat(F.lit("="), "source"))
-    own = good.join(judges.where("level = 0").select("lang", "source"), ["lang", "source"], "left_semi").select(
-        key[0].alias("lang"), key[1].alias("source"), *DIMS)
-    if judges.where("level = 1").isEmpty():
-        out = own
-    else:
-        out = own.unionByName(good.join(judges.where("level = 1").select("lang").distinct(), "lang", "left_semi").select(
-            key[0].alias("lang"), F.lit("").alias("source"), *DIMS))
-    if judges.where("level = 2").isEmpty():
-        return out
-    return out.unionByName(good.select(F.lit("").alias("lang"), F.lit("").alias("source"), *DIMS))
+    scaled = cut(raw.join(middle, GROUP).select(*GROUP, "rows", *PARAMS, factor.alias("factor")))
+    kept = x.join(scaled, GROUP).where(_distance() <= CHI2_975 * F.col("factor"))
+    return cut(kept.groupBy(*GROUP).agg(*_sums(), F.max("rows").alias("rows")).select(*GROUP, F.col("rows").alias("n"), *_moments()))
+
+
+def _drawn(groups: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:
+    """groups, whose MOMENTS are those of the wider group, with MOMENTS drawn from there to the own
+    estimate as far as its rows outweigh PRIOR_ROWS."""
+    mine = own.select(*keys, F.col("n").alias("own_n"), *(F.col(c).alias(f"own_{c}") for c in MOMENTS))
+    n = F.coalesce(F.col("own_n"), F.lit(0))
+    weight = n / (n + PRIOR_ROWS)
+    return groups.join(mine, keys, "left").select(*GROUP, *(
+        (weight * F.coalesce(f"own_{c}", F.lit(0.0)) + (1 - weight) * F.col(c)).alias(c) for c in MOMENTS))
+
+
+def parameters(measured_rows: DataFrame) -> DataFrame | None:
+    """PARAMS for each lang and source of measured_rows (lang, source, STATS, DIMS), from the rows that
+    pass the base rules; None if no row does."""
+    key = lambda c: F.concat(F.lit("="), F.col(c))
+    level = lambda a, b: F.struct(a.alias("lang"), b.alias("source"))
+    none = F.lit("")
+    good = measured_rows.where(~base_failed()).select(F.explode(F.array(
+        level(key("lang"), key("source")), level(key("lang"), none), level(none, none))).alias("g"), *DIMS)
+    found = robust_moments(good.select("g.lang", "g.source", *DIMS))
+    top = found.where("lang = '' and source = ''").first()
+    if top is None:
+        return None
+    groups = measured_rows.select(key("lang").alias("lang"), key("source").alias("source")).distinct()
+    groups = groups.withColumns({c: F.lit(top[c]) for c in MOMENTS})
+    groups = _drawn(groups, found.where("lang <> '' and source = ''"), ["lang"])
+    groups = _drawn(groups, found.where("source <> ''"), GROUP)
+    return cut(_whitened(groups).select(*(F.substring(c, 2, 1 << 30).alias(c) for c in GROUP), *PARAMS))
 
 
 def quality(documents: DataFrame, cutoff: float = CHI2_9999) -> DataFrame:
     """For each row of documents (doc_id, text, lang, source): doc_id, the five base statistics,
     base_failed (fewer than 10 words, or over a fifth of them repeated), distance2 (squared
-    Mahalanobis distance, null only if all rows fail the base rules) and kept. A group with fewer than
-    LEAST_ROWS rows that pass the base rules is held against the estimate of its language, or of all
-    rows if the language has fewer too.
+    Mahalanobis distance, null only if all rows fail the base rules) and kept.
 
     A null text is an empty one and fails. Null lang or source are groups of their own. Rows count
     as often as they stand; other columns are ignored; an empty table gives no rows.
     """
-    measured_rows = cut(statistics(documents).select("*", *_vector()))
     # Texts that fail anyway say nothing about their group.
-    good = measured_rows.where(~base_failed()).select("lang", "source", *DIMS)
-    judges = cut(_judges(measured_rows))
-    params = robust_parameters(_judging(good, judges)).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
-    params = judges.join(params, ["of_lang", "of_source"]).select("lang", "source", "mean", "white")
-    out = measured_rows.join(params, ["lang", "source"], "left").withColumn("distance2", _distance())
+    measured_rows = cut(statistics(documents).select("*", *_vector()))
+    params = parameters(measured_rows)
+    if params is None:
+        out = measured_rows.withColumn("distance2", F.lit(None).cast("double"))
+    else:
+        out = measured_rows.join(params, GROUP).withColumn("distance2", _distance())
     return out.select(
         "doc_id", *STATS[:5], base_failed().alias("base_failed"),
-        (~base_failed() & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)).alias("kept"), F.round("distance2", 3).alias("distance2"))
+        (~base_failed() & (F.col("distance2") <= cutoff)).alias("kept"), F.round("distance2", 3).alias("distance2"))
+
 
+def keep_good(documents: DataFrame, cutoff: float = CHI2_9999) -> DataFrame:
+    """documents without the rows that quality() rejects, columns as given. The texts are measured a
+    second time, which costs less than a shuffle of them."""
+    params = parameters(cut(statistics(documents).select("*", *_vector())))
+    if params is None:
+        return documents.where(F.lit(False))
+    stats, own = spare(documents, "stats", "params")
+    kind = pa.struct([(c, pa.int64()) for c in STATS])
 
-def keep_good(documents: DataFrame) -> DataFrame:
-    """documents without the rows that quality() rejects, columns as given. Rows are told apart by
-    a hash of doc_id, text, lang and source, so equal rows share their verdict."""
-    name = F.xxhash64("doc_id", "text", "lang", "source")
-    bad = quality(documents.select(name.alias("doc_id"), "text", "lang", "source")).where(~F.col("kept"))
-    return documents.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), name == F.col("_bad"), "left_anti")
+    def each(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = [dict(zip(STATS, measured(t), strict=True)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], [*part.schema.names, stats])
+
+    fields = [*documents.schema.fields, StructField(stats, StructType([StructField(c, LongType()) for c in STATS]))]
+    rows_of = documents.mapInArrow(each, StructType(fields))
+    named = params.select(F.struct("*").alias(own))
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    joined = rows_of.join(named, (part("lang") == F.col(f"{own}.lang")) & (part("source") == F.col(f"{own}.source")))
+    stat = lambda c: F.col(f"{stats}.{c}")
+    (at,) = spare(joined, "at")
+    joined = joined.where(~base_failed(stat)).withColumn(at, F.struct(*_vector(stat)))
+    return joined.where(_distance(f"{at}.{{}}", f"{own}.{{}}") <= cutoff).drop(stats, own, at)

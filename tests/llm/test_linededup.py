@@ -13,10 +13,26 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(docs, min_words):
+def alike(a, b, min_words, min_chars):
+    """Whether two normalised lines are equal or near, by the whole edit distance."""
+    if a == b:
+        return True
+    (x, y), (p, q) = (t.split(" ") for t in (a, b)), (a, b)
+    if len(x) >= min_words and len(y) >= min_words:
+        return abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1
+    if len(x) < min_words and len(y) < min_words and len(p) >= min_chars and len(q) >= min_chars:
+        return abs(len(p) - len(q)) <= 1 and distance(p, q) <= 1
+    return False
+
+
+def norm(line):
+    return b" ".join(line.encode().lower().split()).decode()
+
+
+def brute(docs, min_words=8, min_chars=20):
     """Text and removed lines of each row, by comparing every line with all earlier ones. Rows with
     one doc_id are one document."""
-    earlier, out, seen = [], [None] * len(docs), {}
+    earlier, out, seen = {}, [None] * len(docs), {}
     for k in sorted(range(len(docs)), key=lambda k: (docs[k][0] is None, docs[k][0] or 0, k)):
         text = docs[k][1]
         if text is None:
@@ -27,13 +43,12 @@ def brute(docs, min_words):
             continue
         kept, lines = [], text.split("\n")
         for line in lines:
-            w = line.encode().lower().split()
-            if len(w) >= min_words:
-                if any(abs(len(w) - len(e)) <= 1 and distance(w, e) <= 1 for e in earlier):
-                    earlier.append(w)
-                    continue
-                earlier.append(w)
-            kept.append(line)
+            w = norm(line)
+            gone = bool(w) and any(alike(w, e, min_words, min_chars) for e in earlier)
+            if w:
+                earlier[w] = True
+            if not gone:
+                kept.append(line)
         out[k] = seen[docs[k][0]] = ("\n".join(kept), len(lines) - len(kept))
     return out
 
@@ -52,24 +67,34 @@ def corpus():
                 w[at : at + r.choice([0, 1])] = r.choice([[], [r.choice(vocab)]])
             own.append(r.choice([" ", "  "]).join(w).upper() if r.random() < 0.2 else " ".join(w))
         docs.append((i, "\n".join(own)))
-    return [*docs, (None, docs[50][1]), docs[60], (200, "w1 " * 4000 + "\n" + "w1 " * 4001)]
+    docs += [(120, "\u7b2c\u4e00\u7ae0" * 9), (121, "\u7b2c\u4e00\u7ae0" * 8 + "\u7b2c\u4e8c\u7ae0"), (122, "\u7b2c\u4e00\u7ae0"),
+             (123, "\u7b2c\u4e8c\u7ae0"), (124, "Chapter 1\nchapter  1\nChapter 2"), (125, "Rights reserved, page 12"), (126, "rights reserved page 12\n \n "),
+             (127, "Rights reserved, page 123"), (128, "two words two words")]
+    return [*docs, (None, docs[50][1]), docs[60], (-5, docs[70][1]), (200, "w1 " * 1000 + "\n" + "w1 " * 1001), (201, "\u00e9" * 900), (202, "\u00e9" * 901)]
 
 
 def test_equals_brute_force(spark):
     docs = corpus()
-    for min_words in (5, 1):
-        df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as line", "2 as place", "3 as first").coalesce(1)
-        got = [(r.text, r.n_removed_lines) for r in linededup.dedup_lines(df, min_words).collect()]
-        assert sorted(map(str, got)) == sorted(map(str, brute(docs, min_words)))
-    assert sum(n for _, n in got) > 50
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    removed = []
+    for limits in ((8, 20), (5, 20), (1, 1), (99, 5)):
+        got = [(r.text, r.n_gone) for r in linededup.dedup_lines(df, *limits, count_as="n_gone").collect()]
+        assert sorted(map(str, got)) == sorted(map(str, brute(docs, *limits))), limits
+        removed.append(sum(n for _, n in got))
+    assert removed[2] > removed[1] > removed[0] > 50
 
 
 def test_digests_and_dropping(spark):
     line = "one two three four five six seven eight"
-    docs = [(2, line), (1, f"{line}\nshort"), (3, f"{line} nine\nx"), (4, "a\nb"), (5, None)]
+    docs = [(2, line), (1, f"{line}\nshort"), (3, f"{line} nine\nx"), (4, "a\nX"), (5, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text_sha256) for r in linededup.digests(df).collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    assert got == {1: (2, 0, sha(docs[1][1])), 2: (1, 1, sha("")), 3: (2, 1, sha("x")), 4: (2, 0, sha("a\nb")), 5: (None, 0, None)}
+    assert got == {1: (2, 0, sha(docs[1][1])), 2: (1, 1, sha("")), 3: (2, 1, sha("x")), 4: (2, 1, sha("a")), 5: (None, 0, None)}
     assert {r.doc_id for r in linededup.dedup_lines(df, drop_emptied=True).collect()} == {1, 3, 4, 5}
     assert linededup.digests(df.limit(0)).count() == 0
+    try:
+        linededup.dedup_lines(df, count_as="TEXT")
+    except ValueError:
+        return
+    raise AssertionError("no ValueError")

@@ -64,6 +64,27 @@ def test_small_tiles_find_the_same_pairs(spark):
     assert whole == tiled and once == len(tiled) > 50
 
 
+def test_tiles_of_large_components_do_not_meet(spark):
+    """A key with one large component, a few strays and a second large one: all pairs across, no others."""
+    rows = [("k", i, 0) for i in range(300)] + [("k", i, i) for i in range(300, 320)] + [("k", i, 500) for i in range(400, 500)]
+    rows += [("m", i, 0) for i in range(30)] + [("m", 99, 99)]
+    df = spark.createDataFrame(rows, "key string, id long, component long")
+    got = neardup._tiles(df, 16).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r.key, r.lo, r.hi), []).append(r)
+    assert max(map(len, groups.values())) < 80
+    pairs = set()
+    for (key, lo, hi), own in groups.items():
+        for x in own:
+            for y in own:
+                if x.id < y.id and x.component != y.component and (x.own != y.own or lo == hi):
+                    assert (key, x.id, y.id) not in pairs
+                    pairs.add((key, x.id, y.id))
+    assert pairs == {(k, a, b) for k, a, c in rows for l, b, d in rows if k == l and a < b and c != d}
+    assert len(got) == 300 * 9 + 100 * 21 + 20 * 28 + 30 + 3  # not 420 * 28: tiles of one component never meet
+
+
 def test_edge_rows(spark):
     """Empty table, null and repeated doc_id, columns that clash."""
     schema = "doc_id long, text string, id long, key string, component string, sig string"
