@@ -1,16 +1,25 @@
 """Main text of web pages by the line-block distribution.
 
-Markup is stripped block by block: every block element starts a new line. Lines inside menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments have no length. Over the
-lines run sums of ``window`` lengths; a sum that leaves zero is a surge point and one that falls
-back to zero a dive point, and the lines between the two are a stretch of text. Where the page
-names its article (article or main), the stretches inside it are kept, else all stretches.
+Markup is stripped block by block: every block element starts a new line, and elements that stand
+inside a line leave no break, even if nothing of them is shown. Lines of menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments are marked as apart. Each other line weighs
+as many characters as it has outside of links.
+
+Over the lines run sums of ``window`` weights. A dive point is where a sum falls to zero, a surge
+point where sums leave zero again; the lines between a surge and the next dive are a stretch, the
+lines that a sum of zero covers are none. So a line of nothing but links stays where text is near and
+goes where it stands in a run of its kind.
+
+Where the page names its article (article or main), the distribution is that of the article's own
+lines, and all stretches stay. Elsewhere it is that of the whole page, lines apart and mostly linked
+ones weighing nothing, and a stretch stays if its highest sum reaches ``share`` of the page's highest.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,12 +29,16 @@ from .common import rows
 
 #: Lines summed at each place of the distribution.
 WINDOW = 3
+#: Share of a page's highest sum that a stretch must reach on pages that name no article.
+SHARE = 0.15
 #: Elements whose text is never shown or never part of an article.
 DROPPED = frozenset("head nav footer aside form dialog menu button select option textarea label fieldset iframe object canvas svg math audio video map".split())
 #: Elements whose content is not markup.
 RAW = "script|style|noscript|template|title|xmp|noembed|noframes"
 #: Elements that stand inside a line.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big br button canvas cite code data del dfn em font i iframe img input ins kbd label map mark math meter "
+    "object output picture progress q rp rt ruby s samp select small span strike strong sub sup svg textarea time tt u var video wbr".split())
 #: Elements without an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class or id that name what is no article.
@@ -34,18 +47,36 @@ NAMES = frozenset(
     "disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices notification pager pagination "
     "paywall popup promo promoted promotion related replies respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe subscription toolbar topbar widget widgets".split())
+#: Words that may follow such a name without changing what it names.
+PLAIN = frozenset(
+    "area articles author bar block body bottom box btn button buttons card carousel cell col column container content desktop "
+    "feed form frame group header heading holder icon icons image inner item items label layer layout left link links list main "
+    "meta mobile module outer overlay pane panel post posts reply right row section site slot stories text thread title top unit "
+    "us view wide wrap wrapper x".split())
 #: Roles of the same kind.
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Elements that such a name never takes away, and words by which a name speaks of another element.
 KEPT, ABOUT = frozenset("html body article main".split()), frozenset("has no with without".split())
 
+#: Attributes up to the end of a tag. A quoted value ends where white space or the tag's end follows; if
+#: quotes don't pair up so, the tag ends at the first >.
+_REST = r"(?:(?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+>|[^>]*(?:>|$))"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.I | re.S)
+    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(?P<raw>{RAW})\b{_REST}.*?(?:</(?P=raw)\s*>|$)"
+    rf"|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>{_REST})", re.I | re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 
 
+def _names_other(word: str) -> bool:
+    """Whether a word of class or id names what is no article: it ends in such a name, or begins with
+    one and goes on with plain words only. "cookie-notice" and "ad-slot" do, "related-work" does not."""
+    parts = [p for p in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower()) if p]
+    if not parts or set(parts) & ABOUT:
+        return False
+    return parts[-1] in NAMES or parts[0] in NAMES and all(p in PLAIN or p in NAMES for p in parts)
+
+
 def _apart(name: str, attrs: str, in_article: bool) -> bool:
     """Whether an element that opens here is no part of an article."""
     if name in DROPPED or name == "header" and not in_article:
@@ -53,47 +84,63 @@ def _apart(name: str, attrs: str, in_article: bool) -> bool:
     if not attrs.strip() or name in KEPT:
         return False
     for m in ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            for one in value.split():
-                words = set(re.split(r"[^a-z]+", one))
-                if words & NAMES and not words & ABOUT or words == {"header"} and not in_article:
-                    return True
-        elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+            if any(_names_other(one) or one.lower() == "header" and not in_article for one in value.split()):
+                return True
+            continue
+        value = value.lower()
+        if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, counts, in article) of each line in page order; counts is false for what no article has."""
-    out: list[tuple[str, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters outside of links, apart, in article) of each line in page order."""
+    out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
-    skip, depth, article, left, linked, in_link = "", 0, 0, 0, 0, False
+    own: list[str] = []
+    skip, depth, article, left, in_link = "", 0, 0, 0, False
+    hidden, within, blocks = "", 0, 0  # an element inside a line of which nothing is shown
 
     def close() -> None:
-        nonlocal parts, linked
+        nonlocal parts, own
         text = SPACE.sub(" ", htmllib.unescape("".join(parts))).strip()
         if text:
-            # Outside a named article a line that is mostly links is a menu.
-            out.append((text, not skip and (article > 0 or 2 * linked <= len(text)), article > 0))
-        parts, linked = [], 0
+            plain = len(SPACE.sub(" ", htmllib.unescape("".join(own))).strip())
+            out.append((text, plain, bool(skip), article > 0))
+        parts, own = [], []
+
+    def add(text: str) -> None:
+        parts.append(text)
+        if not in_link:
+            own.append(text)
 
     for m in TOKEN.finditer(page):
-        text = page[left : m.start()]
+        if not hidden:
+            add(page[left : m.start()])
         left = m.end()
-        parts.append(text)
-        linked += len(text) if in_link else 0
         name = (m["name"] or "").lower()
         if not name:
             continue
-        if name not in INLINE or name == "br":
-            if name == "br":
-                parts.append(" ")
-            else:
-                close()
-        end, attrs = bool(m["end"]), m["attrs"]
+        end, attrs = bool(m["end"]), m["attrs"].removesuffix(">")
+        opens = not end and name not in VOID and not attrs.rstrip().endswith("/")
+        if hidden:
+            if name == hidden and (opens or end):
+                within += -1 if end else 1
+            elif name not in INLINE and (opens or end):
+                blocks += -1 if end else 1
+            if within and blocks >= 0:
+                continue
+            hidden = ""
+            if not within and blocks >= 0:
+                continue
+        if name == "br":
+            add(" ")
+        elif name not in INLINE:
+            close()
         if name == "a":
             in_link = not end
         if name in ("article", "main"):
@@ -101,53 +148,72 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                 skip, depth = "", 0  # what stays open before an article ends there
             article = max(0, article + (-1 if end else 1)) if not skip else article
         if skip:
-            if name == skip and name not in VOID and not attrs.rstrip().endswith("/"):
+            if name == skip and (opens or end):
                 depth += -1 if end else 1
                 if not depth:
                     close()
                     skip = ""
             elif end and name in ("body", "html"):
                 skip, depth = "", 0
-        elif not end and name not in VOID and not attrs.rstrip().endswith("/") and _apart(name, attrs, article > 0):
-            close()
-            skip, depth = name, 1
-    parts.append(page[left:])
+        elif opens and _apart(name, attrs, article > 0):
+            if name in INLINE:
+                hidden, within, blocks = name, 1, 0
+                in_link = False if name == "a" else in_link
+            else:
+                close()
+                skip, depth = name, 1
+    if not hidden:
+        add(page[left:])
     close()
     return out
 
 
-def stretches(sizes: list[int], window: int) -> list[tuple[int, int]]:
-    """[surge, dive) of each stretch of lines: window sums stay over zero between the two."""
-    out, start, zeros = [], None, 0
-    for i, n in enumerate(sizes):
-        if n:
-            start, zeros = i if start is None else start, 0
-        elif start is not None:
-            zeros += 1
-            if zeros >= window:
-                out.append((start, i - zeros + 1))
-                start = None
-    return out if start is None else [*out, (start, len(sizes) - zeros)]
+def sums(weights: list[int], window: int) -> list[int]:
+    """The distribution: the sum of each window of lines; a page of fewer lines is one window."""
+    upto = list(accumulate(weights, initial=0))
+    window = max(1, min(window, len(weights)))
+    return [upto[i + window] - upto[i] for i in range(len(weights) - window + 1)] if weights else []
 
 
-def main_text(page: str | None, window: int = WINDOW) -> str:
-    """The kept lines, joined by one newline."""
-    found = lines(page or "")
-    named = any(inside and counts for _, counts, inside in found)
-    # A line outside of a named article, or of none, has no length.
-    sizes = [len(t) if counts and (inside or not named) else 0 for t, counts, inside in found]
-    return "\n".join(found[i][0] for a, b in stretches(sizes, window) for i in range(a, b) if sizes[i])
+def stretches(weights: list[int], window: int) -> list[tuple[int, int, int]]:
+    """(surge, dive, highest sum) of each run of lines that no sum of zero covers."""
+    found = sums(weights, window)
+    size = len(weights) - len(found) + 1
+    out, start = [], 0
+    for i, total in enumerate([*found, 0]):
+        if total:
+            continue
+        stop = i if i < len(found) else len(weights)
+        if stop > start:  # a dive
+            out.append((start, stop, max(found[max(0, start - size + 1) : min(stop, len(found))])))
+        start = i + size  # the earliest line behind this window, where a surge may be
+    return out
 
 
-def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:
+def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:
+    """The lines of the stretches that stay, joined by one newline."""
+    found = lines(page or "")
+    inner = [x for x in found if x[3] and not x[2]]
+    if inner:
+        weights = [w for _, w, _, _ in inner]
+        if not any(weights):  # an article of nothing but links
+            weights = [len(t) for t, _, _, _ in inner]
+        return "\n".join(t for a, b, _ in stretches(weights, window) for t, _, _, _ in inner[a:b])
+    weights = [0 if apart or 2 * w < len(t) else w for t, w, apart, _ in found]
+    runs = stretches(weights, window)
+    least = share * max((top for _, _, top in runs), default=0)
+    return "\n".join(found[i][0] for a, b, top in runs if top >= least for i in range(a, b) if weights[i])
+
+
+def extract(pages: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """For each row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
 
-    Null or empty html, and pages without an article, give an empty text. Nulls in other columns
-    and repeated rows pass through, other columns are ignored, an empty table gives no rows.
+    Null or empty html gives an empty text, so do pages without a line that counts. Nulls in other
+    columns and repeated rows pass through, other columns are ignored, an empty table gives no rows.
     """
     def each(batches):
         for d in rows(batches, 250):
-            texts = [main_text(h, window) for h in d["html"]]
+            texts = [main_text(h, window, share) for h in d["html"]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d["page_id"], pa.int64()), pa.array(d["url"], pa.string()), pa.array(texts, pa.string()),
                  pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])

@@ -27,16 +27,50 @@ def test_interrupted_text_without_article():
         f"Sentence {i} of part {k}, {'long ' * k}".strip() for k in (1, 9, 2) for i in range(4)]
 
 
+def kept_lines(weights, window):
+    """Lines that no window of zero weight covers, by trying every window for every line."""
+    size = max(1, min(window, len(weights)))
+    windows = [range(i, i + size) for i in range(len(weights) - size + 1)]
+    return [i for i in range(len(weights)) if all(any(weights[k] for k in w) for w in windows if i in w)]
+
+
 def test_surge_and_dive_points():
-    assert htmltext.stretches([0, 3, 0, 0, 4, 0, 0, 0, 5, 0], 3) == [(1, 5), (8, 9)]
+    assert htmltext.sums([1, 2, 3, 4], 3) == [6, 9] and htmltext.sums([1, 2], 3) == [3] and htmltext.sums([], 3) == []
+    assert htmltext.stretches([0, 3, 0, 0, 4, 0, 0, 0, 5, 0], 3) == [(0, 5, 4), (8, 10, 5)]
+    assert htmltext.stretches([0, 3, 0, 0, 4], 1) == [(1, 2, 3), (4, 5, 4)]
     assert htmltext.stretches([], 3) == [] and htmltext.stretches([0, 0], 3) == []
-    for _ in range(50):
-        sizes = [random.choice([0, 0, 1]) for _ in range(20)]
-        runs = htmltext.stretches(sizes, 3)
-        sums = [sum(sizes[i : i + 3]) for i in range(-2, 20)]
-        assert sum(1 for a, b in zip([0, *sums], [*sums, 0], strict=True) if not a and b) == len(runs) or any(
-            sizes[max(0, i) : i + 3] == [] for i in range(20))
-        assert sum(b - a for a, b in runs) >= sum(sizes) == sum(sum(sizes[a:b]) for a, b in runs)
+    r = random.Random(2)
+    for _ in range(500):
+        weights, window = [r.choice([0, 0, 0, 1, 7]) for _ in range(r.randrange(16))], r.randrange(1, 6)
+        runs = htmltext.stretches(weights, window)
+        assert [i for a, b, _ in runs for i in range(a, b)] == kept_lines(weights, window)
+        assert all(top == max(sum(weights[i : i + min(window, len(weights))]) for i in range(len(weights))
+                              if i + min(window, len(weights)) <= len(weights) and i < b and i + min(window, len(weights)) > a) for a, b, top in runs)
+
+
+def test_windows_decide_what_stays():
+    """Links alone stay near text and go in runs, and how long a run is the window says."""
+    link = lambda k: f"<p><a href=/{k}>Link {k}</a></p>"
+    page = f"<nav>m</nav><article><p>One text.</p>{link(1)}{link(2)}<p>Two text.</p>{link(3)}</article>"
+    want = {1: "One text.\nTwo text.", 2: "One text.\nTwo text.\nLink 3", 3: "One text.\nLink 1\nLink 2\nTwo text.\nLink 3"}
+    assert {k: htmltext.main_text(page, k) for k in want} == want
+    assert htmltext.main_text(f"<article>{link(1)}{link(2)}</article>", 1) == "Link 1\nLink 2"
+    body = "".join(f"<div>A sentence of the main text, number {i}.</div>" for i in range(4))
+    page = f"<body><div>Top</div><div class=ad>a</div><div class=ad>b</div>{body}</body>"
+    main = [f"A sentence of the main text, number {i}." for i in range(4)]
+    assert htmltext.main_text(page, 2).split("\n") == main and htmltext.main_text(page, 3).split("\n") == ["Top", *main]
+
+
+def test_article_keeps_all_but_what_is_apart():
+    one = htmltext.main_text
+    related = "<div class=related><p>a</p><p>b</p><p>c</p></div>"
+    assert one(f"<article><p>First.</p>{related}<p>Second.</p></article>") == "First.\nSecond."
+    assert one('<article><p class="related-work">R</p><p class="notice-of-award">N</p><p id="adBanner">x</p><p class="cookie-notice">y</p>'
+               '<p class="ad-slot-1">z</p><p class="has-sidebar">S</p></article>') == "R\nN\nS"
+    assert one('<article><p title="abc>hello</p><p class="x">there</p></article>') == "hello\nthere"
+    assert one("<article><p title='a > b' id=\"q\">x</p><p data=it's>y</p><p") == "x\ny"
+    assert one("<article><p>A <svg><text>t</text></svg>b <video><p>no</p></video>c <span class=ad>buy <b>now</b></span>d</p>"
+               "<p>e <span class=ad>open</p><p>f</p></article>") == "A b c d\ne\nf"
 
 
 def test_generated_pages_give_their_blocks(spark):
