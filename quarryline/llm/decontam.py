@@ -4,7 +4,7 @@ Items and documents are taken as lower-cased words. The automaton of a block of
 words of a document and tracks the length of the longest match that ends at each word. A window is
 ``width`` consecutive words of an item, or a whole item of fewer words; a document word inside an
 occurrence of a window is hit. Items are few beside documents, so a block of them travels to every
-task; its size is checked, and more items than one block holds are handled in further passes.
+task; its size is counted, and more items than one block holds are handled in further passes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rows
+from .common import cut, rows, spare
 
 #: Bytes of item texts in one automaton; it is the bound on what each pass sends to the tasks.
 BLOCK_BYTES = 4 << 20
@@ -25,14 +25,15 @@ BLOCK_BYTES = 4 << 20
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
+def words(text: str | bytes | None) -> list[bytes]:
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return raw.translate(FOLD).split()
 
 
 class Automaton:
     """Suffix automaton of several word sequences, and for each state the items with windows there."""
 
-    def __init__(self, items: list[tuple[str | None, str]], width: int):
+    def __init__(self, items: list[tuple[str | None, str | bytes]], width: int):
         self.width = width
         self.ids: dict[bytes, int] = {}
         seqs = [(i, [self.ids.setdefault(w, len(self.ids)) for w in ws]) for i, t in items if (ws := words(t))]
@@ -143,21 +144,47 @@ class Automaton:
         return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)), items, longest
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """Parts of the items, each of about block_bytes, chosen by hash."""
+#: Words and bytes at which an item is cut into pieces that share width - 1 words.
+PIECE_WORDS, PIECE_BYTES = 4096, 1 << 16
+
+
+def _pieces(benchmark: DataFrame, width: int) -> DataFrame:
+    """(item_id, text) of the distinct items, long ones in pieces which together have the item's windows."""
+    def each(batches):
+        for d in rows(batches):
+            ids, texts = [], []
+            for i, text in zip(d["item_id"], d["text"], strict=True):
+                ws, start, at, size = words(text), 0, 0, 0
+                while at < len(ws):
+                    size += len(ws[at]) + 1
+                    at += 1
+                    full = at - start >= width and (at - start >= PIECE_WORDS or size >= PIECE_BYTES)
+                    if full or at == len(ws):
+                        ids.append(i)
+                        texts.append(b" ".join(ws[start:at]))
+                        start, size = at - width + 1, sum(map(len, ws[max(0, at - width + 1):at])) + width
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.binary())], ["item_id", "text"])
+
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total * 5 // (4 * block_bytes))) if total > block_bytes else 1
-    return [items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else items for i in range(n)]
+    return cut(items.mapInArrow(each, "item_id string, text binary").distinct())
 
 
-def _named(documents: DataFrame) -> DataFrame:
-    """documents with a _row that stays the same whenever they are read."""
-    return cut(documents.withColumn("_row", F.monotonically_increasing_id()))
+def _blocks(benchmark: DataFrame, block_bytes: int, width: int) -> list[DataFrame]:
+    """Parts of the items, chosen by hash, of which none has more than block_bytes; only a single
+    piece may. Sizes are counted; more parts are made until all keep the bound."""
+    pieces = _pieces(benchmark, width)
+    size = F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 1
+    part = lambda n: F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    total = pieces.agg(F.sum(size)).first()[0] or 0
+    n = 1 if total <= block_bytes else -(-total * 5 // (4 * block_bytes))
+    while pieces.groupBy(part(n)).agg(F.sum(size).alias("size"), F.count("*").alias("n")).where(f"size > {block_bytes} and n > 1").count():
+        n = 2 * n
+    return [pieces.where(part(n) == i) if n > 1 else pieces for i in range(n)]
 
 
-def _collected(block: DataFrame) -> list[tuple[str | None, str]]:
-    return [(r.item_id, r.text) for r in block.where("text is not null").collect()]
+def _collected(block: DataFrame) -> list[tuple[str | None, bytes]]:
+    """The rows of one block, at most block_bytes."""
+    return [(r.item_id, bytes(r.text)) for r in block.collect()]
 
 
 SPANS = "doc_id long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>, longest int"
@@ -167,21 +194,22 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, b
                   row: str | None = None) -> DataFrame:
     """For each row of documents (doc_id, text): doc_id, n_words, spans (word ranges [start, stop)
     inside windows of benchmark items), items (their sorted distinct item_ids, as strings) and
-    longest (words of the longest match). row: a column that tells rows apart, returned as well.
+    longest (words of the longest match, which may end at a piece of PIECE_WORDS words). row: a column that tells rows apart, returned as well.
 
     Null and empty texts have no words and no spans; items without words have no windows; items
     without item_id make hits but are not listed; repeated items and rows count as they are. Other
     columns are ignored. Empty tables give no spans or no rows.
     """
-    blocks = _blocks(benchmark, block_bytes)
+    blocks = _blocks(benchmark, block_bytes, width)
     keep = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    if len(blocks) > 1 and row is None:
+    chosen = documents.select(*keep, *([F.col(f"`{row}`").cast("long").alias("_row")] if row else []))
+    if len(blocks) == 1:
+        return _scanned(chosen, blocks[0], width)
+    if row is None:
         # Several passes meet by row, so rows need a name that repeated doc_ids don't give.
-        documents, row = _named(documents.select(*keep)), "_row"
-    chosen = documents.select(*keep, *([F.col(row).cast("long").alias("_row")] if row else []))
-    passes = [_scanned(chosen, block, width) for block in blocks]
-    if len(passes) == 1:
-        return passes[0]
+        chosen = cut(chosen.withColumn("_row", F.monotonically_increasing_id()))
+    # Each pass ends before the next block is fetched, so the driver holds one at a time.
+    passes = [cut(_scanned(chosen, block, width)) for block in blocks]
     merged = passes[0]
     for p in passes[1:]:
         merged = merged.union(p)
@@ -258,11 +286,12 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, coverage_per
                         block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """documents without the rows of which benchmark windows cover coverage_percent of the words or
     more. The other rows stay as they are, with all their columns."""
-    blocks = _blocks(benchmark, block_bytes)
+    blocks = _blocks(benchmark, block_bytes, 13)
     if len(blocks) > 1:
-        named = _named(documents)
-        bad = contamination(named, benchmark, 13, block_bytes, "_row").where(is_contaminated(coverage_percent))
-        return named.join(bad.select("_row"), "_row", "left_anti").select(*documents.columns)
+        (row,) = spare(documents, "row")
+        named = cut(documents.withColumn(row, F.monotonically_increasing_id()))
+        bad = contamination(named, benchmark, 13, block_bytes, row).where(is_contaminated(coverage_percent)).select(F.col("_row").alias(f"{row}_bad"))
+        return named.join(bad, F.col(row) == F.col(f"{row}_bad"), "left_anti").drop(row)
     items = _collected(blocks[0])
 
     def each(batches):
@@ -283,7 +312,7 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, coverage_per
 def without_spans(documents: DataFrame, benchmark: DataFrame, max_length: int = 13) -> DataFrame:
     """doc_id, text of each row of documents, with every span of max_length or more hit words cut
     out of the text. A null text stays null."""
-    named = _named(documents.select("doc_id", "text"))
+    named = cut(documents.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
     found = contamination(named, benchmark, row="_row").select("_row", "spans")
 
     def each(batches):

@@ -4,8 +4,10 @@ A document is its lower-cased words and one end. A word is spelled as a mark of
 bytes; every way to cut this into pieces of an existing vocabulary, or into single bytes, is a
 path of the word's lattice. Pieces have unigram probabilities; a forward recursion sums the paths
 in log space, and since no piece crosses a word the document's marginal probability is the product
-over its words and the end. The vocabulary's own scores are the starting weights; expectation
-maximisation over all words of the training documents then fits them to the corpus.
+over its words and the end. The mark is none of a text's bytes, so texts and sequences of pieces
+match one to one and the probabilities of all texts sum to 1 at most. The vocabulary's own scores
+are the starting weights; expectation maximisation over all words of the training documents then
+fits them to the corpus (with rounds=0 the starting weights stay).
 
 Each block of documents is stored as its distinct words and a sparse matrix of counts. Words meet
 the corpus-wide table once for each block rather than once for each document, and the text is read
@@ -27,7 +29,9 @@ BLOCK_WORDS = 1 << 22
 ROUNDS = 1
 #: Added to each piece's expected count, so that none becomes impossible.
 ADDED = 0.1
-MARK = "▁".encode()
+#: The mark of a word's start in piece names, and the byte that stands for it: no text in UTF-8 has it,
+#: so a word that contains the mark's character is spelled by that character's bytes.
+SHOWN, MARK = "▁".encode(), b"\xff"
 END = b""  # no word is empty
 
 
@@ -86,8 +90,9 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     for i in range(m.get_piece_size()):
         if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i)) and m.get_score(i) > -1e6:
             b = m.id_to_piece(i).encode()
+            b = MARK + b[len(SHOWN):] if b.startswith(SHOWN) else b
             # Lower-cased words meet no capitals, and a mark stands only at a word's start.
-            if b == b.lower() and MARK not in b[len(MARK):]:
+            if b == b.lower() and SHOWN not in b:
                 weight[b] = max(weight.get(b, -np.inf), -np.log(2.0 - m.get_score(i)))
     names = [*weight, END]
     w = np.array([*weight.values(), -np.log(2.0)])

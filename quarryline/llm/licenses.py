@@ -1,11 +1,13 @@
 """Licence scan: cosine of passages to templates, and inheritance along directories.
 
-Each line and each paragraph of a file is a passage if it has one of the words that licence
-statements turn on. Passages and templates are sparse TF-IDF vectors, with document frequencies
-over the templates; the most similar template names the passage's licence. Licence files pass
-their licence on to the files below their directory: a file without a statement of its own takes
-the one of its nearest ancestor directory that has a licence file, found by joining directories
-with their ancestors.
+Every line and every paragraph of a file is a passage. Passages and templates are sparse TF-IDF
+vectors, with document frequencies over the templates; the most similar template names the
+passage's licence. Terms that no template has only lengthen a passage's vector, so a passage whose
+known terms weigh too little beside them can't reach the threshold and needs no product.
+
+Licence files pass their licence on to the files below their directory: a file without a statement
+of its own takes the one of its nearest ancestor directory that has a licence file, found by joining
+directories with their ancestors.
 """
 
 from __future__ import annotations
@@ -22,39 +24,73 @@ from .common import cut, rows
 
 #: Least cosine of a passage that states a licence.
 THRESHOLD = 0.6
-#: Short statements of common licences.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT license."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-            "documentation files, to deal in the Software without restriction"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-                "License as published by the Free Software Foundation, either version 3 of the License"),
-    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has dedicated this work to the public domain under CC0 1.0."),
+#: SPDX identifiers, names by which texts call the licence, and openings or notices of its full text.
+LICENCES = (
+    ("MIT", ("the MIT License",),
+     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+      "documentation files, to deal in the Software without restriction",)),
+    ("Apache-2.0", ("the Apache License, Version 2.0", "Apache License 2.0"),
+     ("Apache License Version 2.0, January 2004",
+      "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.")),
+    ("GPL-2.0", ("the GNU General Public License, version 2", "GNU GPL v2"),
+     ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+      "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+      "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.")),
+    ("GPL-3.0", ("the GNU General Public License, version 3", "GNU GPL v3"),
+     ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+      "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+      "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")),
+    ("LGPL-2.1", ("the GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1"),
+     ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",)),
+    ("LGPL-3.0", ("the GNU Lesser General Public License, version 3", "GNU LGPL v3"),
+     ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",)),
+    ("AGPL-3.0", ("the GNU Affero General Public License, version 3", "GNU AGPL v3"),
+     ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",)),
+    ("BSD-2-Clause", ("the BSD 2-Clause License", "the Simplified BSD License"), ()),
+    ("BSD-3-Clause", ("the BSD 3-Clause License", "the New BSD License"),
+     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+      "following conditions are met",
+      "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software")),
+    ("ISC", ("the ISC License",),
+     ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",)),
+    ("MPL-2.0", ("the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0"),
+     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",)),
+    ("EPL-2.0", ("the Eclipse Public License, version 2.0",), ()),
+    ("Unlicense", ("the Unlicense",), ("This is free and unencumbered software released into the public domain.",)),
+    ("CC0-1.0", ("CC0 1.0 Universal", "the Creative Commons Zero v1.0 Universal licence"),
+     ("To the extent possible under law, the author has dedicated this work to the public domain under CC0 1.0.",)),
+    ("CC-BY-4.0", ("a Creative Commons Attribution 4.0 International License", "CC BY 4.0"), ()),
+    ("CC-BY-SA-4.0", ("a Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"), ()),
+    ("CC-BY-NC-4.0", ("a Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"), ()),
+    ("CC-BY-ND-4.0", ("a Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0"), ()),
+    ("CC-BY-NC-SA-4.0", ("a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC BY-NC-SA 4.0"), ()),
+    ("CC-BY-3.0", ("a Creative Commons Attribution 3.0 Unported License", "CC BY 3.0"), ()),
+    ("CC-BY-SA-3.0", ("a Creative Commons Attribution-ShareAlike 3.0 Unported License", "CC BY-SA 3.0"), ()),
 )
-ANCHOR = re.compile(r"licen[sc]e|permission is hereby|redistribution and use|public domain|redistribute it", re.I)
+#: How headers state a licence of some name, and of some identifier.
+BY_NAME = ("Licensed under {}.", "Released under {}.", "This work is licensed under {}.")
+BY_ID = ("SPDX-License-Identifier: {}", "License: {}")
+
+
+def templates(licences=LICENCES) -> tuple[tuple[str, str], ...]:
+    """(identifier, text) of all templates."""
+    return tuple((spdx, t) for spdx, names, texts in licences for t in (
+        *(form.format(n) for form in BY_NAME for n in names), *(form.format(spdx) for form in BY_ID), *texts))
+
+
+TEMPLATES = templates()
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: A file of such a name is a licence file.
 LICENCE_NAME = r"(?i)^(licen[sc]e|copying|unlicense)([.-].*)?$"
 
 
+def terms(passage: str) -> list[str]:
+    return TERM.findall(passage.lower())
+
+
 class Templates:
     def __init__(self, templates):
-        counts = [(name, Counter(TERM.findall(text.lower()))) for name, text in templates]
+        counts = [(name, Counter(terms(text))) for name, text in templates]
         df = Counter(t for _, c in counts for t in c)
         self.rare = math.log(1 + len(counts)) + 1
         self.idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
@@ -65,39 +101,55 @@ class Templates:
             for t, n in c.items():
                 self.postings.setdefault(t, []).append((i, n * self.idf[t] / norm))
 
-    def best(self, passage: str) -> tuple[float, str | None]:
-        """Highest cosine and its licence; the alphabetically first of equals."""
-        c = Counter(TERM.findall(passage.lower()))
+    def best(self, found: list[str], least: float = 0.0) -> tuple[float, str | None]:
+        """Highest cosine of a passage of these terms and its licence; the alphabetically first of
+        equals. (0, None) if it is sure to be under least."""
+        idf = self.idf
+        known = Counter(t for t in found if t in idf)
+        if not known:
+            return 0.0, None
+        own = sum((n * idf[t]) ** 2 for t, n in known.items())
+        n_other = len(found) - known.total()
+        # Other terms are at their lightest if all differ; the cosine is then that of the known part at most.
+        if own < least * least * (own + n_other * self.rare**2) * (1 - 1e-9):
+            return 0.0, None
+        norm = own + sum((n * self.rare) ** 2 for n in Counter(t for t in found if t not in idf).values())
         dots: dict[int, float] = {}
-        norm = 0.0
-        for t, n in c.items():
-            w = n * self.idf.get(t, self.rare)
-            norm += w * w
-            for i, v in self.postings.get(t, ()):
+        for t, n in known.items():
+            w = n * idf[t]
+            for i, v in self.postings[t]:
                 dots[i] = dots.get(i, 0.0) + w * v
-        if not dots:
-            return 0.0, None
-        return max(((d / math.sqrt(norm), self.names[i]) for i, d in dots.items()), key=lambda x: (round(x[0], 9), [-ord(ch) for ch in x[1]]))
+        score, name = min((-round(d / math.sqrt(norm), 9), self.names[i]) for i, d in dots.items())
+        return -score, name
 
     def scan(self, text: str | None) -> tuple[float, str | None, int]:
-        """Best cosine, licence and passages that state one, over the lines and paragraphs of a text."""
+        """Best cosine, licence and passages that state one, over the lines of a text and its paragraphs
+        of several lines. Of equal passages the first counts; a best cosine under THRESHOLD is 0."""
         top, found, n = 0.0, None, 0
-        if not text or not ANCHOR.search(text):
-            return top, found, n
-        lines = text.split("\n")
-        passages = [x for x in lines if ANCHOR.search(x)]
-        paragraphs = [p for p in re.split(r"\n[ \t]*\n", text) if "\n" in p and ANCHOR.search(p)]
-        for p in [*passages, *paragraphs]:
-            score, name = self.best(p)
-            n += score >= THRESHOLD
-            if name is not None and score > top:
-                top, found = score, name
-        return (top, found, n) if top >= THRESHOLD else (top, None, n)
+        paragraph: list[list[str]] = []
+
+        def judge(passage: list[str]) -> None:
+            nonlocal top, found, n
+            score, name = self.best(passage, THRESHOLD)
+            if score >= THRESHOLD:
+                n += 1
+                if score > top:
+                    top, found = score, name
+
+        for line in [*(text or "").split("\n"), ""]:
+            if line.strip(" \t"):
+                paragraph.append(terms(line))
+                judge(paragraph[-1])
+            else:
+                if len(paragraph) > 1:
+                    judge([t for x in paragraph for t in x])
+                paragraph = []
+        return top, found, n
 
 
 def statements(files: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """path, own_license (null if no passage reaches THRESHOLD), own_score (best cosine, six
-    decimals), n_statements for each row of files (path, text)."""
+    """path, own_license (null if no passage reaches THRESHOLD), own_score (best cosine, six decimals, 0
+    under THRESHOLD), n_statements for each row of files (path, text)."""
     def each(batches):
         t = Templates(templates)
         for d in rows(batches):
@@ -130,19 +182,25 @@ def licences(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     above = dirs.select("dir", F.explode(F.sequence(F.lit(0), depth)).alias("depth")).withColumn(
         "ancestor", F.expr("substring_index(dir, '/', depth)"))
     nearest = above.join(given, "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "given")).alias("x"))
-    out = scanned.join(nearest.select("dir", F.col("x.ancestor").alias("ancestor"), F.col("x.given").alias("given")), "dir", "left")
+    # Written, so that Spark can split the files of a hot directory in the join.
+    nearest = cut(nearest.select("dir", F.col("x.ancestor").alias("ancestor"), F.col("x.given").alias("given")))
+    out = scanned.join(nearest, "dir", "left")
     return out.select("path", "own_license", "own_score", "n_statements", "is_licence_file",
                       F.coalesce("own_license", "given").alias("license"),
                       F.when(F.col("own_license").isNull(), F.col("ancestor")).alias("inherited_from"))
 
 
 def laid_out(documents: DataFrame) -> DataFrame:
-    """documents as files (path, text): source/lang/class/doc_id.txt, the class being a hash of the
-    doc_id. A short document that is little more than a licence statement is the licence file of its
-    class if the hash is odd, else of its language."""
+    """documents (doc_id, text, lang, source) as files (path, text): source/lang/class/doc_id.txt, the
+    class being a hash of the doc_id. A short document that is little more than a licence statement is
+    the licence file of its class if the hash is odd, else of its language.
+
+    A null or empty source, lang or doc_id gives the name "none"; a slash in a name becomes "_", so
+    no name shifts the tree. Repeated rows stay; an empty table gives no rows.
+    """
     part = F.lpad(F.hex(F.pmod(F.xxhash64("doc_id"), F.lit(16))), 2, "0")
-    top = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    name = lambda c: F.coalesce(F.nullif(F.replace(F.col(c).cast("string"), F.lit("/"), F.lit("_")), F.lit("")), F.lit("none"))
     short = F.coalesce((F.length("text") < 600) & F.col("text").rlike(r"(?i)licen[sc]ed?\b"), F.lit(False))
     odd = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
-    file = F.when(short, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return documents.select(F.concat_ws("/", top, F.when(~short | odd, part), file).alias("path"), "text")
+    file = F.when(short, F.concat(F.lit("LICENSE-"), name("doc_id"))).otherwise(F.concat(name("doc_id"), F.lit(".txt")))
+    return documents.select(F.concat_ws("/", name("source"), name("lang"), F.when(~short | odd, part), file).alias("path"), "text")

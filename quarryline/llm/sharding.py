@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Bits of each quantised dimension.
-BITS = 5
+#: Bits of each quantised dimension: half steps of the order of magnitude of any 64-bit size fit.
+BITS = 7
 
 
 def hilbert_index(dims: list[np.ndarray], bits: int) -> np.ndarray:
@@ -54,10 +54,10 @@ def on_curve(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
 
 def quantised(bits: int = BITS) -> list[Column]:
     """Coordinates of a row with lang, source and size: hash classes of the names, so that equality
-    prunes, and the binary order of magnitude of the size, in half steps."""
+    prunes, and the binary order of magnitude of the size, in half steps (at most 125)."""
     top = (1 << bits) - 1
     names = [F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(top + 1)) for c in ("lang", "source")]
-    return [*names, F.least(F.floor(2 * F.log2(F.col("size").cast("double"))), F.lit(top))]
+    return [*names, F.floor(2 * F.log2(F.col("size").cast("double")))]
 
 
 def shards(documents: DataFrame, n_shards: int = 8) -> DataFrame:

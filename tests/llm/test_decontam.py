@@ -57,12 +57,26 @@ def test_blocks_of_items_and_removal(spark):
     many = decontam.contamination(d, b, block_bytes=300)
     key = lambda r: (r.doc_id, r.n_words, [(s.start, s.stop) for s in r.spans], r["items"])
     assert sorted(map(key, one.collect()), key=str) == sorted(map(key, many.collect()), key=str)
+    sizes = [sum(len(t) for _, t in decontam._collected(x)) for x in decontam._blocks(b.union(b), 300, 13)]
+    assert len(sizes) > 3 and max(sizes) <= 300
     bad = {i for i, t in docs if brute(t, items)[4]}
     for size in (1 << 20, 300):
         left = decontam.remove_contaminated(d, b, block_bytes=size)
         assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {i for i, _ in docs} - bad
 
 
+def test_long_items_and_texts(spark, monkeypatch):
+    """Items in pieces give the windows of whole items; a text of 200,000 words is one document."""
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 20)
+    docs, items = data()
+    long = " ".join(f"v{i % 97}x{i % 89}" for i in range(200_000))
+    d = spark.createDataFrame([*docs, (99, long)], "doc_id long, text string")
+    b = spark.createDataFrame([*items, (30, " ".join(long.split()[100_000:100_090]))], "item_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in decontam.digests(d, b).collect()}
+    hit = got.pop(99)
+    assert got == {i: brute(t, items) for i, t in docs} and hit[0] == 200_000 and hit[1] % 90 == 0 and hit[2] == 1
+
+
 def test_cuts_spans(spark):
     item = " ".join(f"v{i}" for i in range(15))
     d = spark.createDataFrame([(1, f"Before, {item.upper()}; after é"), (2, None), (3, "clean text")], "doc_id long, text string")

@@ -1,7 +1,9 @@
+import itertools
 import math
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
 
 from quarryline.llm import lattice
@@ -87,3 +89,27 @@ def test_held_out_text_teaches_nothing(spark):
 
 def test_empty_table(spark):
     assert lattice.score(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_mark_is_no_text(spark):
+    """A word that holds the mark's character is not two words."""
+    docs = [(1, "the of"), (2, "the\u2581of"), (3, "the \u2581of"), (4, "\u2581the of")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in lattice.score(df, public_tokenizers.path("piece_bpe_32k.model"), rounds=0).collect()}
+    assert len({round(x, 6) for x in scores.values()}) == 4 and max(scores, key=scores.get) == 1
+
+
+def test_probabilities_of_all_texts_sum_to_one_at_most():
+    """Words of a small alphabet, the mark's character in it; more of them come closer to all that the
+    end leaves, and never pass it."""
+    names = [bytes([b]) for b in range(256)] + [lattice.MARK + b"a", b"ab", b"ba", lattice.SHOWN, lattice.MARK + lattice.SHOWN, lattice.END]
+    weight = np.full(len(names), 1e-12)
+    for n in (b"a", b"b", lattice.MARK, lattice.MARK + b"a", b"ab", b"ba", lattice.SHOWN, lattice.MARK + lattice.SHOWN):
+        weight[names.index(n)] = 1.0
+    weight[-1] = 3.0
+    scores = np.log(weight / weight.sum())
+    pieces, sums = lattice.Pieces(names[:-1], scores[:-1]), []
+    for most in (2, 4, 6):
+        words = [b"".join(w) for n in range(1, most + 1) for w in itertools.product((b"a", b"b", lattice.SHOWN), repeat=n)]
+        sums.append(sum(np.exp(lattice.forward(pieces, m)).sum() for _, m in lattice.by_length(words)))
+    assert sums[0] < sums[1] < sums[2] < 1 - np.exp(scores[-1])

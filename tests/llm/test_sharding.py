@@ -32,6 +32,26 @@ def test_rows_law(spark):
     assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
 
 
+def test_order_and_pruning(spark):
+    """Rows stand in the order that sorting all of them by coordinates gives, sizes of megabytes apart
+    from those of kilobytes; and shards hold fewer values of each dimension than rows dealt at random."""
+    docs = [(i % 150, "z" * 4 ** (i % 11), f"l{i % 4}", f"s{i % 11}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    names = {r.n: r.h for r in spark.createDataFrame([(x,) for x in {n for d in docs for n in d[2:]}], "n string").selectExpr(
+        "n", f"pmod(xxhash64(n), {1 << sharding.BITS}) as h").collect()}
+    size = [len(t) + 1 for _, t, _, _ in docs]
+    z = np.floor(2 * np.log2(size)).astype(int)
+    assert len({v for v, s in zip(z, size, strict=True) if s > 46_000}) == 3
+    h = sharding.hilbert_index([np.array([names[d[2]] for d in docs]), np.array([names[d[3]] for d in docs]), z], sharding.BITS)
+    order = sorted(range(300), key=lambda i: (h[i], docs[i][0], zlib.crc32(docs[i][1].encode())))
+    want = [(docs[i][0], size[i], int(h[i]), k * 8 // 300) for k, i in enumerate(order)]
+    rows = sharding.shards(df.repartition(4)).collect()
+    assert [(r.doc_id, r.size, r.hilbert, r.shard) for r in sorted(rows, key=lambda r: (r.shard, r.slot))] == want
+    held = lambda part: sum(len({(k, v) for i in range(300) if part[i] == s for k, v in enumerate((docs[i][2], docs[i][3], z[i]))}) for s in range(8))
+    curve = {i: k * 8 // 300 for k, i in enumerate(order)}
+    assert held(curve) < 0.75 * held({i: zlib.crc32(b"%d" % i) % 8 for i in range(300)})
+
+
 def test_few_rows(spark):
     schema = "doc_id long, text string, lang string, source string"
     assert sharding.shards(spark.createDataFrame([], schema)).count() == 0
