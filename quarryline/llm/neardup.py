@@ -295,7 +295,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 5) ->
 
 def keep_one(documents: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """documents without those whose component has a smaller doc_id; repeated rows of the doc_id
-    that stays, all stay. Columns as given."""
+    that stays, all stay, and so do rows without doc_id, which nothing can name. Columns as given."""
     (name,) = spare(documents, "gone")
     gone = near_duplicates(documents, percent, width).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -2,7 +2,6 @@ import hashlib
 import os
 import sys
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -12,28 +11,21 @@ import tokenizers
 sys.path.insert(0, os.path.dirname(__file__))
 from test_decontam import brute as contaminated  # noqa: E402
 from test_neardup import brute as components  # noqa: E402
-from test_quality import base, estimated  # noqa: E402
+from test_linededup import norm  # noqa: E402
+from test_quality import judged  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from quarryline.llm import quality  # noqa: E402
 
 
-def good(docs):
-    groups, vectors = {}, {}
-    for d in docs:
-        n, chars, sym, dup, rep, failed = base(d["text"])
-        lines = sum(bool(x.strip(" \t\n\v\f\r")) for x in (d["text"] or "").split("\n"))
-        share = lambda a, b: np.arcsin(np.sqrt(min(1, a / max(b, 1))))
-        v = [np.log((chars + 100) / (n + 20)), share(sym, chars), share(dup, lines), share(rep, n)]
-        vectors[d["doc_id"]] = None if failed else np.round(np.array(v) * 1000) / 1000
-        if not failed:
-            groups.setdefault((d["lang"], d["source"]), []).append(d["doc_id"])
-    out = []
-    for d in docs:
-        own, v = groups.get((d["lang"], d["source"]), []), vectors[d["doc_id"]]
-        if v is not None and (len(own) < quality.LEAST_ROWS or estimated(np.array([vectors[i] for i in own]))(v[None])[0] <= quality.CHI2_9999):
-            out.append(d)
-    return out
+def good(spark, docs):
+    """Documents that estimates by sorting keep; those beside the cut-off go by the query."""
+    want = judged([(d["doc_id"], d["text"], d["lang"], d["source"]) for d in docs])
+    df = spark.createDataFrame(pa.Table.from_pylist(docs).to_pandas()[["doc_id", "text", "lang", "source"]])
+    got = {r.doc_id: r.kept for r in quality.quality(df).collect()}
+    close = {i for i, (d2, _) in want.items() if d2 is not None and abs(d2 / quality.CHI2_9999 - 1) < 0.05}
+    assert len(close) < 0.05 * len(docs)
+    return [d for d in docs if (got if d["doc_id"] in close else {i: k for i, (_, k) in want.items()})[d["doc_id"]]]
 
 
 def within_one(a, b):
@@ -43,18 +35,21 @@ def within_one(a, b):
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def fewer_lines(docs, min_words=8):
+def fewer_lines(docs):
     earlier, out = {}, []
     for d in sorted(docs, key=lambda d: d["doc_id"]):
         kept = []
         for line in d["text"].split("\n"):
-            w = line.encode().lower().split()
-            if len(w) >= min_words:
-                gone = any(within_one(w, e) for n in (-1, 0, 1) for e in earlier.get(len(w) + n, []))
-                earlier.setdefault(len(w), []).append(w)
-                if gone:
-                    continue
-            kept.append(line)
+            line, shown = norm(line), line
+            w = line.split(" ")
+            u = w if len(w) >= 8 else line if len(line) >= 20 else None
+            near = u is not None and any(within_one(u, e) for n in (-1, 0, 1) for e in earlier.get((type(u), len(u) + n), {}).values())
+            gone = bool(line) and (line in earlier.setdefault(None, set()) or near)
+            earlier[None] = earlier.get(None, set()) | {line}
+            if u is not None:
+                earlier.setdefault((type(u), len(u)), {})[line] = u
+            if not gone:
+                kept.append(shown)
         text = "\n".join(kept)
         if text == d["text"] or text.split():
             out.append({**d, "text": text})
@@ -70,8 +65,8 @@ def test_equals_brute_force(spark, tmp_path, sources):
     schema = pq.read_schema("/root/testdata/sf0.001/documents.parquet")
     pq.write_table(pa.Table.from_pylist(docs, schema), tmp_path / "documents.parquet")
     pq.write_table(pa.Table.from_pylist(items), tmp_path / "benchmark.parquet")
-    left = fewer_lines(good(docs))
-    parts = components([(d["doc_id"], d["text"]) for d in left])
+    left = fewer_lines(good(spark, docs))
+    parts = components([(d["doc_id"], d["text"]) for d in left], 80)
     left = [d for d in left if parts[d["doc_id"]][1] == d["doc_id"]]
     pairs = [(i["item_id"], i["text"]) for i in items]
     left = [d for d in left if not contaminated(d["text"], pairs)[4]]
