@@ -1,14 +1,23 @@
 """From documents to training tokens, in five stages. Each stage is written as Parquet and read
-again as the next one's input; all but the last return the columns of documents."""
+again as the next one's input; all but the last return the columns of documents.
+
+Every stage takes documents with doc_id and text (quality rules lang and source as well) and any
+further columns, whatever their names, and hands these on unchanged. A null text is an empty one:
+it fails the quality rules, and later stages would let it pass. Null lang and source are values of
+their own, rows without doc_id come last in the order of lines and are linked by text only. Repeated
+rows share their verdict. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import bpe, decontam, linededup, neardup, quality
-from quarryline.llm.common import cut
+from quarryline.llm.common import scratch, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +27,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that equal or nearly equal an earlier one go, and documents that they made up wholly.
-    n_chars follows the text."""
-    left = linededup.dedup_lines(docs, drop_emptied=True).drop("n_removed_lines")
+    A column n_chars, if there is one, follows the text."""
+    left = linededup.dedup_lines(docs, drop_emptied=True)
+    if "n_chars" not in docs.columns:
+        return left
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -55,5 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, from the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
