@@ -64,13 +64,14 @@ def probes(turns: DataFrame) -> DataFrame:
     return last.select("conv_id", "key", "status", F.inline(variants))
 
 
-def rates(df: DataFrame, keys: list[str], flags: dict[str, str]) -> DataFrame:
+def rates(df: DataFrame, keys: list[str], flags: dict[str, str], required: bool = False) -> DataFrame:
     """Numerator, denominator and rate of each flag, a SQL expression that is null where it does not
-    apply: keys, metric, correct, total, rate. A flag without any case has no row."""
+    apply: keys, metric, correct, total, rate. A flag without any case has total 0 and no rate; if
+    rates are required, that is an error. Groups without rows have none."""
     cells = F.array(*(F.struct(F.lit(m).alias("metric"), F.expr(e).alias("hit")) for m, e in flags.items()))
-    long = df.select(*keys, F.inline(cells)).where("hit is not null")
-    return long.groupBy(*keys, "metric").agg(F.count_if("hit").alias("correct"), F.count("*").alias("total")).withColumn(
-        "rate", F.round(F.col("correct") / F.col("total"), 6))
+    long = df.select(*keys, F.inline(cells)).groupBy(*keys, "metric").agg(F.count_if("hit").alias("correct"), F.count("hit").alias("total"))
+    none = F.raise_error(F.concat(F.lit("no evidence for "), "metric")).cast("double") if required else F.lit(None).cast("double")
+    return long.withColumn("rate", F.when(F.col("total") == 0, none).otherwise(F.round(F.col("correct") / F.col("total"), 6)))
 
 
 def qualified(candidate: DataFrame, baseline: DataFrame, floors: DataFrame) -> DataFrame:
@@ -83,10 +84,11 @@ def qualified(candidate: DataFrame, baseline: DataFrame, floors: DataFrame) -> D
 
 
 def compared(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of two runs by key: key, a_status, b_status and the first filter that fits."""
+    """Pairs of two runs by key: key, a_status, b_status and the first filter that fits. A key that one
+    run lacks is kept and named."""
     x = a.select("key", F.col("status").alias("a_status"), F.col("output").alias("a_output"))
     y = b.select("key", F.col("status").alias("b_status"), F.col("output").alias("b_output"))
     ok = lambda s: F.col(s) == "success"
-    kind = F.when(~ok("a_status") & ~ok("b_status"), "both fail").when(~ok("a_status"), "a fails").when(~ok("b_status"), "b fails").when(
+    kind = F.when(F.col("a_status").isNull(), "not in a").when(F.col("b_status").isNull(), "not in b").when(~ok("a_status") & ~ok("b_status"), "both fail").when(~ok("a_status"), "a fails").when(~ok("b_status"), "b fails").when(
         F.col("a_output") != F.col("b_output"), "texts differ").otherwise("same")
-    return x.join(y, "key").withColumn("kind", kind)
+    return x.join(y, "key", "full").withColumn("kind", kind)

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from quarryline.functions.expressions import REFUSE
 
 
+#: How RE2 finds the word "the" as a token of its own.
+THE = r"(?:^|[^\pL\pN\pM_.+-])the(?:$|[^\pL\pN\pM_.]|\.(?:$|[^\pN]))"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import expressions as X
 from quarryline.operators import conversations as C
 
-from .common import refuses_sql, table
+from .common import THE, refuses_sql, table
 
 
 def _turns(spark, d):
@@ -40,18 +40,24 @@ def failure_reasons(spark, d):
 FLAGS = {"completion.rate": "status = 'success'", "completion.clean_rate": "status = 'success' and not spills",
          "followup.completion_rate": "if(n > 0, status = 'success', null)",
          "followup.clean_completion_rate": "if(n > 0, status = 'success' and not spills, null)",
-         "refusal.accuracy": "if(status = 'success' and question like '%?', refuses, null)"}
+         "value.literal_accuracy": "if(label = 0, states, null)", "followup.value_literal_accuracy": "if(label = 0 and n > 0, states, null)",
+         "refusal.accuracy": "if(label > 0, refuses, null)", "refusal.missing_component_accuracy": "if(label = 1, refuses, null)",
+         "refusal.measurement_accuracy": "if(label = 2, refuses, null)"}
 #: Floors of the rates.
-FLOORS = (("completion.rate", 1.0), ("completion.clean_rate", 1.0), ("followup.completion_rate", 1.0),
-          ("followup.clean_completion_rate", 1.0), ("refusal.accuracy", 0.98))
+FLOORS = (("completion.rate", 1.0), ("completion.clean_rate", 1.0), ("followup.completion_rate", 1.0), ("followup.clean_completion_rate", 1.0),
+          ("value.literal_accuracy", 0.95), ("followup.value_literal_accuracy", 0.95), ("refusal.accuracy", 0.98),
+          ("refusal.missing_component_accuracy", 0.98), ("refusal.measurement_accuracy", 0.98))
 
 
 def _measured(spark, d):
-    return _turns(spark, d).withColumns({"spills": X.spills_role(F.col("output")), "refuses": X.refuses(F.col("output"))})
+    """Turns with a label made for each: a value, a missing component or a measurement."""
+    return _turns(spark, d).withColumns({
+        "spills": X.spills_role(F.col("output")), "refuses": X.refuses(F.col("output")), "label": (F.col("conv_id") + F.col("n")) % 3,
+        "states": X.states_value(X.final_answer(F.col("output")), F.lit("the"))})
 
 
 def qualification_rates(spark, d):
-    return C.rates(_measured(spark, d), [], FLAGS)
+    return C.rates(_measured(spark, d), [], FLAGS, required=True)
 
 
 def floors_and_regressions(spark, d):
@@ -93,8 +99,8 @@ def arms_equal(spark, d):
 
 def _runs(spark, d):
     t = _turns(spark, d).select("key", "status", "output")
-    b = t.withColumns({"status": F.when(F.length("output") % 5 == 0, "failure").otherwise(F.col("status")), "output": F.lower("output")})
-    return C.compared(t, b)
+    b = t.where(F.length("output") % 11 != 3).withColumns({"status": F.when(F.length("output") % 5 == 0, "failure").otherwise(F.col("status")), "output": F.lower("output")})
+    return C.compared(t.where(F.length("output") % 13 != 5), b)
 
 
 def ab_pairs(spark, d):
@@ -119,18 +125,21 @@ _T = """w AS (SELECT *, lead(role) OVER o AS nr, lead(text) OVER o AS nt FROM co
   t0 AS (SELECT conv_id, n, turn, question, conv_id || '#' || n AS key, CASE WHEN ok THEN nt ELSE '' END AS output, NOT ok AS failed FROM u),
   t1 AS (SELECT *, first_value(CASE WHEN failed THEN key END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS caused_by FROM t0),
   t AS (SELECT *, CASE WHEN caused_by IS NOT NULL THEN 'dependency_failed' WHEN failed THEN 'failure' ELSE 'success' END AS status FROM t1)"""
-_M = f"""{_T}, m AS (SELECT *, regexp_matches(output, '(?im)^[ \\t]*(?:user|assistant|system)[ \\t]*:?[ \\t\\r]*$') AS spills, {refuses_sql('output')} AS refuses FROM t),
+_M = f"""{_T}, m AS (SELECT *, regexp_matches(output, '(?im)^[ \\t]*(?:user|assistant|system)[ \\t]*:?[ \\t\\r]*$') AS spills, {refuses_sql('output')} AS refuses,
+    (conv_id + n) % 3 AS label, regexp_matches(output, '{THE}', 'i') AS states FROM t),
   l AS (SELECT conv_id, unnest([{{'metric': 'completion.rate', 'hit': status = 'success'}}, {{'metric': 'completion.clean_rate', 'hit': status = 'success' AND NOT spills}},
     {{'metric': 'followup.completion_rate', 'hit': CASE WHEN n > 0 THEN status = 'success' END}},
     {{'metric': 'followup.clean_completion_rate', 'hit': CASE WHEN n > 0 THEN status = 'success' AND NOT spills END}},
-    {{'metric': 'refusal.accuracy', 'hit': CASE WHEN status = 'success' AND question LIKE '%?' THEN refuses END}}], recursive := true) FROM m)"""
+    {{'metric': 'value.literal_accuracy', 'hit': CASE WHEN label = 0 THEN states END}}, {{'metric': 'followup.value_literal_accuracy', 'hit': CASE WHEN label = 0 AND n > 0 THEN states END}},
+    {{'metric': 'refusal.accuracy', 'hit': CASE WHEN label > 0 THEN refuses END}}, {{'metric': 'refusal.missing_component_accuracy', 'hit': CASE WHEN label = 1 THEN refuses END}},
+    {{'metric': 'refusal.measurement_accuracy', 'hit': CASE WHEN label = 2 THEN refuses END}}], recursive := true) FROM m)"""
 _R = "SELECT metric, count(*) FILTER (hit) AS correct, count(*) AS total, round(count(*) FILTER (hit) / count(*), 6) AS rate FROM l WHERE hit IS NOT NULL"
 _P = f"""{_T}, z AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS size, first_value(question) OVER (PARTITION BY conv_id ORDER BY n) AS opening FROM t),
   p AS (SELECT key, status, unnest([{{'variant': 'standalone', 'prompt': question, 'n_turns': 1}}, {{'variant': 'explicit', 'prompt': opening || chr(10) || question, 'n_turns': 1}},
     {{'variant': 'contextual', 'prompt': question, 'n_turns': size}}], recursive := true) FROM z WHERE size >= 2 AND n = size - 1)"""
-_AB = f"""{_T}, b AS (SELECT key, CASE WHEN length(output) % 5 = 0 THEN 'failure' ELSE status END AS b_status, lower(output) AS b_output FROM t),
-  ab AS (SELECT key, status AS a_status, b_status, CASE WHEN status <> 'success' AND b_status <> 'success' THEN 'both fail' WHEN status <> 'success' THEN 'a fails'
-    WHEN b_status <> 'success' THEN 'b fails' WHEN output <> b_output THEN 'texts differ' ELSE 'same' END AS kind FROM t JOIN b USING (key))"""
+_AB = f"""{_T}, b AS (SELECT key, CASE WHEN length(output) % 5 = 0 THEN 'failure' ELSE status END AS b_status, lower(output) AS b_output FROM t WHERE length(output) % 11 <> 3),
+  ab AS (SELECT key, status AS a_status, b_status, CASE WHEN status IS NULL THEN 'not in a' WHEN b_status IS NULL THEN 'not in b' WHEN status <> 'success' AND b_status <> 'success' THEN 'both fail' WHEN status <> 'success' THEN 'a fails'
+    WHEN b_status <> 'success' THEN 'b fails' WHEN output <> b_output THEN 'texts differ' ELSE 'same' END AS kind FROM (SELECT * FROM t WHERE length(output) % 13 <> 5) FULL JOIN b USING (key))"""
 _FLOORS = ", ".join(f"('{m}', {f}::DOUBLE)" for m, f in FLOORS)
 ORACLES = {
     "turn_keys": f"WITH {_T} SELECT conv_id, key, turn FROM t",

@@ -26,8 +26,9 @@ def native_pin_resolution(spark, d):
     i = table(spark, d, "lineitem")
     refs = i.select((F.col("l_suppkey") % 20).alias("source"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("net"),
                     F.concat(F.lit("P"), "l_partkey").alias("part"), F.lit("G").alias("gate"), F.col("l_linenumber").cast("string").alias("pin"))
-    parts = table(spark, d, "part").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("source"), F.concat(F.lit("P"), "p_partkey").alias("part"), "p_partkey")
-    pins = parts.select("source", "part", F.lit("G").alias("gate"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("n"), "p_partkey")
+    parts = table(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("part"), "p_partkey")
+    # A library has the pins that its parts' references name, up to seven.
+    pins = refs.select("source", "part", "gate", F.col("pin").cast("int").alias("n")).where("n <= 7").distinct().join(parts, "part")
     connects = pins.select("source", "part", "gate", F.col("n").cast("string").alias("pin"), F.when(
         F.col("p_partkey") % 2 == 1, F.concat(F.lit("A"), "n", F.lit("  B"), "n")).otherwise(F.concat(F.lit("A"), "n")).alias("pads"))
     nets = E.members(E.net_pads(refs, connects), ["source", "page", "net"])
@@ -48,7 +49,7 @@ def pad_conflicts(spark, d):
 
 def trace(spark, d):
     p = _pads(spark, d)
-    return E.traced(p, p.where("source < 3 and page = 1"), ["source"])
+    return E.traced(p, p, ["source"])
 
 
 def point_status(spark, d):
@@ -88,7 +89,7 @@ def value_token_match(spark, d):
 
 def keyword_refusal(spark, d):
     docs = table(spark, d, "documents")
-    return docs.groupBy("lang").agg(F.count_if(X.refuses(F.concat(F.lit("It is not "), F.substring("text", 1, 60)))).alias("n_refusals"), F.count("*").alias("n"))
+    return docs.groupBy("lang").agg(F.count_if(X.refuses(F.col("text"))).alias("n_refusals"), F.count("*").alias("n"))
 
 
 def think_strip(spark, d):
@@ -109,9 +110,16 @@ def pin_f1(spark, d):
 def contextual_refusal(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_size")
     name = F.concat(F.lit("R"), "p_partkey")
-    question = F.concat(F.lit("What value is "), name, F.lit(", and what does it connect to?"))
-    answer = F.when(F.col("p_size") % 3 == 0, F.concat(name, F.lit(" is not shown in the schematic."))).when(
-        F.col("p_size") % 3 == 1, F.concat(name, F.lit(" is not shown in the schematic. But it is 5V."))).otherwise("")
+    pad = F.concat(name, F.lit(".1"))
+    measured, k = F.col("p_partkey") % 2 == 1, F.col("p_size") % 8
+    question = F.when(measured, F.concat(F.lit("What measured voltage was observed at "), pad, F.lit(" during a powered bench test?"))).otherwise(
+        F.concat(F.lit("What value is "), name, F.lit(", and what does it connect to?")))
+    good = F.when(measured, F.concat(F.lit("In the schematic, no bench measurement for "), pad, F.lit(" is supplied"))).otherwise(
+        F.concat(name, F.lit(" is not shown in the schematic")))
+    second = F.when(measured, "I cannot infer a measured voltage").otherwise("its value and connections are not shown")
+    answer = F.when(k == 0, F.concat(good, F.lit("."))).when(k == 1, F.concat(good, F.lit(". But it is 5V."))).when(k == 2, "").when(
+        k == 3, F.concat(good, F.lit(", so "), second)).when(k == 4, second).when(k == 5, F.concat(good, F.lit("\n\t\n"), good)).when(
+        k == 6, F.concat(F.lit("<think>no</think>"), F.upper(good))).otherwise(F.replace(good, name, F.lit("R0")))
     return p.select("p_partkey", P.contextual_refusal(question, answer).alias("v")).select("p_partkey", "v.*")
 
 
@@ -166,9 +174,10 @@ def _boxes(spark, d):
 
 
 def _pairs(spark, d):
-    b = _boxes(spark, d)
-    c = b.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other"), *(F.col(k).alias(f"o{k}") for k in ("x1", "y1", "x2", "y2")))
-    return b.join(c, "vec_id")
+    """All pairs of boxes of a page; pages hold 40 vectors each, as drawings hold a bounded number of parts."""
+    b = _boxes(spark, d).withColumn("page", F.floor(F.col("vec_id") / 40))
+    c = b.select("page", F.col("vec_id").alias("other"), *(F.col(k).alias(f"o{k}") for k in ("x1", "y1", "x2", "y2")))
+    return b.join(c, "page").where("vec_id < other")
 
 
 _A, _B = ([F.col, ("x1", "y1", "x2", "y2")], [F.col, ("ox1", "oy1", "ox2", "oy2")])
@@ -180,10 +189,8 @@ def box_iou(spark, d):
 
 
 def disjoint_pairs(spark, d):
-    """For each box the first later one of its label within 40 ids that is apart from it in a small union."""
-    b = _boxes(spark, d)
-    c = b.select("label", F.col("vec_id").alias("other"), F.col("x1").alias("ox1"), F.col("y1").alias("oy1"), F.col("x2").alias("ox2"), F.col("y2").alias("oy2"))
-    near = b.select("*", F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 40)).alias("other")).join(c, ["label", "other"])
+    """For each box the first later one of its page that is apart from it in a small union."""
+    near = _pairs(spark, d)
     x, y = ([f(k) for k in ks] for f, ks in (_A, _B))
     fit = near.where((X.iou(x, y) == 0) & (X.area(X.union_box(x, y)) <= 250000))
     return fit.groupBy("vec_id").agg(F.min("other").alias("other"))
@@ -237,7 +244,7 @@ ORACLES = {
     "net_members": f"WITH {_PADS} SELECT source, net, string_agg(DISTINCT pad, ' ' ORDER BY pad) AS pads, count(DISTINCT pad) AS n_pads FROM p GROUP BY 1, 2",
     "pad_net": f"WITH {_PADS} SELECT source, pad, min(net) AS net FROM p GROUP BY 1, 2 HAVING count(DISTINCT net) = 1",
     "pad_conflicts": f"WITH {_PADS} SELECT source, pad, count(DISTINCT net) AS n_nets FROM p GROUP BY 1, 2 HAVING count(DISTINCT net) > 1",
-    "trace": f"""WITH {_PADS}, q AS (SELECT DISTINCT source, pad FROM p WHERE source < 3 AND page = 1)
+    "trace": f"""WITH {_PADS}, q AS (SELECT DISTINCT source, pad FROM p)
         SELECT p.source, p.pad, p.net, o.pad AS other FROM p JOIN q ON p.source = q.source AND p.pad = q.pad JOIN p o ON o.source = p.source AND o.net = p.net WHERE p.pad <> o.pad""",
     "point_status": f"""WITH {_PADS}, n AS (SELECT page, pad FROM p GROUP BY 1, 2 HAVING count(DISTINCT net) = 1), q AS (SELECT 'P' || p_partkey || '.1' AS pad FROM part)
         SELECT CASE WHEN n.pad IS NULL THEN 'not_recorded_on_page' ELSE 'source_verified' END AS status, count(*) AS n FROM q LEFT JOIN n ON n.page = 1 AND n.pad = q.pad GROUP BY 1""",
@@ -249,12 +256,14 @@ ORACLES = {
     "priority_top2": "SELECT p_size, p_partkey, p_brand, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY NOT p_brand LIKE '%#13', p_name, p_partkey) <= 2",
     "value_token_match": r"""WITH v(value, re) AS (VALUES ('the','the'), ('de la','de\s*la'), ('c++','c\+\+'), ('3.5','3\.5'), ('version 3','version\s*3'), ('4.0','4\.0'))
         SELECT value, count(*) AS n FROM documents, v WHERE regexp_matches(text, '(?:^|[^\pL\pN\pM_.+-])' || re || '(?:$|[^\pL\pN\pM_.]|\.(?:$|[^\pN]))', 'i') GROUP BY 1""",
-    "keyword_refusal": f"SELECT lang, count(*) FILTER ({refuses_sql("'It is not ' || substr(text, 1, 60)")}) AS n_refusals, count(*) AS n FROM documents GROUP BY 1",
+    "keyword_refusal": f"SELECT lang, count(*) FILTER ({refuses_sql("text")}) AS n_refusals, count(*) AS n FROM documents GROUP BY 1",
     "think_strip": r"SELECT conv_id, turn, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS answer_sha256 FROM conversations WHERE text IS NOT NULL",
     "pin_f1": f"""WITH {_PADS}, n AS (SELECT source, net, list_sort(list(DISTINCT pad)) AS gold FROM p GROUP BY 1, 2), m AS (SELECT *, gold[1:2] AS said FROM n)
         SELECT source, net, round(2.0::DOUBLE * len(said) / (len(said) + len(gold)), 6) AS f1 FROM m""",
-    "contextual_refusal": """SELECT p_partkey, 'missing_component' AS kind, 'R' || p_partkey AS subject, p_size % 3 = 0 AS accepted,
-        CASE p_size % 3 WHEN 0 THEN 'restricted_grammar_match' WHEN 1 THEN 'unrecognized_or_unsupported_claim' ELSE 'empty_answer' END AS reason FROM part""",
+    "contextual_refusal": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 'measurement' ELSE 'missing_component' END AS kind,
+        'R' || p_partkey || CASE WHEN p_partkey % 2 = 1 THEN '.1' ELSE '' END AS subject, p_size % 8 IN (0, 3, 6) AS accepted,
+        CASE WHEN p_size % 8 IN (0, 3, 6) THEN 'restricted_grammar_match' WHEN p_size % 8 = 2 THEN 'empty_answer' WHEN p_size % 8 = 4 THEN 'no_grounded_absence_statement'
+        ELSE 'unrecognized_or_unsupported_claim' END AS reason FROM part""",
     "tool_call_parse": """SELECT p_partkey, CASE WHEN p_size < 50 THEN 'See.' END AS content,
         CASE WHEN p_size < 50 THEN '[{"arguments": {"box": [' || p_size || ', 10, 50, 60]}, "name": "show_region"}]' END AS calls,
         CASE WHEN p_size >= 50 THEN 'unknown function or bad arguments' END AS error FROM part""",
@@ -269,10 +278,10 @@ ORACLES = {
         SELECT id, kind, share FROM j JOIN u USING (kind) WHERE id % 2 = 1 ORDER BY share, created, id LIMIT 1""",
     "event_fold": """WITH f AS (SELECT user_id, count(*) FILTER (event_id % 3 <> 0) AS a, count(*) FILTER (event_id % 3 = 0) AS f FROM events GROUP BY 1)
         SELECT CASE WHEN a = 0 THEN 'unopened' WHEN f = 0 THEN 'incomplete' ELSE 'finished' END AS state, count(*) AS n FROM f GROUP BY 1""",
-    "box_iou": f"WITH {_BOX} SELECT a.vec_id, c.vec_id AS other, round({_IOU} / ({_AREA} - {_IOU})::DOUBLE, 6) AS iou FROM b a JOIN b c ON c.vec_id = a.vec_id + 1",
-    "disjoint_pairs": f"""WITH {_BOX} SELECT a.vec_id, min(c.vec_id) AS other FROM b a JOIN b c ON c.label = a.label AND c.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 40
+    "box_iou": f"WITH {_BOX} SELECT a.vec_id, c.vec_id AS other, round({_IOU} / ({_AREA} - {_IOU})::DOUBLE, 6) AS iou FROM b a JOIN b c ON c.vec_id // 40 = a.vec_id // 40 AND c.vec_id > a.vec_id",
+    "disjoint_pairs": f"""WITH {_BOX} SELECT a.vec_id, min(c.vec_id) AS other FROM b a JOIN b c ON c.vec_id // 40 = a.vec_id // 40 AND c.vec_id > a.vec_id
         WHERE {_IOU} = 0 AND (greatest(a.x2, c.x2) - least(a.x1, c.x1)) * (greatest(a.y2, c.y2) - least(a.y1, c.y1)) <= 250000 GROUP BY 1""",
-    "coincident_anchors": f"""WITH {_BOX}, q AS (SELECT a.vec_id, c.vec_id AS other, radians(a.label * 9) AS t, c.x1 - a.x1 AS dx, c.y1 - a.y1 AS dy FROM b a JOIN b c ON c.vec_id = a.vec_id + 1)
+    "coincident_anchors": f"""WITH {_BOX}, q AS (SELECT a.vec_id, c.vec_id AS other, radians(a.label * 9) AS t, c.x1 - a.x1 AS dx, c.y1 - a.y1 AS dy FROM b a JOIN b c ON c.vec_id // 40 = a.vec_id // 40 AND c.vec_id > a.vec_id)
         SELECT vec_id, other FROM q WHERE abs(dx * cos(t) + dy * sin(t)) <= 200 AND abs(dy * cos(t) - dx * sin(t)) <= 120""",
     "bounding_box": f"WITH {_BOX} SELECT label, greatest(0, least(1000, min(x1) - 5)) AS x1, greatest(0, least(1000, min(y1) - 5)) AS y1, greatest(0, least(1000, max(x2) + 5)) AS x2, greatest(0, least(1000, max(y2) + 5)) AS y2 FROM b GROUP BY 1",
     "physics_exact": """SELECT p_partkey, CASE WHEN (p_partkey % 48 + 1) // gcd(p_size, p_partkey % 48 + 1) = 1 THEN (p_size // gcd(p_size, p_partkey % 48 + 1))::VARCHAR

@@ -9,7 +9,7 @@ from quarryline.operators import conversations as C
 from quarryline.operators import records as R
 from quarryline.operators import selection as S
 
-from .common import refuses_sql, table
+from .common import THE, refuses_sql, table
 from .dialogues import _T
 from .facts import _BOX, _PADS, _boxes, _pads
 
@@ -192,7 +192,6 @@ QUERIES = {f.__name__: f for f in (
     progress_tail, step_budget, seeded_ranges, content_ids, union_views, net_choice, endpoint_budget, affine_points, calculator,
     value_questions, image_masks, title_cleanup, label_lookup, cardinality, view_agreement, totals_recomputed, unexpected_residents)}
 
-_THE = r"(?:^|[^\pL\pN\pM_.+-])the(?:$|[^\pL\pN\pM_.]|\.(?:$|[^\pN]))"
 _PIN = r"(?:^|[^\w$-])[A-Z][A-Z0-9_$-]*\.[A-Z0-9_$+-]+(?:$|[^\w$+-])"
 ORACLES = {
     "message_trace": """WITH w AS (SELECT conv_id, turn, text, greatest(0, 400 - coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS l FROM conversations)
@@ -201,7 +200,7 @@ ORACLES = {
         SELECT conv_id, n, sha256(max(text) FILTER (role = 'user')) AS question_sha256, sha256(max(text) FILTER (role = 'assistant')) AS answer_sha256
         FROM n GROUP BY 1, 2 HAVING count(*) FILTER (role = 'assistant') > 0""",
     "graded_metrics": f"""WITH {_T}, s AS (SELECT conv_id % 3 AS k, output FROM t WHERE status = 'success'), g AS (SELECT CASE k WHEN 0 THEN 'value_exact' WHEN 1 THEN 'refuse_acc' ELSE 'pins_f1' END AS metric,
-          CASE k WHEN 0 THEN regexp_matches(output, '{_THE}', 'i') WHEN 1 THEN {refuses_sql('output')}
+          CASE k WHEN 0 THEN regexp_matches(output, '{THE}', 'i') WHEN 1 THEN {refuses_sql('output')}
             ELSE NOT regexp_matches(output, '{_PIN}') AND regexp_matches(output, 'isn''t connected|not connected|floating|nothing', 'i') END AS hit FROM s)
         SELECT metric, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS mean, count(*) AS n FROM g GROUP BY 1""",
     "view_grading": """WITH a AS (SELECT p_partkey, p_size, (50 - greatest(p_size, 10)) * 50 AS i FROM part)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the largest archive accepted, in bytes.
 LIMIT = 40 << 20
+#: Fixed value: the largest member accepted, in bytes; it is what a schematic may have.
+MEMBER_LIMIT = 12 << 20
 MEMBERS = "archive string, commit string, path string, kind string, content binary, error string"
 
 
@@ -29,6 +31,8 @@ def members(name: str, content: bytes) -> list[tuple]:
                     raise ValueError(f"unsafe member {m.name}")
                 base = posixpath.basename(path).lower()
                 kind = "schematic" if base.endswith(".sch") else "licence" if base.startswith(("license", "licence", "copying")) else "readme" if base.startswith("readme") else None
+                if m.isfile() and kind and m.size > MEMBER_LIMIT:
+                    raise ValueError(f"member {m.name} is too large")
                 if m.isfile() and kind:
                     out.append((name, commit, path.partition("/")[2], kind, tar.extractfile(m).read(), None))
     except (tarfile.TarError, OSError, ValueError, EOFError) as e:

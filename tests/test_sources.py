@@ -8,7 +8,7 @@ from quarryline.functions import parsers as P
 from quarryline.operators import validation as V
 from quarryline.sources import archives, eagle, snapshots, strict_jsonl
 
-SCHEMATIC = """<eagle><drawing><schematic><libraries><library name="l"><symbols><symbol name="s"><pin name="a"/><text layer="95">&gt;NAME</text>
+SCHEMATIC = """<?xml version="1.0"?><eagle><drawing><schematic><libraries><library name="l"><symbols><symbol name="s"><pin name="a"/><text layer="95">&gt;NAME</text>
 <text layer="96">&gt;VALUE</text></symbol></symbols><devicesets><deviceset name="d"><gates><gate name="G" symbol="s"/></gates><devices><device name="" package="p">
 <connects><connect gate="G" pin="a" pad="1 2"/></connects></device></devices></deviceset></devicesets></library></libraries>
 <parts><part name="R1" library="l" deviceset="d" device="" value="10k"/><part name="R2" library="l" deviceset="d" device="" value="22k"/></parts>
@@ -28,9 +28,10 @@ def test_schematics_are_rejected(spark, tmp_path):
     (tmp_path / "b.sch").write_text(SCHEMATIC.format(pin="other"))
     with pytest.raises(ValueError, match="unresolved"):
         eagle.extract(eagle.scan(spark, str(tmp_path)))
-    for name, text in (("c", "<!DOCTYPE x [<!ENTITY a 'b'>]><eagle/>"), ("d", "binary"), ("e", "<eagle><drawing/></eagle>")):
+    for name, text in (("c", "<?xml version='1.0'?><!DOCTYPE x [<!entity a 'b'>]><eagle/>"), ("d", "binary"), ("e", "<?xml version='1.0'?><eagle><drawing/></eagle>"),
+                       ("f", SCHEMATIC.partition("?>")[2]), ("g", "<?xml version='1.0' encoding='no-such'?><eagle/>")):
         (tmp_path / f"{name}.sch").write_text(text)
-    assert eagle.scan(spark, str(tmp_path)).where("kind = 'error'").count() == 3
+    assert eagle.scan(spark, str(tmp_path)).where("kind = 'error'").count() == 5
 
 
 def test_archives(spark, tmp_path):
