@@ -123,6 +123,9 @@ MOMENTS = [f"m{i}" for i in D] + [f"c{i}{j}" for i, j in PAIRS]
 #: A centre, and the lower triangular matrix that makes a covariance the identity.
 PARAMS = [f"m{i}" for i in D] + [f"w{i}{j}" for i, j in PAIRS]
 GROUP = ["lang", "source"]
+#: Parts into which the rows of a group are dealt for joins with its parameters, so that sums are taken
+#: in many tasks before the shuffle even where Spark doesn't broadcast the parameters.
+SALTS = 64
 
 
 def _sums() -> list[Column]:
@@ -170,6 +173,13 @@ def _distance(value: str = "{}", param: str = "{}") -> Column:
     return F.expr(" + ".join(f"power({t}, 2)" for t in turned))
 
 
+def _beside(x: DataFrame, params: DataFrame) -> DataFrame:
+    """Rows of x (GROUP, salt, DIMS) joined with the params of their group, which are few beside the
+    rows and are repeated for each salt."""
+    salted = params.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return x.join(salted, [*GROUP, "salt"])
+
+
 def _band() -> Column:
     return F.floor(BANDS * F.log2(F.lit(1 / 16) + F.col("d2"))).cast("int")
 
@@ -191,7 +201,7 @@ def _medians(x: DataFrame) -> DataFrame:
 def _concentrated(x: DataFrame, state: DataFrame) -> DataFrame:
     """One concentration step from the PARAMS of each group and start: MOMENTS, PARAMS and logdet of
     the nearest half, and before, the logdet that it had."""
-    near = x.join(state.select(*GROUP, "start", *PARAMS), GROUP).withColumn("d2", _distance())
+    near = _beside(x, state.select(*GROUP, "start", *PARAMS)).withColumn("d2", _distance())
     bands = near.withColumn("band", _band()).groupBy(*GROUP, "start", "band").agg(*_sums())
     w = Window.partitionBy(*GROUP, "start")
     rows_of = F.sum("n").over(w)
@@ -204,7 +214,7 @@ def _concentrated(x: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def raw_estimates(x: DataFrame) -> DataFrame:
-    """The minimum covariance determinant estimate of each group of x (lang, source, DIMS): GROUP,
+    """The minimum covariance determinant estimate of each group of x (GROUP, salt, DIMS): GROUP,
     MOMENTS, PARAMS, logdet."""
     centre = _whitened(x.groupBy(*GROUP).agg(*_sums()).select(*GROUP, *_moments()))
     state = cut(_medians(x).withColumn("start", F.lit(0)).unionByName(centre.select(*GROUP, *PARAMS, F.lit(1).alias("start"))).withColumn(
@@ -231,13 +241,13 @@ def robust_moments(x: DataFrame) -> DataFrame:
     """The reweighted estimate of each group of x: GROUP, n (rows of the group) and MOMENTS."""
     raw = cut(raw_estimates(x).select(*GROUP, *PARAMS))
     # The nearest half of normal data is too narrow: scale so that its widest row lies at the median.
-    bands = x.join(raw, GROUP).withColumn("d2", _distance()).withColumn("band", _band()).groupBy(*GROUP, "band").agg(F.count("*").alias("n"))
+    bands = _beside(x, raw).withColumn("d2", _distance()).withColumn("band", _band()).groupBy(*GROUP, "band").agg(F.count("*").alias("n"))
     w = Window.partitionBy(*GROUP)
     upto = bands.withColumns({"upto": F.sum("n").over(w.orderBy("band")), "all": F.sum("n").over(w)})
     middle = upto.where(2 * F.col("upto") >= F.col("all")).groupBy(*GROUP).agg(F.min("band").alias("band"), F.max("all").alias("rows"))
     factor = F.greatest(F.lit(1.0), (F.pow(F.lit(2.0), (F.col("band") + 1) / BANDS) - 1 / 16) / CHI2_MEDIAN)
     scaled = cut(raw.join(middle, GROUP).select(*GROUP, "rows", *PARAMS, factor.alias("factor")))
-    kept = x.join(scaled, GROUP).where(_distance() <= CHI2_975 * F.col("factor"))
+    kept = _beside(x, scaled).where(_distance() <= CHI2_975 * F.col("factor"))
     return cut(kept.groupBy(*GROUP).agg(*_sums(), F.max("rows").alias("rows")).select(*GROUP, F.col("rows").alias("n"), *_moments()))
 
 
@@ -252,14 +262,14 @@ def _drawn(groups: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def parameters(measured_rows: DataFrame) -> DataFrame | None:
-    """PARAMS for each lang and source of measured_rows (lang, source, STATS, DIMS), from the rows that
+    """PARAMS for each lang and source of measured_rows (doc_id, lang, source, STATS, DIMS), from the rows that
     pass the base rules; None if no row does."""
     key = lambda c: F.concat(F.lit("="), F.col(c))
     level = lambda a, b: F.struct(a.alias("lang"), b.alias("source"))
     none = F.lit("")
     good = measured_rows.where(~base_failed()).select(F.explode(F.array(
-        level(key("lang"), key("source")), level(key("lang"), none), level(none, none))).alias("g"), *DIMS)
-    found = robust_moments(good.select("g.lang", "g.source", *DIMS))
+        level(key("lang"), key("source")), level(key("lang"), none), level(none, none))).alias("g"), F.pmod(F.xxhash64("doc_id", *DIMS), F.lit(SALTS)).alias("salt"), *DIMS)
+    found = robust_moments(good.select("g.lang", "g.source", "salt", *DIMS))
     top = found.where("lang = '' and source = ''").first()
     if top is None:
         return None

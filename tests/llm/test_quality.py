@@ -118,7 +118,7 @@ def test_raw_estimate_has_the_least_determinant(spark):
         far = np.round(r.normal([2600, 900, 500, 400], [30, 30, 30, 30], (4 - g % 2, 4))).astype(int)
         groups[f"g{g}"] = np.concatenate([rows, far])
         x += [("l", f"g{g}", *map(int, v)) for v in groups[f"g{g}"]]
-    df = spark.createDataFrame(x, "lang string, source string, " + ", ".join(f"{d} long" for d in quality.DIMS))
+    df = spark.createDataFrame(x, "lang string, source string, " + ", ".join(f"{d} long" for d in quality.DIMS)).selectExpr("*", "word_length % 64 as salt")
     got = {q.source: q for q in quality.raw_estimates(df).collect()}
     for name, rows in groups.items():
         subsets = itertools.combinations(range(len(rows)), half(len(rows)))
