@@ -227,7 +227,8 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_chars: int
     if count_as is not None and spare(documents, count_as) != [count_as]:
         raise ValueError(f"documents have a column {count_as} already")
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = duplicate_lines(chosen, min_words, min_chars).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "line")).alias("x"))
+    # Sets drop what repeated rows give twice; a distinct() here would hold a hot line's rows in one task.
+    gone = duplicate_lines(chosen, min_words, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("place", "line")).alias("x"))
     of, found = spare(documents, "of", "found")
     gone = gone.select(F.col("doc_id").alias(of), F.col("x").alias(found))
     joined = documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(of)), "left").drop(of)
