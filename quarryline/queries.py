@@ -1,6 +1,6 @@
 """Registry of queries() and oracle_sql() for the operators of the library."""
 
-from quarryline.plans import dialogues, facts, lessons, records, selection
+from quarryline.plans import dialogues, facts, lessons, records, rollouts, selection
 
-QUERIES = selection.QUERIES | dialogues.QUERIES | facts.QUERIES | records.QUERIES | lessons.QUERIES
-ORACLES: dict[str, str] = selection.ORACLES | dialogues.ORACLES | facts.ORACLES | records.ORACLES | lessons.ORACLES
+QUERIES = selection.QUERIES | dialogues.QUERIES | facts.QUERIES | records.QUERIES | lessons.QUERIES | rollouts.QUERIES
+ORACLES: dict[str, str] = selection.ORACLES | dialogues.ORACLES | facts.ORACLES | records.ORACLES | lessons.ORACLES | rollouts.ORACLES
