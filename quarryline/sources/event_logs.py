@@ -16,7 +16,8 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     """A row for each root/*/events.jsonl: id (the folder's name), status, n_events, torn (the last line
     was not ended and is left out), fault. Larger logs are not read. A log is one attempted event,
     then at most one finished event with its status; success needs the exit code 0. Where there is a
-    fault, status is null. Without a file there are no rows."""
+    fault, status is null. Folders without the file, or with one of no bytes (which Spark's source passes
+    over), have no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "events.jsonl").option("recursiveFileLookup", "true").load(root)
     name = F.element_at(F.split("path", "/"), -2).alias("id")
     # The length filter reaches the source, so the contents of larger files are not read.
