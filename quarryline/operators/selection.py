@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.expressions import seeded
 
+from .durable import settled
+
 
 def crossing(df: DataFrame, key: str, split: str) -> DataFrame:
     """Keys that stand in more than one split: key, n_splits, n_rows."""
@@ -76,9 +78,9 @@ def equally_spaced(df: DataFrame, key: str, c: int) -> DataFrame:
 
 def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
     """df with rank, its 0-based place in the given order, by range partitions and their counts."""
-    spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Written out: a partition computed again after a loss could lie between other borders.
+    placed = settled(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumns({"_part": F.shiftrightunsigned("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,6 +1,6 @@
 """Registry of queries() and oracle_sql() for the operators of the library."""
 
-from quarryline.plans import dialogues, facts, intake, lessons, records, rollouts, selection
+from quarryline.plans import audits, dialogues, facts, intake, lessons, records, rollouts, selection
 
-QUERIES = selection.QUERIES | dialogues.QUERIES | facts.QUERIES | records.QUERIES | lessons.QUERIES | rollouts.QUERIES | intake.QUERIES
-ORACLES: dict[str, str] = selection.ORACLES | dialogues.ORACLES | facts.ORACLES | records.ORACLES | lessons.ORACLES | rollouts.ORACLES | intake.ORACLES
+QUERIES = selection.QUERIES | dialogues.QUERIES | facts.QUERIES | records.QUERIES | lessons.QUERIES | rollouts.QUERIES | intake.QUERIES | audits.QUERIES
+ORACLES: dict[str, str] = selection.ORACLES | dialogues.ORACLES | facts.ORACLES | records.ORACLES | lessons.ORACLES | rollouts.ORACLES | intake.ORACLES | audits.ORACLES
