@@ -17,11 +17,10 @@ from array import array
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows
+from .common import class_ranges, rows
 
 #: Fixed value: how byte-level vocabularies of this family cut a text before the merges. The
 #: classes L (letters), N (numbers) and S (white space) are written out by pre_token_pattern().
@@ -36,10 +35,8 @@ NARROW = 0x250
 
 def pre_token_pattern(limit: int = 0x110000) -> str:
     """PRE_TOKENS with explicit ranges, for texts of code points under limit. Python's own re has no
-    Unicode classes but is faster than the module that has, so that one is only asked for the ranges."""
-    every = "".join(map(chr, [c for c in range(limit) if not 0xD800 <= c < 0xE000]))
-    ranges = {k: "".join(f"{re.escape(m[0][0])}-{re.escape(m[0][-1])}" for m in regex.finditer(cls, every))
-              for k, cls in (("L", r"\p{L}+"), ("N", r"\p{N}+"), ("S", r"\s+"))}
+    Unicode classes but is faster than the module that has them, whose tables are not the libraries' either."""
+    ranges = {k: class_ranges(cls, limit) for k, cls in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))}
     return re.sub(r"\[\^?[SLN]+\]", lambda m: re.sub("[SLN]", lambda k: ranges[k[0]], m[0]), PRE_TOKENS)
 
 

@@ -7,9 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,27 @@ def scratch(spark: SparkSession):
             _delete(spark, path)
 
 
+@lru_cache(None)
+def _members(cls: str) -> str:
+    """All characters of a class of code points, in order, by the Unicode tables of the tokenizer
+    libraries: what a tokenizer of single bytes keeps of a text that has them all. Python's own
+    tables and those of the module regex are of other versions, which know fewer or more letters."""
+    every = "".join(map(chr, [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]))
+    single = tiktoken.Encoding(cls, pat_str=cls, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return single.decode_bytes(single.encode_ordinary(every)).decode()
+
+
+def class_ranges(cls: str, limit: int = 0x110000) -> str:
+    r"""A class such as \p{L} as ranges of code points under limit, to stand in brackets of a pattern for re."""
+    out, found = "", [c for c in map(ord, _members(cls)) if c < limit]
+    first = 0
+    for i, c in enumerate(found):
+        if i + 1 == len(found) or found[i + 1] != c + 1:
+            out += f"{re.escape(chr(found[first]))}-{re.escape(chr(c))}"
+            first = i + 1
+    return out
+
+
 def spare(df: DataFrame, *stems: str) -> list[str]:
     """A column name for each stem that df does not have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, decontam, edits, htmltext, lattice, licenses, linededup, neardup, quality, sharding
+from . import bpe, decontam, edits, htmltext, lattice, licenses, linededup, neardup, quality, replay, sharding
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
 #: The vocabulary of op6; a parameter of the operator.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: The ranks of op13, and the pattern that cuts texts for them.
+BYTE_RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: The pieces of op3; likewise.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -56,6 +58,10 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op13_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.digests(table(spark, sf_dir, "documents"), BYTE_RANKS, PATTERN)
+
+
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
     "op2_edit_aware_counts": op2_edit_aware_counts,
@@ -67,4 +73,5 @@ QUERIES = {
     "op8_suffix_automaton": op8_suffix_automaton,
     "op9_deletion_neighbourhood": op9_deletion_neighbourhood,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op13_merge_replay": op13_merge_replay,
 }

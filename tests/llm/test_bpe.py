@@ -46,3 +46,12 @@ def test_small_memory_gives_the_same(monkeypatch):
     whole = [bpe.Encoder(v, patterns)(t).tolist() for t in texts()[:60]]
     monkeypatch.setattr(bpe, "CACHE", 3)
     assert [bpe.Encoder(v, patterns)(t).tolist() for t in texts()[:60]] == whole
+
+
+def test_every_code_point():
+    """The classes of code points are the library's, of which the module regex and Python know other versions."""
+    v, t = bpe.Vocabulary(PATH), tokenizers.Tokenizer.from_file(PATH)
+    encoder = bpe.Encoder(v, [bpe.pre_token_pattern(bpe.NARROW), bpe.pre_token_pattern()])
+    every = "".join(map(chr, [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]))
+    for text in (every, "".join(f"{c}a " for c in every[:0x3000] + every[0xA000:0x20000:3] + every[0x30000::997])):
+        assert encoder(text).tolist() == t.encode(text, add_special_tokens=False).ids

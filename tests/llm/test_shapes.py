@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 import quarryline.llm
-from quarryline.llm import bpe, decontam, edits, htmltext, lattice, licenses, linededup, neardup, quality, sharding
+from quarryline.llm import bpe, decontam, edits, htmltext, lattice, licenses, linededup, neardup, quality, replay, sharding
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 OWN = {"doc_id", "text", "lang", "source"}
@@ -35,6 +35,7 @@ def benchmark(spark):
 OPERATORS = {
     "quality": lambda d: quality.quality(d), "edits": lambda d: edits.counts(d, BPE), "lattice": lambda d: lattice.score(d, PIECES),
     "neardup": lambda d: neardup.near_duplicates(d), "licenses": lambda d: licenses.licences(licenses.laid_out(d)), "bpe": lambda d: bpe.digests(d, BPE),
+    "replay": lambda d: replay.digests(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     "htmltext": lambda d: htmltext.extract(d.selectExpr("doc_id as page_id", "source as url", "text as html", *(f"`{c}`" for c in d.columns if c not in
                                                                                                            ("page_id", "url", "html")))),
     "decontam": lambda d: decontam.digests(d, benchmark(d.sparkSession)), "linededup": lambda d: linededup.digests(d), "sharding": lambda d: sharding.shards(d)}
