@@ -48,7 +48,50 @@ WITH l AS MATERIALIZED (SELECT doc_id, place, line AS text, doc_id * 2147483648
   t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(text, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text FROM k GROUP BY doc_id)
 SELECT doc_id, n_lines, coalesce(n_removed, 0) AS n_removed, sha256(t.text) AS text_sha256 FROM documents LEFT JOIN t USING (doc_id)"""
 
+#: One round after the other, each with the distances of all parts to all entries.
+_FAR = """SELECT vec_id, part, min(e * 256 + entry) AS m FROM (SELECT p.vec_id, p.part, c.entry, CAST(sum((p.v - c.v) * (p.v - c.v)) AS BIGINT) AS e
+    FROM parts p JOIN c{n} c ON c.part = p.part AND c.j = p.j GROUP BY p.vec_id, p.part, c.entry) GROUP BY vec_id, part"""
+_ROUND = """
+  a{n} AS MATERIALIZED (""" + _FAR + """),
+  s{n} AS (SELECT p.part, CAST(a.m % 256 AS BIGINT) AS entry, p.j, CAST(sum(p.v) AS BIGINT) AS s, count(*) AS n FROM parts p JOIN a{n} a ON a.vec_id = p.vec_id AND a.part = p.part GROUP BY ALL),
+  c{next} AS MATERIALIZED (SELECT c.part, c.entry, c.j, CASE WHEN n IS NULL THEN v ELSE (s - (s % n + n) % n) // n END AS v
+    FROM c{n} c LEFT JOIN s{n} s ON s.part = c.part AND s.entry = c.entry AND s.j = c.j),"""
+
+VECTOR_CODES = """
+WITH x AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i, len(embedding) // 8 AS w FROM embeddings),
+  kept AS (SELECT vec_id, label FROM embeddings WHERE embedding IS NOT NULL AND vec_id NOT IN (SELECT vec_id FROM x WHERE x IS NULL OR isnan(x) OR isinf(x))),
+  parts AS MATERIALIZED (SELECT vec_id, i // w AS part, i % w AS j, CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM x WHERE vec_id IN (SELECT vec_id FROM kept)),
+  c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part, j ORDER BY vec_id) - 1 AS entry, j, v FROM parts
+    WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)),""" + "".join(_ROUND.format(n=n, next=n + 1) for n in range(6)) + """
+  a6 AS MATERIALIZED (""" + _FAR.format(n=6) + """),
+  f AS (SELECT vec_id, string_agg(format('{:02x}', m % 256), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a6 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, j)) FROM c6) AS codebooks_sha256
+FROM f JOIN kept USING (vec_id)"""
+
+#: crc32 is taken bit by bit; a node is the list of its turns, and each node adds to all that it goes through.
+PREFIX_TRIE = """
+WITH RECURSIVE t AS MATERIALIZED (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+    coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+  crc(c, k, bit, v) AS (SELECT DISTINCT c, 0, 0, 4294967295::BIGINT FROM t UNION ALL
+    SELECT c, CASE WHEN bit = 8 THEN k + 1 ELSE k END, CASE WHEN bit = 8 THEN 0 ELSE bit + 1 END, CASE WHEN bit = 0 THEN xor(v, ascii(substr(c::VARCHAR, k + 1, 1))::BIGINT)
+      WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM crc WHERE k < length(c::VARCHAR)),
+  h AS MATERIALIZED (SELECT c, xor(v, 4294967295) % 9 AS h, c - c % 5 AS b FROM crc WHERE k = length(c::VARCHAR)),
+  o AS (SELECT h.c, 0 AS tail, t.p, t.r, t.x FROM h JOIN t ON t.c = h.b AND t.p <= h.h UNION ALL SELECT h.c, 1, t.p, t.r, t.x FROM h JOIN t ON t.c = h.c AND t.p > h.h),
+  s AS MATERIALIZED (SELECT c, row_number() OVER w AS d, x, list(struct_pack(r := r, x := x)) OVER (w ROWS UNBOUNDED PRECEDING) AS path FROM o WINDOW w AS (PARTITION BY c ORDER BY tail, p)),
+  m AS MATERIALIZED (SELECT c, 0 AS d, '' AS x, CAST([] AS STRUCT(r VARCHAR, x VARCHAR)[]) AS path FROM h UNION ALL SELECT c, d, x, path FROM s),
+  n AS MATERIALIZED (SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * strlen(min(x)) AS cost FROM m GROUP BY d, path),
+  k AS (SELECT u.d, u.path, count(*) AS n_children FROM n JOIN m u ON u.c = n.conv_id AND u.d = n.d - 1 GROUP BY u.d, u.path),
+  v AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.d = n.d AND k.path = n.path),
+  q AS (SELECT u.d, u.path, count(*) FILTER (v.n_children = 0) AS n_leaves, sum(v.cost) AS saved FROM v JOIN m u ON u.c = v.conv_id AND u.d <= v.d GROUP BY u.d, u.path),
+  e AS (SELECT d, path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT *, max(d) OVER (PARTITION BY c) AS last FROM m) WHERE d = last GROUP BY d, path),
+  up AS (SELECT n.conv_id, n.d, w.conv_id AS parent FROM n JOIN m u ON u.c = n.conv_id AND u.d = n.d - 1 JOIN n w ON w.d = u.d AND w.path = u.path)
+SELECT v.conv_id, v.d::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM v JOIN q ON q.d = v.d AND q.path = v.path LEFT JOIN e ON e.d = v.d AND e.path = v.path LEFT JOIN up ON up.conv_id = v.conv_id AND up.d = v.d"""
+
 ORACLES = {
+    "op11_vector_codes": VECTOR_CODES,
+    "op12_prefix_trie": PREFIX_TRIE,
     "op4_minhash_hamming": NEAR_DUPLICATES,
     "op8_suffix_automaton": CONTAMINATION,
     "op9_deletion_neighbourhood": LINE_DEDUP,

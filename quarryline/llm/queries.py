@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, decontam, edits, htmltext, lattice, licenses, linededup, neardup, quality, replay, sharding
+from . import bpe, decontam, edits, htmltext, lattice, licenses, linededup, neardup, prefixtrie, quality, replay, sharding, vectorcodes
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -58,6 +58,14 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), 8)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.digests(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.digests(table(spark, sf_dir, "documents"), BYTE_RANKS, PATTERN)
 
@@ -73,5 +81,7 @@ QUERIES = {
     "op8_suffix_automaton": op8_suffix_automaton,
     "op9_deletion_neighbourhood": op9_deletion_neighbourhood,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_merge_replay": op13_merge_replay,
 }
