@@ -20,7 +20,7 @@ def queue_rounds(spark, d):
     k = F.col("o_orderkey") % 7
     jobs = table(spark, d, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"), F.when(k < 3, "training").when(k < 5, "research").otherwise("proposal").alias("kind"),
-        F.when(k == 0, "none").when(k < 3, "train").when(k < 5, "look").otherwise("say").alias("adapter"), F.unix_seconds("o_orderdate").cast("double").alias("created"))
+        F.when(k == 0, "none").when(k < 3, "train").when(k < 5, "look").otherwise("say").alias("adapter"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double").alias("created"))
     adapters = spark.createDataFrame([("train", "training", True, 1024), ("look", "research", True, 0), ("say", "proposal", True, 0)], "name string, kind string, ready boolean, gpu_mb int")
     settings = Q.Settings(adapters, {"research": 60, "training": 120, "proposal": 60})
     own = Q.Queue(spark, f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}")
