@@ -1,13 +1,15 @@
 """Near-duplicate lines by deletion neighbourhoods, keeping the earliest.
 
 Lines are compared with A-Z lower-cased and their words joined by one space. Equal lines become one
-first, in the place of the earliest, however short they are. Lines of ``min_words`` words or more are
-near if one word changed, added or left out turns one into the other; shorter lines of
-``min_chars`` characters or more (a line of a script without spaces is one word) likewise with
-one character. Other lines are near to equal ones only: one word or character is too much of them.
+first, in the place of the earliest, however short they are. Two lines are near if one word
+changed, added or left out turns one into the other and the longer one has ``min_words`` words or more;
+where both have fewer words, likewise with one character and ``min_chars`` characters (a line of a script
+without spaces is one word). Other lines are near to equal ones only: one word or character is too
+much of them.
 
-Each distinct line that can have a neighbour emits the hash of every variant with one unit (word or
-character) deleted, and of itself:
+Each distinct line that can have a neighbour emits the hash of itself and, if it is long enough, of every
+variant with one unit (word or character) deleted. A line that is one unit short of a bound emits itself
+only, and one of ``min_words`` - 1 words both as words and as characters:
 
 * lines with the same variant at the same place differ in that unit only;
 * a line that equals another's variant lacks that unit only.
@@ -33,7 +35,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut, mixed, rows, seeds, spare
 
-#: Least lengths of lines that one changed word, or one changed character, leaves near.
+#: Least lengths of the longer of two lines that one changed word, or one changed character, leaves near.
 MIN_WORDS, MIN_CHARS = 8, 20
 
 
@@ -41,13 +43,18 @@ def normalised(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
-def units(line: bytes, min_words: int, min_chars: int) -> tuple[bytes, Sequence]:
-    """Kind and units of a normalised line: words (bytes), characters (a string), or none."""
+def units(line: bytes, min_words: int, min_chars: int) -> list[tuple[bytes, Sequence, bool]]:
+    """Ways to compare a normalised line: kind, units (words as bytes, or characters as a string), and whether
+    it is long enough to be near to a line that lacks one."""
     words = line.split(b" ")
-    if len(words) >= min_words:
-        return b"w", words
-    chars = line.decode("utf-8", "surrogatepass")
-    return (b"c", chars) if len(chars) >= min_chars else (b"", b"")
+    out: list[tuple[bytes, Sequence, bool]] = []
+    if len(words) >= min_words - 1:
+        out.append((b"w", words, len(words) >= min_words))
+    if len(words) < min_words:
+        chars = line.decode("utf-8", "surrogatepass")
+        if len(chars) >= min_chars - 1:
+            out.append((b"c", chars, len(chars) >= min_chars))
+    return out
 
 
 def _bytes(part: Sequence) -> bytes:
@@ -101,25 +108,26 @@ def near(a: Sequence, b: Sequence) -> bool:
 
 
 def _lines(documents: DataFrame, min_words: int, min_chars: int) -> DataFrame:
-    """A row for each line with a word: doc_id, place, hash of the line, and the keys of its ends
-    (null where it has no units)."""
+    """A row for each line with a word of documents (doc_id, text, whole): doc_id, whole, place, hash of the
+    line, and the keys of its ends (null where it has no units)."""
     def each(batches):
         for d in rows(batches):
-            docs, places, names, keys = [], [], [], []
-            for doc, text in zip(d["doc_id"], d["text"], strict=True):
+            docs, wholes, places, names, keys = [], [], [], [], []
+            for doc, text, whole in zip(d["doc_id"], d["text"], d["whole"], strict=True):
                 for place, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                     line = normalised(line)
                     if line:
-                        kind, u = units(line, min_words, min_chars)
+                        found = units(line, min_words, min_chars)
                         docs.append(doc)
+                        wholes.append(whole)
                         places.append(place)
                         names.append(xxhash.xxh3_128_digest(line))
-                        keys.append(ends(kind, u) if kind else None)
+                        keys.append([k for kind, u, _ in found for k in ends(kind, u)] or None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(names, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "place", "line", "ends"])
+                [pa.array(docs, pa.int64()), pa.array(wholes, pa.int64()), pa.array(places, pa.int32()), pa.array(names, pa.binary()),
+                 pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "whole", "place", "line", "ends"])
 
-    return documents.mapInArrow(each, "doc_id long, place int, line binary, ends array<long>")
+    return documents.mapInArrow(each, "doc_id long, whole long, place int, line binary, ends array<long>")
 
 
 #: Lines of a document that its place in the order leaves room for.
@@ -133,7 +141,8 @@ def _order() -> Column:
 
 
 def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(first, text) of the wanted lines (doc_id, place, line, first), as normalised."""
+    """(first, text) of the wanted lines (doc_id, whole, place, line, first), as normalised. Rows are met by
+    doc_id and the hash of their whole text, so rows without doc_id are as many keys as they have texts."""
     def each(batches):
         for d in rows(batches, 200):
             firsts, texts = [], []
@@ -146,9 +155,9 @@ def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                         texts.append(line)
             yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.decimal128(38, 0)), pa.array(texts, pa.binary())], ["first", "line"])
 
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "line", "first")).alias("x")).select(
-        F.col("doc_id").alias("of"), F.col("x.place").alias("places"), F.col("x.line").alias("names"), F.col("x.first").alias("orders"))
-    found = documents.join(by_doc, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "places", "names", "orders").mapInArrow(
+    by_doc = wanted.groupBy("doc_id", "whole").agg(F.collect_list(F.struct("place", "line", "first")).alias("x")).select(
+        F.col("doc_id").alias("of"), F.col("whole").alias("as"), F.col("x.place").alias("places"), F.col("x.line").alias("names"), F.col("x.first").alias("orders"))
+    found = documents.join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("whole") == F.col("as"))).select("text", "places", "names", "orders").mapInArrow(
         each, "first decimal(38,0), line binary")
     return found.dropDuplicates(["first", "line"])
 
@@ -157,9 +166,9 @@ def _keys(texts: DataFrame, min_words: int, min_chars: int) -> DataFrame:
     """(key, at, first): at is the deleted unit's place, or -1 for the line itself."""
     def each(batches):
         for d in rows(batches, 500):
-            keys = [variants(*units(line, min_words, min_chars)) for line in d["line"]]
-            sizes = [len(k) for k in keys]
-            names = np.repeat(np.arange(len(keys)), sizes)
+            found = [(i, variants(kind, u)[: None if long else 1]) for i, line in enumerate(d["line"]) for kind, u, long in units(line, min_words, min_chars)]
+            keys, sizes = [k for _, k in found], [len(k) for _, k in found]
+            names = np.repeat(np.array([i for i, _ in found], np.int64), sizes)
             at = np.concatenate([np.arange(n) - 1 for n in sizes]) if sizes else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(at.astype(np.int32)),
@@ -174,8 +183,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, min_words: int, min_chars: in
         for d in rows(batches):
             keep = []
             for n, a, b in zip(d["first"], d["line"], d["other"], strict=True):
-                (kind, x), (same, y) = units(a, min_words, min_chars), units(b, min_words, min_chars)
-                if kind == same and near(x, y):
+                others = {kind: (y, long) for kind, y, long in units(b, min_words, min_chars)}
+                if any(kind in others and (long or others[kind][1]) and near(x, others[kind][0]) for kind, x, long in units(a, min_words, min_chars)):
                     keep.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.decimal128(38, 0))], ["first"])
 
@@ -185,19 +194,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, min_words: int, min_chars: in
 
 
 def duplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """From documents (doc_id, text): (doc_id, place, line) of every line to be removed, line being
-    its hash. A line goes if an earlier one is equal or near to it, whether or not the earlier one
+    """From documents (doc_id, text, whole, a hash of the text): (doc_id, whole, place, line) of every line
+    to be removed, line being its hash. A line goes if an earlier one is equal or near to it, whether or not the earlier one
     goes itself. Order: doc_id (null last), then place in the text."""
     limits = min_words, min_chars
     lines = cut(_lines(documents, *limits).withColumn("own", _order()))
-    distinct = cut(lines.groupBy("line").agg(F.min("own").alias("first"), F.max("own").alias("last"), F.first("ends").alias("ends")))
+    distinct = cut(lines.groupBy("line").agg(F.min("own").alias("first"), F.max("own").alias("last"), F.min_by("whole", "own").alias("whole"), F.first("ends").alias("ends")))
     # Lines that share an end with another line.
-    by_end = distinct.select("line", "first", F.explode("ends").alias("end"))
+    by_end = distinct.select("line", "first", "whole", F.explode("ends").alias("end"))
     twice = cut(by_end.groupBy("end").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("end"))
-    candidates = by_end.join(twice, "end").select("line", "first").distinct()
+    candidates = by_end.join(twice, "end").select("line", "first", "whole").distinct()
     # The order holds the document and the place of a line's first occurrence.
     doc = F.expr(f"if(first >= {1 << 63}BD * {PLACES}BD, null, (first - pmod(first, {PLACES}BD)) div {PLACES}BD)")
-    wanted = candidates.select(doc.alias("doc_id"), F.expr(f"cast(pmod(first, {PLACES}BD) as int)").alias("place"), "line", "first")
+    wanted = candidates.select(doc.alias("doc_id"), "whole", F.expr(f"cast(pmod(first, {PLACES}BD) as int)").alias("place"), "line", "first")
     texts = cut(_texts(documents, wanted))
     keys = _keys(texts, *limits)
     # Under one key a line itself (at = -1) faces variants of longer lines, and these face it and each other.
@@ -210,7 +219,7 @@ def duplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_chars:
     pairs = met.join(of_place, ["key", "at"]).select("first", earlier.alias("earlier")).where("earlier < first").distinct()
     near_lines = _confirmed(pairs, texts, *limits).withColumn("near", F.lit(True))
     verdicts = cut(distinct.join(near_lines, "first", "left").where("first < last or near").select("line", "first", "near"))
-    return lines.select("doc_id", "place", "line", "own").join(verdicts, "line").where("own > first or near").select("doc_id", "place", "line")
+    return lines.select("doc_id", "whole", "place", "line", "own").join(verdicts, "line").where("own > first or near").select("doc_id", "whole", "place", "line")
 
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, drop_emptied: bool = False,
@@ -226,12 +235,13 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_chars: int
     """
     if count_as is not None and spare(documents, count_as) != [count_as]:
         raise ValueError(f"documents have a column {count_as} already")
-    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("whole"))
     # Sets drop what repeated rows give twice; a distinct() here would hold a hot line's rows in one task.
-    gone = duplicate_lines(chosen, min_words, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("place", "line")).alias("x"))
-    of, found = spare(documents, "of", "found")
-    gone = gone.select(F.col("doc_id").alias(of), F.col("x").alias(found))
-    joined = documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(of)), "left").drop(of)
+    gone = duplicate_lines(chosen, min_words, min_chars).groupBy("doc_id", "whole").agg(F.collect_set(F.struct("place", "line")).alias("x"))
+    of, whole, found = spare(documents, "of", "whole", "found")
+    gone = gone.select(F.col("doc_id").alias(of), F.col("whole").alias(whole), F.col("x").alias(found))
+    joined = documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(whole)), "left").drop(of, whole)
     fields = list(documents.schema.fields)
     at = documents.columns.index("text")
 

@@ -38,10 +38,11 @@ LINE_DEDUP = f"""
 WITH l AS MATERIALIZED (SELECT doc_id, place, line AS text, doc_id * 2147483648 + place AS own, array_to_string(w, ' ') AS s, w
     FROM (SELECT *, regexp_extract_all({LOWER.replace('text', 'line')}, {WORD}) AS w FROM (SELECT doc_id,
       unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL))),
-  f AS MATERIALIZED (SELECT s, min(own) AS first, CASE WHEN len(w) >= 8 THEN w WHEN length(s) >= 20 THEN string_split(s, '') END AS u,
-    len(w) >= 8 AS by_word FROM l WHERE len(w) > 0 GROUP BY s, w),
+  f AS MATERIALIZED (SELECT s, w, min(own) AS first FROM l WHERE len(w) > 0 GROUP BY s, w),
+  u AS MATERIALIZED (SELECT first, w AS u, true AS by_word, CASE WHEN len(w) >= 8 THEN len(w) ELSE 0 END AS last FROM f WHERE len(w) >= 7
+    UNION ALL SELECT first, string_split(s, ''), false, CASE WHEN length(s) >= 20 THEN length(s) ELSE 0 END FROM f WHERE len(w) < 8 AND length(s) >= 19),
   v AS MATERIALIZED (SELECT first, by_word, p AS at, CASE WHEN by_word THEN array_to_string(x, ' ') ELSE array_to_string(x, '') END AS key
-    FROM (SELECT *, CASE WHEN p = 0 THEN u ELSE u[1:p - 1] || u[p + 1:] END AS x FROM (SELECT *, unnest(range(0, len(u) + 1)) AS p FROM f WHERE u IS NOT NULL))),
+    FROM (SELECT *, CASE WHEN p = 0 THEN u ELSE u[1:p - 1] || u[p + 1:] END AS x FROM (SELECT *, unnest(range(0, last + 1)) AS p FROM u))),
   bad AS (SELECT DISTINCT a.first FROM v a JOIN v b ON a.key = b.key AND a.by_word = b.by_word AND (a.at = b.at OR a.at = 0 OR b.at = 0) AND a.first > b.first),
   k AS (SELECT l.doc_id, l.place, l.text, f.first IS NOT NULL AND (l.own > f.first OR bad.first IS NOT NULL) AS gone
     FROM l LEFT JOIN f ON f.s = l.s LEFT JOIN bad ON bad.first = f.first),

@@ -18,11 +18,9 @@ def alike(a, b, min_words, min_chars):
     if a == b:
         return True
     (x, y), (p, q) = (t.split(" ") for t in (a, b)), (a, b)
-    if len(x) >= min_words and len(y) >= min_words:
+    if max(len(x), len(y)) >= min_words:
         return abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1
-    if len(x) < min_words and len(y) < min_words and len(p) >= min_chars and len(q) >= min_chars:
-        return abs(len(p) - len(q)) <= 1 and distance(p, q) <= 1
-    return False
+    return max(len(p), len(q)) >= min_chars and abs(len(p) - len(q)) <= 1 and distance(p, q) <= 1
 
 
 def norm(line):
@@ -84,6 +82,26 @@ def test_equals_brute_force(spark):
     assert removed[2] > removed[1] > removed[0] > 50
 
 
+def test_lines_on_both_sides_of_a_bound(spark):
+    """Of lines of 8, 7 and 9 words and of 20, 19 and 21 characters, in any order, all but the first go."""
+    eight = "one two three four five six seven eight"
+    lines = [eight, eight.removesuffix(" eight"), eight + " nine"]
+    chars = ["abcde fghij klmno pq", "abcde fghij klmno p", "abcde fghij klmno pqr"]
+    for first, second, third in [(0, 1, 2), (1, 0, 2), (2, 0, 1)]:
+        for own in (lines, chars):
+            docs = [(1, own[first]), (2, own[second]), (3, own[third]), (4, own[1].replace("two", "2").replace("abcde", "abcdx")), (5, own[1][1:])]
+            got = {r.doc_id: r.n for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), count_as="n").collect()}
+            want = {i: n for (i, _), (_, n) in zip(docs, brute(docs), strict=True)}
+            assert got == want and (want[2], want[3], want[4]) == (1, 1 if first != 1 else want[3], want[4])
+
+
+def test_rows_without_doc_id(spark):
+    line = "one two three four five six seven eight nine"
+    docs = [(None, f"{line}\nown {k}") for k in range(6)] + [(None, line), (3, line), (None, f"{line} ten")]
+    got = sorted((str(r.doc_id), r.text) for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted([("None", f"own {k}") for k in range(6)] + [("None", ""), ("None", ""), ("3", line)])
+
+
 def test_digests_and_dropping(spark):
     line = "one two three four five six seven eight"
     docs = [(2, line), (1, f"{line}\nshort"), (3, f"{line} nine\nx"), (4, "a\nX"), (5, None)]

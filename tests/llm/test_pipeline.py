@@ -42,11 +42,13 @@ def fewer_lines(docs):
         for line in d["text"].split("\n"):
             line, shown = norm(line), line
             w = line.split(" ")
-            u = w if len(w) >= 8 else line if len(line) >= 20 else None
-            near = u is not None and any(within_one(u, e) for n in (-1, 0, 1) for e in earlier.get((type(u), len(u) + n), {}).values())
+            # By words where the longer line has eight, by characters where both have fewer and the longer line has twenty.
+            ways = [u for u, fits in ((w, len(w) >= 7), (line, len(w) < 8 and len(line) >= 19)) if fits]
+            least = {list: 8, str: 20}
+            near = any(max(len(u), len(e)) >= least[type(u)] and within_one(u, e) for u in ways for n in (-1, 0, 1) for e in earlier.get((type(u), len(u) + n), {}).values())
             gone = bool(line) and (line in earlier.setdefault(None, set()) or near)
             earlier[None] = earlier.get(None, set()) | {line}
-            if u is not None:
+            for u in ways:
                 earlier.setdefault((type(u), len(u)), {})[line] = u
             if not gone:
                 kept.append(shown)
