@@ -1,18 +1,16 @@
 """Main text of web pages by the line-block distribution.
 
 Markup is stripped block by block: every block element starts a new line, and elements that stand
-inside a line leave no break, even if nothing of them is shown. Lines of menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments are marked as apart. Each other line weighs
-as many characters as it has outside of links.
-
-Over the lines run sums of ``window`` weights. A dive point is where a sum falls to zero, a surge
-point where sums leave zero again; the lines between a surge and the next dive are a stretch, the
-lines that a sum of zero covers are none. So a line of nothing but links stays where text is near and
-goes where it stands in a run of its kind.
-
-Where the page names its article (article or main), the distribution is that of the article's own
-lines, and all stretches stay. Elsewhere it is that of the whole page, lines apart and mostly linked
-ones weighing nothing, and a stretch stays if its highest sum reaches ``share`` of the page's highest.
+inside a line leave no break, even if nothing of them is shown. Each line weighs as many characters as
+it shows outside of links, none if these have neither letter nor digit. Tags only set weights: lines of
+menus, headers, footers, sidebars, notices, adverts, forms and reader comments weigh nothing, and such a
+stretch of lines counts as ``window`` lines at least, since its markup left blank lines. Where the page names
+its article (article or main), lines outside of it weigh nothing likewise, and inside links count as text.
+
+Over the whole page, with blank lines before and after it, run sums of ``window`` weights. A dive point is
+where a sum falls to zero, a surge point where sums leave zero again; the text is what stands between each
+surge and the next dive, lines that no sum of zero covers. So a line of nothing but links stays where text is
+near and goes where it stands in a run of its kind.
 """
 
 from __future__ import annotations
@@ -29,8 +27,8 @@ from .common import rows
 
 #: Lines summed at each place of the distribution.
 WINDOW = 3
-#: Share of a page's highest sum that a stretch must reach on pages that name no article.
-SHARE = 0.15
+#: Share of a page's text beyond which a form is the page's frame and no part of it.
+FRAME = 0.5
 #: Elements whose text is never shown or never part of an article.
 DROPPED = frozenset("head nav footer aside form dialog menu button select option textarea label fieldset iframe object canvas svg math audio video map".split())
 #: Elements whose content is not markup.
@@ -58,6 +56,12 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 #: Elements that such a name never takes away, and words by which a name speaks of another element.
 KEPT, ABOUT = frozenset("html body article main".split()), frozenset("has no with without".split())
 
+#: Elements whose end tag may be left out, and the start tags that end them; the end of what they stand in does so too.
+BLOCKS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+ENDED_BY = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "option": frozenset({"option", "optgroup"}), "optgroup": frozenset({"optgroup"}),
+            "td": frozenset("td th tr tbody tfoot".split()), "th": frozenset("td th tr tbody tfoot".split()), "tr": frozenset("tr tbody tfoot".split()),
+            "thead": frozenset("tbody tfoot".split()), "tbody": frozenset("tbody tfoot".split()), "tfoot": frozenset({"tbody"})}
+
 #: Attributes up to the end of a tag. A quoted value ends where white space or the tag's end follows; if
 #: quotes don't pair up so, the tag ends at the first >.
 _REST = r"(?:(?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+>|[^>]*(?:>|$))"
@@ -77,8 +81,10 @@ def _names_other(word: str) -> bool:
     return parts[-1] in NAMES or parts[0] in NAMES and all(p in PLAIN or p in NAMES for p in parts)
 
 
-def _apart(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element that opens here is no part of an article."""
+def _apart(name: str, attrs: str, in_article: bool, forms: bool = True) -> bool:
+    """Whether an element that opens here is no part of an article; without forms, a form may be one."""
+    if name == "form" and not forms:
+        return False
     if name in DROPPED or name == "header" and not in_article:
         return True
     if not attrs.strip() or name in KEPT:
@@ -97,20 +103,22 @@ def _apart(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside of links, apart, in article) of each line in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines(page: str, forms: bool = True) -> list[tuple[str, int, str, bool]]:
+    """(text, characters outside of links, the element that sets it apart or "", in article) of each line in
+    page order. Without forms, forms set nothing apart."""
+    out: list[tuple[str, int, str, bool]] = []
     parts: list[str] = []
     own: list[str] = []
     skip, depth, article, left, in_link = "", 0, 0, 0, False
+    held = 0  # open elements inside what is set apart whose end tag is needed
     hidden, within, blocks = "", 0, 0  # an element inside a line of which nothing is shown
 
     def close() -> None:
         nonlocal parts, own
         text = SPACE.sub(" ", htmllib.unescape("".join(parts))).strip()
         if text:
-            plain = len(SPACE.sub(" ", htmllib.unescape("".join(own))).strip())
-            out.append((text, plain, bool(skip), article > 0))
+            plain = SPACE.sub(" ", htmllib.unescape("".join(own))).strip()
+            out.append((text, len(plain) if any(map(str.isalnum, plain)) else 0, skip, article > 0))
         parts, own = [], []
 
     def add(text: str) -> None:
@@ -147,6 +155,9 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             if skip and not end and skip not in ("article", "main"):
                 skip, depth = "", 0  # what stays open before an article ends there
             article = max(0, article + (-1 if end else 1)) if not skip else article
+        if skip in ENDED_BY and not held and (opens and name in ENDED_BY[skip] or end and name != skip and name not in INLINE and name not in ENDED_BY):
+            close()
+            skip, depth = "", 0  # its end tag was left out
         if skip:
             if name == skip and (opens or end):
                 depth += -1 if end else 1
@@ -155,13 +166,15 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                     skip = ""
             elif end and name in ("body", "html"):
                 skip, depth = "", 0
-        elif opens and _apart(name, attrs, article > 0):
+            elif (opens or end) and name not in INLINE and name not in ENDED_BY:
+                held = max(0, held + (-1 if end else 1))
+        elif opens and _apart(name, attrs, article > 0, forms):
             if name in INLINE:
                 hidden, within, blocks = name, 1, 0
                 in_link = False if name == "a" else in_link
             else:
                 close()
-                skip, depth = name, 1
+                skip, depth, held = name, 1, 0
     if not hidden:
         add(page[left:])
     close()
@@ -190,22 +203,40 @@ def stretches(weights: list[int], window: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:
-    """The lines of the stretches that stay, joined by one newline."""
+def weighed(found: list[tuple[str, int, str, bool]], window: int) -> tuple[list[int], list[int]]:
+    """(weights, places): the lines' weights with blank lines in front, behind and between, and each weight's
+    line, or -1 for a blank one. Lines set apart, and those outside where there is an article, come in stretches
+    of ``window`` places or more."""
+    named = any(inside and not apart for _, _, apart, inside in found)
+    weights, places, run = [0] * window, [-1] * window, window
+
+    def fill() -> None:
+        blank = window - run if 0 < run < window else 0
+        weights.extend([0] * blank)
+        places.extend([-1] * blank)
+
+    for i, (text, plain, apart, inside) in enumerate(found):
+        other = bool(apart) or named and not inside
+        if not other:
+            fill()
+        run = run + 1 if other else 0
+        weights.append(0 if other else len(text) if named else plain)
+        places.append(i)
+    fill()
+    return weights + [0] * window, places + [-1] * window
+
+
+def main_text(page: str | None, window: int = WINDOW) -> str:
+    """The lines between surge and dive points, joined by one newline."""
     found = lines(page or "")
-    inner = [x for x in found if x[3] and not x[2]]
-    if inner:
-        weights = [w for _, w, _, _ in inner]
-        if not any(weights):  # an article of nothing but links
-            weights = [len(t) for t, _, _, _ in inner]
-        return "\n".join(t for a, b, _ in stretches(weights, window) for t, _, _, _ in inner[a:b])
-    weights = [0 if apart or 2 * w < len(t) else w for t, w, apart, _ in found]
-    runs = stretches(weights, window)
-    least = share * max((top for _, _, top in runs), default=0)
-    return "\n".join(found[i][0] for a, b, top in runs if top >= least for i in range(a, b) if weights[i])
-
-
-def extract(pages: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    total = lambda x: sum(len(line[0]) for line in x)
+    if total(x for x in found if x[2] == "form") > FRAME * total(found):
+        found = lines(page or "", forms=False)
+    weights, places = weighed(found, window)
+    return "\n".join(found[places[i]][0] for a, b, _ in stretches(weights, window) for i in range(a, b) if places[i] >= 0)
+
+
+def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:
     """For each row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
 
     Null or empty html gives an empty text, so do pages without a line that counts. Nulls in other
@@ -213,7 +244,7 @@ def extract(pages: DataFrame, window: int = WINDOW, share: float = SHARE) -> Dat
     """
     def each(batches):
         for d in rows(batches, 250):
-            texts = [main_text(h, window, share) for h in d["html"]]
+            texts = [main_text(h, window) for h in d["html"]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d["page_id"], pa.int64()), pa.array(d["url"], pa.string()), pa.array(texts, pa.string()),
                  pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])

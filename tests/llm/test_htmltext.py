@@ -49,16 +49,70 @@ def test_surge_and_dive_points():
 
 
 def test_windows_decide_what_stays():
-    """Links alone stay near text and go in runs, and how long a run is the window says."""
-    link = lambda k: f"<p><a href=/{k}>Link {k}</a></p>"
-    page = f"<nav>m</nav><article><p>One text.</p>{link(1)}{link(2)}<p>Two text.</p>{link(3)}</article>"
-    want = {1: "One text.\nTwo text.", 2: "One text.\nTwo text.\nLink 3", 3: "One text.\nLink 1\nLink 2\nTwo text.\nLink 3"}
-    assert {k: htmltext.main_text(page, k) for k in want} == want
-    assert htmltext.main_text(f"<article>{link(1)}{link(2)}</article>", 1) == "Link 1\nLink 2"
-    body = "".join(f"<div>A sentence of the main text, number {i}.</div>" for i in range(4))
-    page = f"<body><div>Top</div><div class=ad>a</div><div class=ad>b</div>{body}</body>"
-    main = [f"A sentence of the main text, number {i}." for i in range(4)]
-    assert htmltext.main_text(page, 2).split("\n") == main and htmltext.main_text(page, 3).split("\n") == ["Top", *main]
+    """Links alone stay near text and go in runs, and how long a run is the window says; in an article they are text."""
+    link = lambda k: f"<p><a href=/{k}>Link {k}</a> |</p>"
+    text = f"<p>One text.</p>{link(1)}{link(2)}<p>Two text.</p>{link(3)}"
+    want = {1: "One text.\nTwo text.", 2: "One text.\nTwo text.", 3: "One text.\nLink 1 |\nLink 2 |\nTwo text."}
+    assert {k: htmltext.main_text(f"<nav>m</nav><div>{text}</div>", k) for k in want} == want
+    whole = "One text.\nLink 1 |\nLink 2 |\nTwo text.\nLink 3 |"
+    assert {htmltext.main_text(f"<nav>m</nav><article>{text}</article>", k) for k in want} == {whole}
+    listed = "".join(link(k) for k in range(9))
+    assert htmltext.main_text(f"<div><p>Short.</p><ul>{listed}</ul><p>{'long ' * 99}</p></div>") == "Short.\n" + ("long " * 99).strip()
+    assert htmltext.main_text(f"<article><p>Text.</p>{listed}</article>").count("\n") == 9
+
+
+def plainly(page, window):
+    """The text by trying, for every line, all windows that cover it, over blank lines put in by hand."""
+    found = htmltext.lines(page)
+    named = any(inside and not apart for _, _, apart, inside in found)
+    places = [(0, None)] * window
+    for k, (text, plain, apart, inside) in enumerate(found):
+        out = bool(apart) or named and not inside
+        before = k > 0 and (bool(found[k - 1][2]) or named and not found[k - 1][3])
+        if out != before:
+            places += [(0, None)] * window if out or k else []
+        places.append((0 if out else len(text) if named else plain, text))
+    places += [(0, None)] * window
+    covered = lambda i: [sum(w for w, _ in places[j : j + window]) for j in range(max(0, i - window + 1), min(i, len(places) - window) + 1)]
+    return "\n".join(text for i, (_, text) in enumerate(places) if text is not None and all(covered(i)))
+
+
+def test_equals_the_distribution_by_brute_force():
+    r = random.Random(8)
+    parts = ["<p>Some text.</p>", "<p><a href=1>Link</a></p>", "<nav><a href=2>N</a></nav>", "<div class=ad>Buy</div>", "<aside><p>s</p><p>t</p></aside>", "<p>A <a href=3>b</a></p>", "<hr>"]
+    for k in range(300):
+        some = "".join(r.choice(parts) for _ in range(r.randrange(14)))
+        page = [f"<body>{some}</body>", f"<body>{some}<article>{some}</article>{some}</body>"][k % 2]
+        for window in (1, 2, 3, 4):
+            assert htmltext.main_text(page, window) == plainly(page, window), (page, window)
+
+
+def test_sums_choose_on_the_drivers_pages(sf_dir):
+    """On these pages text is right because of the sums: all lines would be too many, and the article's tag isn't needed."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf_dir}/pages.parquet")["html"].to_pylist()
+    for page in pages:
+        got = htmltext.main_text(page)
+        assert got == plainly(page, htmltext.WINDOW) and got
+        assert got != "\n".join(x[0] for x in htmltext.lines(page))
+        assert got == htmltext.main_text(page.replace("<article", "<div").replace("</article", "</div").replace("<main", "<div").replace("</main", "</div"))
+
+
+def test_end_tags_may_be_missing():
+    one = htmltext.main_text
+    assert one("<article><p class=ad>Buy<p>text one<p>two</article>") == "text one\ntwo"
+    assert one("<article><ul><li class=share>Share<ul><li>x</ul><li>text</ul><p>y</article>") == "text\ny"
+    assert one("<article><p class=ad>Buy<ul><li>in</ul><p>t</article>") == "in\nt"
+    assert one("<div><p class=ad>x</div><p>kept") == "kept"
+    assert one("<table><tr><td class=sidebar>s<td>text<tr class=nav><td>n<tr><td>last</table>") == "text\nlast"
+    assert one("<article><dl><dt class=ad>a<dd>text<dt>term</dl></article>") == "text\nterm"
+
+
+def test_a_form_around_the_page_is_its_frame():
+    one = htmltext.main_text
+    assert one("<body><form><nav>n</nav><p>One text of the page.<p>Two. <input name=q><button>Go</button><label>l</label></form></body>") == "One text of the page.\nTwo."
+    assert one("<body><article><form><p>mail?</p></form><p>Much more text than the form has.</p></article></body>") == "Much more text than the form has."
 
 
 def test_article_keeps_all_but_what_is_apart():
