@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import class_ranges, rows
+from .common import class_ranges, once, rows
 
 #: Fixed value: how byte-level vocabularies of this family cut a text before the merges. The
 #: classes L (letters), N (numbers) and S (white space) are written out by pre_token_pattern().
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
 #: Pre-tokens that a task remembers before it starts over.
 CACHE = 600_000
+#: Pairs of tokens of which a task remembers whether they fit.
+PAIRS = 2_000_000
 
 
 #: Below this code point the classes are short lists, with which re is four times as fast.
@@ -109,6 +111,8 @@ class Vocabulary:
                 else:
                     until = self.rank[right] + 1
                     right = self.parts[right][0]
+            if len(self.fits) > PAIRS:
+                self.fits.clear()
             self.fits[a, b] = found
         return found
 
@@ -208,7 +212,7 @@ def encode(documents: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     patterns = [pre_token_pattern(NARROW), pre_token_pattern()]
 
     def each(batches):
-        vocabulary = Vocabulary(path)
+        vocabulary = once(Vocabulary, path)
         encoder = Encoder(vocabulary, patterns)
         for d in rows(batches, 250):
             ids = [encoder(t) for t in d["text"]]
@@ -224,7 +228,7 @@ def encode(documents: DataFrame, path: str, decoded: bool = False) -> DataFrame:
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id, decoded for each row of tokens (doc_id, ids); null ids decode to an empty text."""
     def each(batches):
-        vocabulary = Vocabulary(path)
+        vocabulary = once(Vocabulary, path)
         for d in rows(batches, 250):
             texts = [vocabulary.decode(np.array(i or [], np.int64)) for i in d["ids"]]
             yield pa.RecordBatch.from_arrays([pa.array(d["doc_id"], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "decoded"])

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,16 @@ def class_ranges(cls: str, limit: int = 0x110000) -> str:
     return out
 
 
+def once(make: Callable, *key):
+    """make(*key), made once in a worker process and kept for its later tasks; only the last key of each
+    maker is kept. Functions travel to the workers by value, so it is held beside the modules, not in one."""
+    held = sys.modules.setdefault("held by tasks", ModuleType("held by tasks")).__dict__
+    name = make.__qualname__
+    if name not in held or held[name][0] != key:
+        held[name] = key, make(*key)
+    return held[name][1]
+
+
 def spare(df: DataFrame, *stems: str) -> list[str]:
     """A column name for each stem that df does not have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

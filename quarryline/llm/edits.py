@@ -6,14 +6,14 @@ is re-encoded from the start of the leaf that holds the second character before
 into pre-tokens looks two characters ahead at most, up to the first old leaf border behind it that
 is a border of the new cut as well: from there on the cut depends on unchanged text only. The
 region goes into its first leaf, the other leaves touched become empty, and the sums on their ways
-to the root are updated. Strings of special tokens are ordinary text here.
+to the root are updated; a region of more than two leaves' pieces is dealt to leaves anew, and where these are
+more than were touched the tree is built again from its leaves' sums, without a look at their text. Strings of special tokens are ordinary text here.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterable
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CACHE, NARROW, Encoder, Vocabulary, pre_token_pattern
-from .common import cut
+from .common import cut, once
 
 #: Pre-tokens of a leaf.
 LEAF = 32
@@ -52,12 +52,6 @@ class Counter:
             return list(map(sizes.__getitem__, pieces))
 
 
-@lru_cache(maxsize=1)
-def _counter(path: str, patterns: tuple[str, ...]) -> Counter:
-    """The one Counter of a worker process; its tasks share the tables and the memory of pieces."""
-    return Counter(path, patterns)
-
-
 def tree(values: np.ndarray) -> np.ndarray:
     """Sums over a binary tree of values: node 1 is the root, node i has children 2i and 2i + 1."""
     size = 1
@@ -103,8 +97,10 @@ def build(counter: Counter, text: str, leaf: int) -> tuple[np.ndarray, np.ndarra
     return tree(chars), tree(np.add.reduceat(np.array(counter.tokens(pieces), np.int32), at))
 
 
-def edited(counter: Counter, text: str, chars: np.ndarray, tokens: np.ndarray, start: int, removed: int, inserted: str) -> tuple[str, int]:
-    """The text after one edit, with both trees updated, and the characters that were cut anew."""
+def edited(counter: Counter, text: str, chars: np.ndarray, tokens: np.ndarray, start: int, removed: int, inserted: str,
+           leaf: int = LEAF) -> tuple[str, np.ndarray, np.ndarray, int]:
+    """The text after one edit, both trees (updated in place unless they have grown), and the characters that
+    were cut anew."""
     n = len(text)
     start = max(0, min(start, n))
     stop = max(start, min(start + removed, n))
@@ -126,12 +122,26 @@ def edited(counter: Counter, text: str, chars: np.ndarray, tokens: np.ndarray, s
         end += int(chars[size + last])
     else:
         pieces = counter.pieces(out[begin:])
-    put(chars, first, sum(map(len, pieces)))
-    put(tokens, first, sum(counter.tokens(pieces)))
-    for leaf in range(first + 1, last + 1 if end < n else size):
-        put(chars, leaf, 0)
-        put(tokens, leaf, 0)
-    return out, sum(map(len, pieces))
+    stop_leaf = last + 1 if end < n else size
+    at = range(0, len(pieces), leaf) if len(pieces) > 2 * leaf else [0]
+    new_chars = [sum(map(len, pieces[i : i + leaf] if len(at) > 1 else pieces)) for i in at]
+    new_tokens = [sum(counter.tokens(pieces[i : i + leaf] if len(at) > 1 else pieces)) for i in at]
+    if len(new_chars) > stop_leaf - first:
+        chars, tokens = (_grown(old, first, stop_leaf, new) for old, new in ((chars, new_chars), (tokens, new_tokens)))
+    else:
+        for k in range(first, stop_leaf):
+            own = k - first < len(new_chars)
+            put(chars, k, new_chars[k - first] if own else 0)
+            put(tokens, k, new_tokens[k - first] if own else 0)
+    return out, chars, tokens, sum(new_chars)
+
+
+def _grown(sums: np.ndarray, first: int, stop: int, new: list[int]) -> np.ndarray:
+    """A tree with new leaves in place of those from first to stop. Every leaf that holds characters holds
+    tokens, so both trees lose the same empty leaves."""
+    size = len(sums) // 2
+    leaves = np.concatenate([sums[size : size + first], np.array(new, np.int32), sums[size + stop :]])
+    return tree(leaves[leaves > 0]) if (leaves > 0).any() else tree(np.zeros(1, np.int32))
 
 
 def _named(documents: DataFrame) -> DataFrame:
@@ -165,7 +175,7 @@ def trees(documents: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     patterns = (pre_token_pattern(NARROW), pre_token_pattern())
 
     def each(batches):
-        counter = _counter(path, patterns)
+        counter = once(Counter, path, patterns)
         for part in _parts(batches):
             both = [build(counter, t or "", leaf) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -175,7 +185,7 @@ def trees(documents: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     return _named(documents).mapInArrow(each, "doc_id long, key long, crc long, chars array<int>, tokens array<int>")
 
 
-def recount(documents: DataFrame, state: DataFrame, edits: DataFrame, path: str) -> DataFrame:
+def recount(documents: DataFrame, state: DataFrame, edits: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     """Applies edits (doc_id, seq, start, removed, inserted) to the rows of documents by the trees in
     state (see trees()). For each row: doc_id, text and trees after the edits, tokens_before,
     tokens_after, n_edits and recut_chars (characters that were cut and encoded anew).
@@ -194,23 +204,25 @@ def recount(documents: DataFrame, state: DataFrame, edits: DataFrame, path: str)
             F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"),
             F.coalesce(F.col("removed").cast("long"), F.lit(0)).alias("removed"), F.coalesce("inserted", F.lit("")).alias("inserted")))).alias("edits"))
     names = state.select("doc_id", "key", "crc").distinct().join(script, "doc_id").select("key", "crc", "edits")
-    once = state.select("key", "crc", "chars", "tokens").dropDuplicates(["key", "crc"])
-    joined = _named(documents).join(once, ["key", "crc"]).join(names, ["key", "crc"], "left")
+    stored = state.select("key", "crc", "chars", "tokens").dropDuplicates(["key", "crc"])
+    joined = _named(documents).join(stored, ["key", "crc"]).join(names, ["key", "crc"], "left")
 
     def each(batches):
-        counter = _counter(path, patterns)
+        counter = once(Counter, path, patterns)
         for part in _parts(batches):
             out: dict[str, list] = {k: [] for k in ("text", "before", "after", "edits", "recut")}
             chars, tokens = _arrays(part.column("chars")), _arrays(part.column("tokens"))
+            kept = []
             for text, c, t, script in zip(part.column("text").to_pylist(), chars, tokens, part.column("edits").to_pylist(), strict=True):
                 before, recut = int(t[1]), 0
                 for e in script or ():
-                    text, n = edited(counter, text or "", c, t, e["start"], e["removed"], e["inserted"])
+                    text, c, t, n = edited(counter, text or "", c, t, e["start"], e["removed"], e["inserted"], leaf)
                     recut += n
+                kept.append((c, t))
                 for k, v in zip(out, (text, before, int(t[1]), len(script or ()), recut), strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(out["text"], pa.string()), _lists(chars), _lists(tokens),
+                [part.column("doc_id"), pa.array(out["text"], pa.string()), _lists([c for c, _ in kept]), _lists([t for _, t in kept]),
                  *(pa.array(out[k], pa.int64()) for k in ("before", "after", "edits", "recut"))],
                 ["doc_id", "text", "chars", "tokens", "tokens_before", "tokens_after", "n_edits", "recut_chars"])
 

@@ -251,6 +251,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "members_a", "members_b").mapInArrow(each, "a long, b long")
 
 
+def _same_document(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of one doc_id, for each doc_id that stands with several texts."""
+    own = signed.where("doc_id is not null and set_hash is not null").select("doc_id", "set_hash")
+    several = own.groupBy("doc_id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).where("low <> high").select("doc_id")
+    met = own.join(several, "doc_id").distinct().join(classes.select("set_hash", "id"), "set_hash")
+    least = met.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return met.join(least, "doc_id").where("a < id").select("a", F.col("id").alias("b"))
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """One row for each row of documents (doc_id, text): doc_id, n_shingles, component_id (the
     smallest doc_id that links reach), kept (doc_id = component_id).
@@ -283,10 +292,9 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 5) ->
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     split = cut(placed.join(cut(mixed_keys), "key"))
     cross = cut(_cross_pairs(split.join(reps, "id"), percent))
-    label = components(cut(first.union(_confirmed(cross, sets, percent))))
+    label = components(cut(first.union(_confirmed(cross, sets, percent)).union(_same_document(signed, classes))))
     placed = cut(classes.select("set_hash", "id").join(label, "id", "left").select(
         "set_hash", F.coalesce("component", "id").alias("component_id")))
-    # Two classes that share a doc_id as their smallest are one node already.
     out = signed.select("doc_id", "n_shingles", "set_hash").join(placed, "set_hash", "left")
     component = F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(

@@ -86,8 +86,13 @@ def measured(text: str | None) -> tuple[int, int, int, int, int, int]:
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
+def named(c: str) -> Column:
+    """A name that is never null: that of null, which is a group of its own, or the name behind "="."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+
+
 def statistics(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, source and STATS for each row of documents; null lang or source is empty."""
+    """doc_id, lang, source (as named() has them) and STATS for each row of documents."""
     def each(batches):
         for d in rows(batches):
             found = list(zip(*map(measured, d["text"]), strict=True)) or [()] * len(STATS)
@@ -95,8 +100,8 @@ def statistics(documents: DataFrame) -> DataFrame:
                 [pa.array(d["doc_id"], pa.int64()), pa.array(d["lang"], pa.string()), pa.array(d["source"], pa.string()),
                  *(pa.array(c, pa.int64()) for c in found)], ["doc_id", "lang", "source", *STATS])
 
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *named, F.col("text").cast("string").alias("text"))
+    names = [named(c).alias(c) for c in ("lang", "source")]
+    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *names, F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(each, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in STATS))
 
 
@@ -318,9 +323,8 @@ def keep_good(documents: DataFrame, cutoff: float = CHI2_9999) -> DataFrame:
 
     fields = [*documents.schema.fields, StructField(stats, StructType([StructField(c, LongType()) for c in STATS]))]
     rows_of = documents.mapInArrow(each, StructType(fields))
-    named = params.select(F.struct("*").alias(own))
-    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    joined = rows_of.join(named, (part("lang") == F.col(f"{own}.lang")) & (part("source") == F.col(f"{own}.source")))
+    of = params.select(F.struct("*").alias(own))
+    joined = rows_of.join(of, (named("lang") == F.col(f"{own}.lang")) & (named("source") == F.col(f"{own}.source")))
     stat = lambda c: F.col(f"{stats}.{c}")
     (at,) = spare(joined, "at")
     joined = joined.where(~base_failed(stat)).withColumn(at, F.struct(*_vector(stat)))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import class_ranges, rows
+from .common import class_ranges, once, rows
 
 #: Distinct words and occurrences after which a block is closed.
 WORDS, PLACES = 400_000, 6_000_000
@@ -245,7 +245,7 @@ def encode(documents: DataFrame, path: str, pattern: str, decoded: bool = False)
     names = ["doc_id", "ids", "decoded"][: 2 + decoded]
 
     def each(batches):
-        ranks = Ranks(path)
+        ranks = once(Ranks, path)
         block = Block(patterns)
 
         def results():
@@ -281,7 +281,7 @@ def encode(documents: DataFrame, path: str, pattern: str, decoded: bool = False)
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id, decoded (the bytes) for each row of tokens (doc_id, ids); null ids give no bytes."""
     def each(batches):
-        ranks = Ranks(path)
+        ranks = once(Ranks, path)
         for d in rows(batches, 250):
             found = [ranks.decode(np.array(i or [], np.int64)) for i in d["ids"]]
             yield pa.RecordBatch.from_arrays([pa.array(d["doc_id"], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "decoded"])

@@ -125,3 +125,11 @@ def test_too_low_a_percent_raises(spark):
     except ValueError:
         return
     raise AssertionError("no ValueError")
+
+
+def test_texts_of_one_doc_id_are_one_node(spark):
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    docs = [(3, words("a")), (5, words("a")), (5, words("b")), (7, words("b") + " end"), (9, words("c")), (9, words("d")), (8, words("d")), (None, words("c")), (6, words("e")), (5, None)]
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == sorted([("3", 36, 3, True), ("5", 36, 3, False), ("5", 36, 3, False), ("7", 37, 3, False), ("9", 36, 8, False), ("9", 36, 8, False), ("8", 36, 8, True),
+                          ("None", 36, 8, False), ("6", 36, 6, True), ("5", 0, 5, True)])

@@ -76,7 +76,7 @@ def robust(x, starts=30):
 
 def judged(docs):
     """{doc_id: (distance, verdict)} of (doc_id, text, lang, source), by sorting whole groups."""
-    good = [(lang or "", source or "", vector(t)) for _, t, lang, source in docs if not base(t)[5]]
+    good = [(lang, source, vector(t)) for _, t, lang, source in docs if not base(t)[5]]
     if not good:
         return {i: (None, False) for i, *_ in docs}
     top, found, out = robust(np.array([v for *_, v in good])), {}, {}
@@ -88,7 +88,7 @@ def judged(docs):
         return tuple(w * a + (1 - w) * b for a, b in zip(robust(np.array(rows)), wider, strict=True))
 
     for i, t, lang, source in docs:
-        key = lang or "", source or ""
+        key = lang, source
         if key not in found:
             of_lang = found.setdefault((key[0], None), drawn([v for a, _, v in good if a == key[0]], top))
             found[key] = drawn([v for a, b, v in good if (a, b) == key], of_lang)
