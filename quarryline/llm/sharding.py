@@ -1,8 +1,10 @@
 """Shards along a Hilbert curve over quantised metadata.
 
 Language, source and size are quantised to a few bits each and joined to one index on a Hilbert
-curve, on which neighbours in all dimensions stay close. Rows in order of the index, cut into
-equal runs, give shards whose files a reader can skip by the value ranges of any dimension.
+curve, on which neighbours in all dimensions stay close. Names are quantised by their order: a name's
+coordinate says what share of the rows has lesser names, so ranges of names are ranges of coordinates and
+frequent names have room. Rows in order of the index, cut into equal runs, give shards whose files a reader can
+skip by the least and greatest value of any dimension.
 """
 
 from __future__ import annotations
@@ -52,12 +54,35 @@ def on_curve(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
     return df.withColumn("hilbert", index(F.struct(*dims)))
 
 
-def quantised(bits: int = BITS) -> list[Column]:
-    """Coordinates of a row with lang, source and size: hash classes of the names, so that equality
-    prunes, and the binary order of magnitude of the size, in half steps (at most 125)."""
-    top = (1 << bits) - 1
-    names = [F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(top + 1)) for c in ("lang", "source")]
-    return [*names, F.floor(2 * F.log2(F.col("size").cast("double")))]
+def steps(df: DataFrame, name: str, bits: int = BITS) -> list[tuple[int, str]]:
+    """(coordinate, least name that has it) in order, 2**bits at most, for the names of df, a column
+    without nulls. Names are counted first and put in order over all tasks; a name whose lesser names
+    have the share s of the rows has the coordinate s * 2**bits, rounded down."""
+    counted = df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"))
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    # Written once: a range partitioning chosen anew need not cut alike.
+    placed = cut(counted.repartitionByRange(parts, "name").withColumn("part", F.spark_partition_id()))
+    # One row for each partition.
+    every = Window.orderBy("part")
+    starts = placed.groupBy("part").agg(F.sum("n").alias("all")).select(
+        "part", (F.sum("all").over(every) - F.col("all")).alias("start"), F.sum("all").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    own = Window.partitionBy("part").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.join(F.broadcast(starts), "part").withColumn("less", F.col("start") + F.coalesce(F.sum("n").over(own), F.lit(0)))
+    at = F.expr(f"(less * {1 << bits}) div total").alias("at")
+    return [(r["at"], r["name"]) for r in before.groupBy(at).agg(F.min("name").alias("name")).orderBy("at").collect()]
+
+
+def coordinate(name: Column, found: list[tuple[int, str]]) -> Column:
+    """The coordinate of a name by steps()."""
+    if not found:
+        return F.lit(0).cast("long")
+    least = F.array(*(F.lit(n) for _, n in found))
+    return F.element_at(F.array(*(F.lit(c).cast("long") for c, _ in found)), F.size(F.filter(least, lambda x: x <= name)))
+
+
+def magnitude(size: Column) -> Column:
+    """The binary order of magnitude of a size, in half steps (at most 125)."""
+    return F.floor(2 * F.log2(size.cast("double")))
 
 
 def shards(documents: DataFrame, n_shards: int = 8) -> DataFrame:
@@ -71,11 +96,12 @@ def shards(documents: DataFrame, n_shards: int = 8) -> DataFrame:
     a null doc_id comes first. Other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     df = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "lang", "source",
+        F.col("doc_id").cast("long").alias("doc_id"), name("lang"), name("source"),
         (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    x, y, z = quantised()
-    df = df.select("doc_id", "size", "text_crc32", x.alias("x"), y.alias("y"), z.alias("z"))
+    x, y = (coordinate(F.col(c), steps(df, c)) for c in ("lang", "source"))
+    df = df.select("doc_id", "size", "text_crc32", x.alias("x"), y.alias("y"), magnitude(F.col("size")).alias("z"))
     df = on_curve(df, ["x", "y", "z"], BITS).select("doc_id", "size", "text_crc32", "hilbert")
     parts = documents.sparkSession.sparkContext.defaultParallelism * 4
     # Written once, as a range partitioning chosen anew on a second run need not cut alike.

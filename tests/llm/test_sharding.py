@@ -37,12 +37,11 @@ def test_order_and_pruning(spark):
     from those of kilobytes; and shards hold fewer values of each dimension than rows dealt at random."""
     docs = [(i % 150, "z" * 4 ** (i % 11), f"l{i % 4}", f"s{i % 11}") for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
-    names = {r.n: r.h for r in spark.createDataFrame([(x,) for x in {n for d in docs for n in d[2:]}], "n string").selectExpr(
-        "n", f"pmod(xxhash64(n), {1 << sharding.BITS}) as h").collect()}
+    less = lambda k, name: sum(d[k] < name for d in docs) * (1 << sharding.BITS) // 300
     size = [len(t) + 1 for _, t, _, _ in docs]
     z = np.floor(2 * np.log2(size)).astype(int)
     assert len({v for v, s in zip(z, size, strict=True) if s > 46_000}) == 3
-    h = sharding.hilbert_index([np.array([names[d[2]] for d in docs]), np.array([names[d[3]] for d in docs]), z], sharding.BITS)
+    h = sharding.hilbert_index([np.array([less(2, d[2]) for d in docs]), np.array([less(3, d[3]) for d in docs]), z], sharding.BITS)
     order = sorted(range(300), key=lambda i: (h[i], docs[i][0], zlib.crc32(docs[i][1].encode())))
     want = [(docs[i][0], size[i], int(h[i]), k * 8 // 300) for k, i in enumerate(order)]
     rows = sharding.shards(df.repartition(4)).collect()
@@ -57,3 +56,20 @@ def test_few_rows(spark):
     assert sharding.shards(spark.createDataFrame([], schema)).count() == 0
     rows = sharding.shards(spark.createDataFrame([(1, "a", "x", "y"), (2, None, "x", "y")], schema)).collect()
     assert sorted((r.shard, r.slot) for r in rows) == [(0, 0), (4, 0)]
+
+
+def test_ranges_of_names_prune(spark):
+    """A reader that knows the least and the greatest source of each shard opens fewer shards for a range of
+    sources than if rows were dealt at random; one source has a third of all rows."""
+    docs = [(i, "z" * (7 ** (i % 5)), f"l{i * 7 % 4}", "m" if i % 3 == 0 else f"s{i * i % 40:02d}") for i in range(1200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    source = {d[0]: d[3] for d in docs}
+
+    def opened(shard):
+        ranges = [(min(own), max(own)) for s in range(8) if (own := [source[i] for i in source if shard[i] == s])]
+        return sum(a <= name <= b for name in set(source.values()) for a, b in ranges)
+
+    curve = {r.doc_id: r.shard for r in sharding.shards(df.repartition(4)).collect()}
+    assert opened(curve) < 0.6 * opened({i: zlib.crc32(b"%d" % i) % 8 for i in source})
+    found = sharding.steps(df, "source")
+    assert [n for _, n in found] == sorted({n for _, n in found}) and found[0] == (0, "m") and found[1][0] == 400 * 128 // 1200
