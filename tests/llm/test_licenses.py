@@ -12,22 +12,41 @@ def terms(text):
     return Counter(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower()))
 
 
+def couples(text):
+    own = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
+    return Counter(zip(["", *own], [*own, ""], strict=True))
+
+
 VECTORS = [terms(t) for _, t in licenses.TEMPLATES]
+COUPLES = [couples(t) for _, t in licenses.TEMPLATES]
 DF = Counter(t for c in VECTORS for t in c)
+DF2 = Counter(t for c in COUPLES for t in c)
 
 
-def cosines(passage):
+def cosines(own, vectors, df):
     """Cosine to every template by dense vectors over all terms."""
-    weigh = lambda c: {t: n * (math.log((1 + len(VECTORS)) / (1 + DF[t])) + 1) for t, n in c.items()}
-    own = weigh(terms(passage))
-    out = []
-    for c in VECTORS:
+    weigh = lambda c: {t: n * (math.log((1 + len(vectors)) / (1 + df[t])) + 1) for t, n in c.items()}
+    own, out = weigh(own), []
+    for c in vectors:
         b = weigh(c)
         norm = math.sqrt(sum(v * v for v in own.values()) * sum(v * v for v in b.values()))
-        out.append(sum(v * b.get(t, 0) for t, v in own.items()) / norm if norm else 0.0)
+        out.append(round(sum(v * b.get(t, 0) for t, v in own.items()) / norm, 9) if norm else 0.0)
     return out
 
 
+def brute_passage(p):
+    """(cosine, licence) of a passage without denials and expressions, from all cosines."""
+    one, two = cosines(terms(p), VECTORS, DF), cosines(couples(p), COUPLES, DF2)
+    found = {}
+    for (name, _), u, b in zip(licenses.TEMPLATES, one, two, strict=True):
+        if u >= licenses.THRESHOLD:
+            found[name] = max(found.get(name, (0, 0)), (round(u + b, 9), u))
+    ranked = sorted(((-s, name) for name, (s, _) in found.items()))
+    if not ranked or len(ranked) > 1 and ranked[0][0] + licenses.MARGIN > ranked[1][0]:
+        return 0.0, None
+    return found[ranked[0][1]][1], ranked[0][1]
+
+
 def brute_scan(text):
     """(licence, score, passages) over all lines and paragraphs, without any bound."""
     text, hits = text or "", []
@@ -35,14 +54,32 @@ def brute_scan(text):
     for p in re.split(r"\n(?:[ \t]*\n)+", "\n" + text + "\n"):
         own = [x for x in p.split("\n") if x.strip(" \t")]
         passages += own + (["\n".join(own)] if len(own) > 1 else [])
-    for p in passages:
-        score, name = min((-round(c, 9), licenses.TEMPLATES[i][0]) for i, c in enumerate(cosines(p)))
-        if -score >= licenses.THRESHOLD:
-            hits.append((-score, name))
+    hits = [(s, n) for s, n in map(brute_passage, passages) if n]
     top = max((s for s, _ in hits), default=0.0)
     return next((n for s, n in hits if s == top), None), round(top, 6), len(hits)
 
 
+@pytest.mark.parametrize("spdx, text", licenses.TEMPLATES)
+def test_each_licence_is_told_from_all_others(spdx, text):
+    t = licenses.Templates(licenses.TEMPLATES)
+    assert t.scan(text)[1] == spdx
+    assert t.scan(f"# {text} See the file for details.")[1] in (spdx, None)
+
+
+@pytest.mark.parametrize("text, spdx", [
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("// SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0"),
+    ("SPDX-License-Identifier: 0BSD", "0BSD"), ("SPDX-License-Identifier: Zlib", "Zlib"), ("SPDX-License-Identifier: BSL-1.0", "BSL-1.0"), ("CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"), ("SPDX-License-Identifier: MIT AND ISC AND Zlib", "MIT AND ISC AND Zlib"),
+    ("This project is not licensed under the MIT License.", None), ("It is no longer released under the ISC License", None), ("This work isn't licensed under CC BY 4.0", None),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "BSL-1.0"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+     "Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software "
+     "Foundation, either version 3 of the License, or (at your option) any later version.", "AGPL-3.0")])
+def test_suffixes_expressions_and_denials(text, spdx):
+    assert licenses.Templates(licenses.TEMPLATES).scan(text)[1] == spdx
+
+
 @pytest.mark.parametrize("text, spdx", [
     ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("CC BY 4.0", "CC-BY-4.0"),
     ("Released under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("BSD 3-Clause", "BSD-3-Clause"), ("License: ISC", "ISC"), ("The Unlicense", "Unlicense"),
@@ -83,10 +120,10 @@ def test_inheritance_equals_walking_up(spark):
         files.append((f"{d}/LICENSE", r.choice(licenses.TEMPLATES)[1]) if i % 6 == 0 else (f"{d}/f{i}", "nothing here"))
     df = spark.createDataFrame(files, "path string, text string").selectExpr("*", "1 as dir", "2 as ancestor", "3 as given")
     own = {}
-    for path, text in sorted((p, t) for p, t in files if p is not None):
+    for path, given in sorted((p, brute_scan(t)[0] or "") for p, t in files if p is not None):  # of one path, the lesser licence
         folder, name = path.rpartition("/")[::2]
-        if re.match(licenses.LICENCE_NAME, name) and brute_scan(text)[0]:
-            own.setdefault(folder, brute_scan(text)[0])
+        if re.match(licenses.LICENCE_NAME, name) and given:
+            own.setdefault(folder, given)
 
     def walked(path, text):
         mine, folder = brute_scan(text)[0], None if path is None else path.rpartition("/")[0]
