@@ -81,10 +81,18 @@ def priority_top2(spark, d):
 
 
 def value_token_match(spark, d):
-    """Documents that have a benchmark item's first word as a token of its own, by item class."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    words = F.explode(F.array(*map(F.lit, ("the", "de la", "c++", "3.5", "version 3", "4.0")))).alias("value")
-    return docs.select("doc_id", "text", words).where(X.states_value(F.col("text"), F.col("value"))).groupBy("value").agg(F.count("*").alias("n"))
+    """Documents that state a benchmark item's first word as a value, by that word, and six values with signs,
+    blanks and points in them."""
+    docs = table(spark, d, "documents").select("text")
+    # A word is stated where a run of word characters equals it, so the tokens of a text meet all words in a join.
+    words = table(spark, d, "benchmark").select(F.lower(F.regexp_extract("text", r"(?U)\w+", 0)).alias("value")).where("value <> ''").distinct()
+    token = F.regexp_extract_all("text", F.lit(r"(?U)(?<![\w.+-])\w+(?!\w|\.\d)"), F.lit(0))
+    said = docs.select(F.explode(F.array_distinct(F.transform(token, F.lower))).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    # Each of the others is one literal pattern, and all are counted in one pass.
+    signs = ("de la", "c++", "3.5", "version 3", "4.0", "a-b")
+    counts = docs.agg(*(F.count_if(X.states_value(F.col("text"), F.lit(v))).alias(f"n{k}") for k, v in enumerate(signs)))
+    rest = counts.select(F.inline(F.array(*(F.struct(F.lit(v).alias("value"), F.col(f"n{k}").alias("n")) for k, v in enumerate(signs)))))
+    return said.join(words, "value", "left_semi").unionAll(rest)
 
 
 def keyword_refusal(spark, d):
@@ -254,8 +262,12 @@ ORACLES = {
     "eligible_targets": f"""WITH {_PADS}, n AS (SELECT source, net FROM p GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 8 AND bool_and(regexp_matches(pad, '^[A-Z][A-Z0-9_$-]*\\.[A-Z0-9_$+-]+$')))
         SELECT source, count(*) AS n_nets, (SELECT count(DISTINCT split_part(pad, '.', 1)) FROM p WHERE p.source = n.source) AS n_parts FROM n GROUP BY source""",
     "priority_top2": "SELECT p_size, p_partkey, p_brand, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY NOT p_brand LIKE '%#13', p_name, p_partkey) <= 2",
-    "value_token_match": r"""WITH v(value, re) AS (VALUES ('the','the'), ('de la','de\s*la'), ('c++','c\+\+'), ('3.5','3\.5'), ('version 3','version\s*3'), ('4.0','4\.0'))
-        SELECT value, count(*) AS n FROM documents, v WHERE regexp_matches(text, '(?:^|[^\pL\pN\pM_.+-])' || re || '(?:$|[^\pL\pN\pM_.]|\.(?:$|[^\pN]))', 'i') GROUP BY 1""",
+    # A run of word characters, points and signs states the word that it begins with, unless a point and a digit follow.
+    "value_token_match": r"""WITH v(value, re) AS (VALUES ('de la','de\s*la'), ('c++','c\+\+'), ('3.5','3\.5'), ('version 3','version\s*3'), ('4.0','4\.0'), ('a-b','a-b')),
+          b AS (SELECT DISTINCT lower(regexp_extract(text, '[\pL\pN\pM_]+')) AS value FROM benchmark), r AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\pL\pN\pM_.+-]+'))) AS r FROM documents),
+          t AS (SELECT DISTINCT doc_id, lower(regexp_extract(r, '^([\pL\pN\pM_]+)(?:$|[+-]|\.(?:$|[^\pN]))', 1)) AS value FROM r)
+        SELECT value, count(*) AS n FROM t WHERE value <> '' AND value IN (SELECT value FROM b) GROUP BY 1
+        UNION ALL SELECT value, count(*) FILTER (regexp_matches(text, '(?:^|[^\pL\pN\pM_.+-])' || re || '(?:$|[^\pL\pN\pM_.]|\.(?:$|[^\pN]))', 'i')) FROM documents, v GROUP BY 1""",
     "keyword_refusal": f"SELECT lang, count(*) FILTER ({refuses_sql("text")}) AS n_refusals, count(*) AS n FROM documents GROUP BY 1",
     "think_strip": r"SELECT conv_id, turn, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS answer_sha256 FROM conversations WHERE text IS NOT NULL",
     "pin_f1": f"""WITH {_PADS}, n AS (SELECT source, net, list_sort(list(DISTINCT pad)) AS gold FROM p GROUP BY 1, 2), m AS (SELECT *, gold[1:2] AS said FROM n)

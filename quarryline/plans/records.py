@@ -8,6 +8,7 @@ from quarryline.functions import expressions as X
 from quarryline.operators import conversations as C
 from quarryline.operators import records as R
 from quarryline.operators import selection as S
+from quarryline.sources.tails import progress
 
 from .common import THE, refuses_sql, table
 from .dialogues import _T
@@ -75,10 +76,12 @@ def job_states(spark, d):
 
 
 def progress_tail(spark, d):
-    """The last progress mark of a log made for each event."""
-    log = F.format_string(" 12%%| 3/26 [..] loss %d/27\r 40%%| %d/26 [00:01]", F.col("event_id") % 10, F.col("event_id") % 26)
-    marks = F.regexp_extract_all(log, F.lit(r"(\d+)/26"), F.lit(1))
-    return table(spark, d, "events").select("event_id", F.element_at(marks, -1).cast("long").alias("step"))
+    """The last progress that a user's log reports for a run of 26 steps; each event wrote a mark, and some are of other bars."""
+    e = table(spark, d, "events")
+    mark = F.format_string(" 12%%| %d/%d [00:01<00:%02d,  %d.5s/it]\r", F.col("event_id") % 97, F.when(F.length("event_type") % 2 == 0, 26).otherwise(27), F.col("event_id") % 60, F.col("event_id") % 9)
+    log = e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ts", "event_id", mark.alias("m")))).getField("m"), "").alias("log"))
+    found = progress(F.col("log"), F.lit(26))
+    return log.select("user_id", found["step"].alias("step"), found["remaining"].alias("remaining"), found["rate"].alias("rate"))
 
 
 def step_budget(spark, d):
@@ -214,7 +217,9 @@ ORACLES = {
     "approval_ttl": """WITH w AS (SELECT ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
         SELECT CASE WHEN n IS NULL THEN 'open' WHEN n <= ts + INTERVAL 86400 SECOND THEN 'used' ELSE 'expired' END AS state, count(*) AS n FROM w GROUP BY 1""",
     "job_states": "SELECT event_type AS kind, CASE event_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'queued' WHEN 2 THEN 'failed' ELSE 'running' END AS state, count(*) AS n FROM events GROUP BY 1, 2",
-    "progress_tail": "SELECT event_id, event_id % 26 AS step FROM events",
+    "progress_tail": r"""WITH l AS (SELECT user_id, string_agg(format(' 12%| {}/{} [00:01<00:{:02d},  {}.5s/it]', event_id % 97, CASE WHEN length(event_type) % 2 = 0 THEN 26 ELSE 27 END, event_id % 60, event_id % 9) || chr(13), ''
+          ORDER BY ts, event_id) AS log FROM events GROUP BY 1), m AS (SELECT user_id, list_last(regexp_extract_all(log, '\d+/26 \[[^\]]*\]')) AS m FROM l)
+        SELECT user_id, regexp_extract(m, '^(\d+)/', 1)::BIGINT AS step, regexp_extract(m, '<([\d:]+)', 1) AS remaining, regexp_extract(m, ',\s*([\d.]+)', 1) || ' s/it' AS rate FROM m""",
     "step_budget": "SELECT source, count(*) AS n_rows, least(1000, 3 * ceil(count(*) / 16.0))::BIGINT AS n_steps FROM documents GROUP BY 1",
     "seeded_ranges": """WITH s AS (SELECT DISTINCT source FROM documents), o AS (SELECT source, row_number() OVER (ORDER BY sha256('7:' || source), source) AS place FROM s)
         SELECT source, CASE WHEN place <= 6 THEN 'first' ELSE 'next' END AS arm FROM o WHERE place <= 12""",

@@ -125,9 +125,10 @@ def key_coverage(spark, d):
 
 
 def label_selection_pins(spark, d):
-    """Exact duplicate groups across the benchmark: items whose text is a document's."""
-    b = table(spark, d, "benchmark").select("item_id", X.digest(F.col("text")).alias("digest"))
-    return b.join(table(spark, d, "documents").select(X.digest(F.col("text")).alias("digest")), "digest", "left_semi").select("item_id")
+    """Benchmark items and how many of their sentences stand in documents as well, by digests of sentences."""
+    sentence = lambda t: table(spark, d, t).select("*", F.explode(F.split("text", "[.]")).alias("s")).withColumn("s", F.trim("s")).where("s <> ''")
+    b = sentence("benchmark").select("item_id", X.digest(F.col("s")).alias("digest")).distinct()
+    return b.join(sentence("documents").select(X.digest(F.col("s")).alias("digest")), "digest", "left_semi").groupBy("item_id").agg(F.count("*").alias("n_sentences"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -168,5 +169,6 @@ ORACLES = {
     "region_semi": "SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)",
     "key_coverage": """SELECT count(*) FILTER (l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL) AS matched, count(*) FILTER (d.doc_id IS NULL) AS missing, count(*) FILTER (l.doc_id IS NULL) AS extra
         FROM (SELECT DISTINCT doc_id FROM labels) l FULL JOIN (SELECT DISTINCT doc_id FROM documents) d USING (doc_id)""",
-    "label_selection_pins": "SELECT item_id FROM benchmark WHERE sha256(text) IN (SELECT sha256(text) FROM documents)",
+    "label_selection_pins": """WITH b AS (SELECT DISTINCT item_id, trim(unnest(string_split(text, '.'))) AS s FROM benchmark), d AS (SELECT DISTINCT trim(unnest(string_split(text, '.'))) AS s FROM documents)
+        SELECT item_id, count(*) AS n_sentences FROM b WHERE s <> '' AND s IN (SELECT s FROM d) GROUP BY 1""",
 }
