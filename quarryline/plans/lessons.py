@@ -76,13 +76,14 @@ KINDS = ("value", "net_members", "pad_net", *E.REVIEWS)
 
 
 def source_reviews(spark, d):
-    """Questions of all kinds on the first page, asked in turn by the parts, and what answers them."""
-    bom, pads = _bom(spark, d).where("page = 1").drop("source").distinct(), _pads(spark, d).where("page = 1").select("page", "net", "pad").distinct()
+    """Questions of all kinds on all pages, asked in turn by the parts, and what answers them."""
+    bom, pads = _bom(spark, d).drop("source").distinct(), _pads(spark, d).select("page", "net", "pad").distinct()
     k = F.col("p_partkey")
+    page = k % 7 + 1
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (k % len(KINDS) + 1).cast("int"))
-    target = F.when(kind == "net_members", k.cast("string")).when(kind == "pad_net", F.concat(F.lit("P"), k, F.lit(".1"))).otherwise(
+    target = F.when(kind == "net_members", k.cast("string")).when(kind == "pad_net", F.concat(F.lit("P"), k, F.lit("."), page)).otherwise(
         F.when(k % 3 == 0, F.concat(F.lit("R"), k)).otherwise(F.concat(F.lit("C"), k)))
-    q = table(spark, d, "part").select("p_partkey", F.lit(1).cast("long").alias("page"), kind.alias("kind"), target.alias("target"))
+    q = table(spark, d, "part").select("p_partkey", page.alias("page"), kind.alias("kind"), target.alias("target"))
     return E.reviewed(q, bom, pads, ["page"]).select("p_partkey", "kind", "target", "status", "answer", F.array_join("required", "; ").alias("required"), "eligible")
 
 
@@ -169,13 +170,13 @@ ORACLES = {
         sha256(string_agg(question || CASE WHEN n = 0 OR turn < n - 1 THEN chr(10) || answer ELSE '' END, chr(10) ORDER BY turn)) AS history_sha256
       FROM e JOIN s ON s.id = e.id AND (n = 0 OR turn < n) GROUP BY e.id, n""",
     "source_reviews": f"""WITH {_BOM}, kinds(i, kind) AS (VALUES {', '.join(f"({i}, '{k}')" for i, k in enumerate(KINDS))}), need(kind, required) AS (VALUES {_NEEDS}),
-      q AS (SELECT p_partkey, kind, CASE kind WHEN 'net_members' THEN p_partkey::VARCHAR WHEN 'pad_net' THEN 'P' || p_partkey || '.1'
+      q AS (SELECT p_partkey, kind, p_partkey % 7 + 1 AS page, CASE kind WHEN 'net_members' THEN p_partkey::VARCHAR WHEN 'pad_net' THEN 'P' || p_partkey || '.' || (p_partkey % 7 + 1)
         ELSE CASE WHEN p_partkey % 3 = 0 THEN 'R' ELSE 'C' END || p_partkey END AS target FROM part JOIN kinds ON p_partkey % {len(KINDS)} = i),
-      fact AS (SELECT 'value' AS kind, refdes AS target, max(value) AS answer FROM b WHERE page = 1 AND value <> '' GROUP BY 2
-        UNION ALL SELECT 'net_members', net, string_agg(DISTINCT pad, ' ' ORDER BY pad) FROM p WHERE page = 1 GROUP BY 2
-        UNION ALL SELECT 'pad_net', pad, min(net) FROM p WHERE page = 1 GROUP BY 2 HAVING count(DISTINCT net) = 1)
+      fact AS (SELECT 'value' AS kind, page, refdes AS target, max(value) AS answer FROM b WHERE value <> '' GROUP BY 2, 3
+        UNION ALL SELECT 'net_members', page, net, string_agg(DISTINCT pad, ' ' ORDER BY pad) FROM p GROUP BY 2, 3
+        UNION ALL SELECT 'pad_net', page, pad, min(net) FROM p GROUP BY 2, 3 HAVING count(DISTINCT net) = 1)
       SELECT p_partkey, kind, target, CASE WHEN required IS NOT NULL THEN 'additional_evidence_required' WHEN answer IS NULL THEN 'not_recorded_on_page' ELSE 'source_verified' END AS status,
-        answer, required, answer IS NOT NULL AS eligible FROM q LEFT JOIN fact USING (kind, target) LEFT JOIN need USING (kind)""",
+        answer, required, answer IS NOT NULL AS eligible FROM q LEFT JOIN fact USING (kind, page, target) LEFT JOIN need USING (kind)""",
     "circuit_specs": """WITH i AS (SELECT l_orderkey AS spec, 'P.' || l_linenumber AS pad, l_linenumber AS n, l_partkey AS k FROM lineitem),
       d AS (SELECT spec, pad, count(*) AS c FROM (SELECT spec, pad FROM i WHERE n <= 4 UNION ALL SELECT spec, pad FROM i WHERE n = 2 AND k % 3 = 0) GROUP BY 1, 2),
       a AS (SELECT spec, pad, count(*) AS c FROM (SELECT spec, pad FROM i WHERE k % 5 <> 0 UNION ALL SELECT spec, pad FROM i WHERE k % 7 = 0 AND k % 5 <> 0) GROUP BY 1, 2),

@@ -35,7 +35,7 @@ def arc_bounds(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(5)))
     curve = F.round(F.col("e4") * 2000) % 400
     box = G.arc_bounds(*(F.col(f"e{i}") * 100 for i in range(4)), curve, F.col("vec_id") % 2 == 1)
-    found = v.select("vec_id", curve.alias("curve"), box.alias("b"))
+    found = v.select("vec_id", (curve + 0.0).alias("curve"), box.alias("b"))
     return found.select("vec_id", "curve", *((F.round(F.col(f"b.{c}"), 4) + 0.0).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 

@@ -54,7 +54,8 @@ def holdout_overlap(spark, d):
 
 
 def view_family_agreement(spark, d):
-    docs = table(spark, d, "documents").where("n_chars < 400").select("lang", "source")
+    """Families (a source and a size class of 500 characters) of which only one of two languages has documents."""
+    docs = table(spark, d, "documents").select("lang", F.concat("source", F.lit(":"), F.floor(F.col("n_chars") / 500).cast("string")).alias("source"))
     return S.disagreement(docs.where("lang = 'fr'"), docs.where("lang = 'es'"), "source")
 
 
@@ -64,7 +65,7 @@ def content_dedup(spark, d):
 
 
 def one_per_family(spark, d):
-    docs = table(spark, d, "documents").where("n_chars >= 100").select("source", "doc_id", "n_chars")
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
     return S.first_of(docs, ["source"], [F.col("doc_id").desc()])
 
 
@@ -150,10 +151,10 @@ ORACLES = {
         UNION ALL SELECT 'text', (SELECT count(DISTINCT text) FROM a WHERE text IN (SELECT text FROM b))
         UNION ALL SELECT 'opening', (SELECT count(DISTINCT opening) FROM a WHERE opening IN (SELECT opening FROM b))
         UNION ALL SELECT 'n_chars', (SELECT count(DISTINCT n_chars) FROM a WHERE n_chars IN (SELECT n_chars FROM b))""",
-    "view_family_agreement": """WITH a AS (SELECT DISTINCT source FROM documents WHERE n_chars < 400 AND lang = 'fr'), b AS (SELECT DISTINCT source FROM documents WHERE n_chars < 400 AND lang = 'es')
+    "view_family_agreement": """WITH f AS (SELECT DISTINCT lang, source || ':' || (n_chars // 500) AS source FROM documents WHERE source IS NOT NULL), a AS (SELECT source FROM f WHERE lang = 'fr'), b AS (SELECT source FROM f WHERE lang = 'es')
         SELECT source, 'left' AS side FROM a WHERE source NOT IN (SELECT source FROM b) UNION ALL SELECT source, 'right' FROM b WHERE source NOT IN (SELECT source FROM a)""",
     "content_dedup": "SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY 1",
-    "one_per_family": "SELECT source, doc_id, n_chars FROM documents WHERE n_chars >= 100 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1",
+    "one_per_family": "SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1",
     "repository_dedup": "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY 1",
     "seeded_representative": "SELECT p_brand, p_type, arg_min(p_partkey, sha256('3407:' || p_brand || ':' || p_type || ':' || p_partkey)) AS representative, count(*) AS n_members FROM part GROUP BY 1, 2",
     "seeded_families": "WITH s AS (SELECT DISTINCT source FROM documents) SELECT source, row_number() OVER (ORDER BY sha256('3407:' || source), source)::INT AS place FROM s QUALIFY place <= 8",
