@@ -51,10 +51,10 @@ def cut(df: DataFrame) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Delete what cut() wrote for these frames. Nothing that is still to be computed may read it."""
     for df in frames:
-        _delete(df.sparkSession, df._cut_path)
+        remove(df.sparkSession, df._cut_path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -67,7 +67,7 @@ def scratch(spark: SparkSession):
         yield
     finally:
         for path in _open.pop():
-            _delete(spark, path)
+            remove(spark, path)
 
 
 @lru_cache(None)
@@ -91,6 +91,23 @@ def class_ranges(cls: str, limit: int = 0x110000) -> str:
     return out
 
 
+@contextmanager
+def interim(spark: SparkSession):
+    """What cut() writes inside is deleted at the end, but for the frames that are added to the list given: those that
+    the result still reads. These go with an outer scratch() or interim(), if there is one."""
+    _open.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield kept
+    finally:
+        stay = {df._cut_path for df in kept}
+        for path in _open.pop():
+            if path not in stay:
+                remove(spark, path)
+            elif _open:
+                _open[-1].append(path)
+
+
 def once(make: Callable, *key):
     """make(*key), made once in a worker process and kept for its later tasks; only the last key of each
     maker is kept. Functions travel to the workers by value, so it is held beside the modules, not in one."""

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, interim
 
 #: Ids in one piece of a node's list of ends.
 PIECE = 4096
@@ -85,7 +85,9 @@ def running(df: DataFrame, by: str, order: list[Column], sums: list[str], keep:
             out += [pa.array((batch.column(c).to_numpy().view(np.uint64) + x).view(np.int64)) for c, x in zip(sums, added, strict=True)]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return written.mapInArrow(across, schema)
+    out = written.mapInArrow(across, schema)
+    out._cut_path = written._cut_path
+    return out
 
 
 def numbered(conversations: DataFrame) -> DataFrame:
@@ -221,9 +223,11 @@ def trie(steps: DataFrame, members: DataFrame) -> DataFrame:
     met = cut(met.withColumns({
         "n_children": some("n") + 1 - F.col("leaves"), "saved": F.col("saved") + some("more_saved"), "leaves": F.col("leaves") + some("more_leaves")}))
     whole = running(met, "path", [F.col("depth").desc()], ["saved", "leaves"], ["depth"])
-    return met.select("path", "depth", "conv_id", "parent_conv_id", "n_convs", "n_children", "ends_sha256").join(whole, ["path", "depth"]).select(
+    out = met.select("path", "depth", "conv_id", "parent_conv_id", "n_convs", "n_children", "ends_sha256").join(whole, ["path", "depth"]).select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"),
         F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+    out._reads = [met, whole]
+    return out
 
 
 def _less(a: str, b: str) -> Column:
@@ -242,10 +246,18 @@ def _with_root(steps: DataFrame, members: DataFrame) -> DataFrame:
 
 def prefix_trie(conversations: DataFrame) -> DataFrame:
     """trie() of conversations (conv_id, turn, role, text) as they are."""
-    return trie(*sequences(numbered(conversations)))
+    return _tidy(conversations, lambda turns: trie(*sequences(turns)))
 
 
 def rebuilt_trie(conversations: DataFrame) -> DataFrame:
     """trie() of conversations as rebuilt() puts them together. Nulls, ties and rows without conv_id are
     treated as numbered() says; other columns are ignored, and an empty table gives no rows."""
-    return trie(*rebuilt(numbered(conversations)))
+    return _tidy(conversations, lambda turns: trie(*rebuilt(turns)))
+
+
+def _tidy(conversations: DataFrame, made) -> DataFrame:
+    """What is written on the way is deleted, but for the two tables that the result is joined from."""
+    with interim(conversations.sparkSession) as kept:
+        out = made(numbered(conversations))
+        kept += out._reads
+    return out

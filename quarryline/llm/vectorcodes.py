@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, interim
 
 #: A component's integer lies within this distance of 0, so that squares of differences add up in a long.
 BOUND = 2**24
@@ -150,9 +150,11 @@ def compress(embeddings: DataFrame, parts: int = 8, entries: int = 16, rounds: i
 def digests(embeddings: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> DataFrame:
     """vec_id, code (two hex digits for each part), error, label_error (the sum of errors over equal
     labels, nulls together) and codebooks_sha256, for each row that compress() keeps."""
-    coded, books = compress(embeddings, parts, entries, rounds, scale)
+    with interim(embeddings.sparkSession) as kept:
+        coded, books = compress(embeddings, parts, entries, rounds, scale)
+        coded = cut(coded.select("vec_id", "label", F.array_join(F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0"))), "").alias("code"), "error"))
+        kept.append(coded)
     sha = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
-    coded = cut(coded.select("vec_id", "label", F.array_join(F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0"))), "").alias("code"), "error"))
     totals = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
     return coded.join(totals, F.col("label").eqNullSafe(F.col("of")), "left").select(
         "vec_id", "code", "error", "label_error", F.lit(sha).alias("codebooks_sha256"))

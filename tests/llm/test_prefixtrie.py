@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.llm import prefixtrie
+from quarryline.llm import prefixtrie, vectorcodes
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -83,10 +83,10 @@ def test_growing_and_branching_conversations(spark, monkeypatch):
 def test_nested_branches_take_few_rounds(spark, monkeypatch):
     found = []
     peeled = prefixtrie._peeled
-    monkeypatch.setattr(prefixtrie, "_peeled", lambda paths: found.append(prefixtrie.cut(paths)) or peeled(found[0]))
+    monkeypatch.setattr(prefixtrie, "_peeled", lambda paths: found.append(paths.count()) or peeled(paths))
     data = [(c, k, "user", f"t{k}") for c in range(3) for k in range(50)]
     got = prefixtrie.prefix_trie(spark.createDataFrame(data, SCHEMA))
-    assert rows(got) == brute(originals(data)) and found[0].count() == 1
+    assert rows(got) == brute(originals(data)) and found == [1]
 
 
 def test_running_sums_cross_tasks(spark):
@@ -107,3 +107,12 @@ def test_empty_and_turnless(spark):
     data = [(alone, 0, "user", "x")]  # its first turn goes and its base is absent
     got = rows(prefixtrie.rebuilt_trie(spark.createDataFrame(data, SCHEMA)))
     assert got == brute(put_together(originals(data))) and got[0][:7] == (alone, 0, None, 1, 0, 1, 0)
+
+
+def test_only_what_the_result_reads_is_left(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quarryline.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    got = prefixtrie.rebuilt_trie(spark.createDataFrame(conversations(1), SCHEMA))
+    assert len(list(tmp_path.iterdir())) == 2 and rows(got) == brute(put_together(originals(conversations(1))))
+    floats = [(i, [0.1 * i + k for k in range(8)], 0) for i in range(4)]
+    codes = vectorcodes.digests(spark.createDataFrame(floats, "vec_id long, embedding array<float>, label int"))
+    assert len(list(tmp_path.iterdir())) == 3 and codes.count() == 4
