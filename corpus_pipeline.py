@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import bpe, decontam, linededup, neardup, quality
-from quarryline.llm.common import scratch, shared_dir
+from quarryline.llm.common import remove, scratch, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,11 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, from the table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in order, from the table documents. A stage's rows are deleted when the next one's are written; those of
+    the last but one stay, as the result reads them."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
         with scratch(spark):
             stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
