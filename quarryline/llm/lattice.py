@@ -228,8 +228,10 @@ def _fitted(table: DataFrame, names: list[bytes], scores: np.ndarray, ends: int)
 
 def score(documents: DataFrame, path: str, block_words: int = BLOCK_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """For each row of documents (doc_id, text): doc_id, held_out (crc32 of the doc_id as text is 0
-    modulo 10), n_tokens, n_known, train_tokens, base_score and score, both log10. The model and the
-    base count only rows that are not held out. path: a sentencepiece file, read on the driver.
+    modulo 10), n_tokens, n_known, train_tokens, base_score, score and start_score, all log10. start_score is
+    the text's probability under the scores that the vocabulary came with, score that under the scores after
+    `rounds` of fitting. The model and the base count only rows that are not held out. path: a sentencepiece
+    file, read on the driver.
 
     A null or empty text is the end alone. A null doc_id trains. Repeated rows count as often as
     they stand; other columns are ignored; an empty table gives no rows.
@@ -248,27 +250,30 @@ def score(documents: DataFrame, path: str, block_words: int = BLOCK_WORDS, round
     known, tokens = table.where("train > 0").agg(F.count("*"), F.sum("train")).first()
     all_tokens, distinct = (tokens or 0) + ends, known + (ends > 0)
     names, scores = vocabulary(path)
+    given = scores
     for _ in range(rounds if known else 0):
         scores = _fitted(table, names, scores, ends)
 
     def marginal(batches):
-        pieces = Pieces(names[:-1], scores[:-1])
+        fitted, first = Pieces(names[:-1], scores[:-1]), Pieces(names[:-1], given[:-1])
         for part in gathered(batches):
-            words, out = part.column("word").to_pylist(), np.zeros(part.num_rows)
+            words, out, start = part.column("word").to_pylist(), np.zeros(part.num_rows), np.zeros(part.num_rows)
             for places, m in by_length(words):
-                out[places] = forward(pieces, m)
-            yield from part.append_column("log_p", pa.array(out)).to_batches()
+                out[places] = forward(fitted, m)
+                start[places] = forward(first, m)
+            yield from part.append_column("log_p", pa.array(out)).append_column("log_0", pa.array(start)).to_batches()
 
-    scored = cut(table.mapInArrow(marginal, "word binary, train long, log_p double"))
-    answers = pairs.select(F.col("block").alias("of"), "place", "word").join(scored, "word").select("of", "place", "train", "log_p")
+    scored = cut(table.mapInArrow(marginal, "word binary, train long, log_p double, log_0 double"))
+    answers = pairs.select(F.col("block").alias("of"), "place", "word").join(scored, "word").select("of", "place", "train", "log_p", "log_0")
     base_floor = float(all_tokens + 0.1 * (distinct + 1))
-    end_base, end_score = np.log10((ends + 0.1) / base_floor), float(scores[-1] / np.log(10))
+    end_base, end_score, end_start = np.log10((ends + 0.1) / base_floor), float(scores[-1] / np.log(10)), float(given[-1] / np.log(10))
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
         n = right.num_rows
         place = right.column("place").to_numpy()
-        train, log_p = np.zeros(n, np.int64), np.zeros(n)
-        train[place], log_p[place] = right.column("train").to_numpy(), right.column("log_p").to_numpy()
+        train, log_p, log_0 = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        for own, c in ((train, "train"), (log_p, "log_p"), (log_0, "log_0")):
+            own[place] = right.column(c).to_numpy()
         base = np.log10((train + 0.1) / base_floor)
         out = []
         for d in left.to_pylist():
@@ -282,13 +287,14 @@ def score(documents: DataFrame, path: str, block_words: int = BLOCK_WORDS, round
                 "doc_id": pa.array(doc, pa.int64(), mask=held >= 2), "held_out": pa.array(held & 1 == 1),
                 "n_tokens": total(times) + 1, "n_known": total(times * (train[col] > 0)) + int(ends > 0),
                 "train_tokens": np.full(len(doc), all_tokens, np.int64),
-                "base_score": rowsum(times * base[col]) + end_base, "score": rowsum(times * log_p[col]) / np.log(10) + end_score}))
+                "base_score": rowsum(times * base[col]) + end_base, "score": rowsum(times * log_p[col]) / np.log(10) + end_score,
+                "start_score": rowsum(times * log_0[col]) / np.log(10) + end_start}))
         return pa.concat_tables(out) if out else _EMPTY
 
     return blocks.select("block", "doc_ids", "held", "starts", "columns", "times").groupBy("block").cogroup(
         answers.groupBy("of")).applyInArrow(
-        summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, start_score double")
 
 
 _EMPTY = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
+                    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("start_score", pa.float64())]).empty_table()

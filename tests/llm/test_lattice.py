@@ -71,11 +71,13 @@ def test_equals_sum_over_all_segmentations(spark):
     docs = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as block", "2 as word", "3 as held_out")
     want = brute(docs, 2)
+    first = brute(docs, 0)
     for block in (1 << 20, 50):
         rows = lattice.score(df.repartition(3), PATH, block_words=block, rounds=2).collect()
         assert len(rows) == len(docs)
         for r in rows:
-            assert close(tuple(r)[1:], want[r.doc_id]), (r, want[r.doc_id])
+            assert close(tuple(r)[1:-1], want[r.doc_id]), (r, want[r.doc_id])
+            assert math.isclose(r.start_score, first[r.doc_id][-1], rel_tol=1e-6), (r, first[r.doc_id])
 
 
 def test_held_out_text_teaches_nothing(spark):
