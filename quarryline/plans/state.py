@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarryline.operators import queue as Q
 from quarryline.operators.durable import shared_folder
 from quarryline.streaming import tokens as T
+from quarryline.streaming.logs import windowed_counts
 
 from .common import table
 
@@ -51,9 +52,16 @@ def cancellations_held(spark, d):
     return T.settled(e, T.Cancellations(seconds=86_400, most=2)).groupBy("key", "verdict").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
 
 
-QUERIES = {f.__name__: f for f in (queue_rounds, approvals_held, cancellations_held)}
+def windowed_events(spark, d):
+    """Events of each kind by the hour, by the plan that a stream of them has."""
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("event"))
+    return windowed_counts(e).withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
+
+
+QUERIES = {f.__name__: f for f in (queue_rounds, approvals_held, cancellations_held, windowed_events)}
 
 ORACLES = {
+    "windowed_events": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type AS event, count(*) AS n FROM events GROUP BY ALL",
     "queue_rounds": """
 WITH j AS (SELECT o_orderkey::VARCHAR AS id, o_orderkey % 7 AS k, epoch(o_orderdate) AS created FROM orders),
   f AS (SELECT *, CASE WHEN k < 3 THEN 'training' WHEN k < 5 THEN 'research' ELSE 'proposal' END AS kind,
