@@ -158,3 +158,39 @@ def tool_prefixes(made: DataFrame) -> DataFrame:
     said = F.transform(F.slice("t", 1, size), lambda x: F.concat_ws("\n", x["question"], F.when((F.col("n") == 0) | (x["turn"] < F.col("n") - 1), x["answer"])))
     name = F.when(F.col("n") == 0, F.col("id")).otherwise(F.concat("id", F.lit("-tool-"), F.col("n").cast("string")))
     return rows.select("id", name.alias("row"), size.cast("long").alias("n_turns"), F.array_join(said, "\n").alias("history"))
+
+
+#: Turns of a change from one page to the next: question, tool, answer, whether the view may move, whether it is a refusal,
+#: and the page that it is about.
+PAGE_CHANGE = (
+    ("Show me {first}.", "show_label", "Showing {first}.", True, False, "one"),
+    ("I changed to page {two}. Read the value of {second} here without moving the view.", None, "{second} is marked {second_value}.", False, False, "two"),
+    ("Discuss only: what startup voltage was measured at {second} on this page?", None,
+     "The schematic does not provide measured startup voltage. A bench measurement is required.", False, True, "two"),
+    ("Now explicitly show {second} on this page.", "show_label", "Showing {second}.", True, False, "two"),
+)
+
+
+def page_changes(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Four turns for each source of two pages or more: keys, turn (from 0), page, question, tool, argument, answer,
+    expected (the value asked for, or null), may_move, refusal.
+
+    parts: keys, page, refdes, value, region (whether the page shows where it is). On each of the two first pages
+    the first part by name counts that is a U, IC, R or C with a value and a region; a source without one on both has
+    no row."""
+    fit = parts.where(F.col("refdes").rlike("^(U|IC|R|C)") & (F.coalesce(F.col("value"), F.lit("")) != "") & F.col("region"))
+    pages = parts.groupBy(*keys).agg(F.min("page").alias("one"))
+    after = parts.join(pages, keys).where("page > one").groupBy(*keys, "one").agg(F.min("page").alias("two"))
+    target = fit.groupBy(*keys, "page").agg(F.min(F.struct("refdes", "value")).alias("t"))
+    at = lambda p, name: target.select(*keys, F.col("page").alias(p), F.col("t.refdes").alias(name), F.col("t.value").alias(f"{name}_value"))
+    both = after.join(at("one", "first"), [*keys, "one"]).join(at("two", "second"), [*keys, "two"])
+    both = both.withColumns({"_one": F.col("one"), "_two": F.col("two"), "two": F.col("two").cast("string")})
+
+    def turn(k, question, tool, answer, may_move, refusal, page):
+        name = "first" if page == "one" else "second"
+        asked = F.when(F.lit(tool is None and not refusal), F.col(f"{name}_value"))
+        return F.struct(
+            F.lit(k).alias("turn"), F.col(f"_{page}").alias("page"), _text(question).alias("question"), F.lit(tool).cast("string").alias("tool"),
+            F.when(F.lit(tool is not None), F.col(name)).alias("argument"), _text(answer).alias("answer"), asked.alias("expected"), F.lit(may_move).alias("may_move"), F.lit(refusal).alias("refusal"))
+
+    return both.select(*keys, F.inline(F.array(*(turn(k, *t) for k, t in enumerate(PAGE_CHANGE)))))

@@ -96,8 +96,13 @@ def circuit_specs(spark, d):
     return E.assignment_faults(declared, assigned, ["spec"])
 
 
+def page_change_turns(spark, d):
+    """A change of page for each source of the sheets."""
+    return M.page_changes(_bom(spark, d).withColumnRenamed("visible", "region"), ["source"])
+
+
 QUERIES = {f.__name__: f for f in (
-    evidence_turns, image_turns, absent_names, routing_lessons, scenario_turns, tool_prefix_rows, source_reviews, circuit_specs)}
+    page_change_turns, evidence_turns, image_turns, absent_names, routing_lessons, scenario_turns, tool_prefix_rows, source_reviews, circuit_specs)}
 
 _BOM = f"""{_PADS}, b0 AS (SELECT DISTINCT source, page, regexp_extract(pad, '^P(\\d+)\\.', 1)::BIGINT AS k FROM p),
   b AS (SELECT source, page, CASE WHEN k % 50 = 7 THEN 'R' || repeat('9', (4 + k % 3)::INT) WHEN k % 3 = 0 THEN 'R' || k ELSE 'C' || k END AS refdes,
@@ -156,6 +161,15 @@ ORACLES = {
       {{'question': 'And what value is marked for ' || r2 || '?', 'answer': r2 || ' is marked ' || v2 || '.', 'type': 'value', 'value': v2}},
       {_REFUSE.replace("'type': 'refuse'", "'type': 'refuse', 'value': NULL")}]) AS x FROM t), u AS (SELECT source, page, unnest(x) AS z FROM l)
       SELECT source, page, z[1]::INT AS turn, z[2].question AS question, z[2].answer AS answer, z[2].type AS type, z[2].value AS value FROM u""",
+    "page_change_turns": f"""WITH {_BOM}, pg AS (SELECT DISTINCT source, page FROM b), o AS (SELECT source, page, row_number() OVER (PARTITION BY source ORDER BY page) AS i FROM pg),
+      f AS (SELECT source, page, min(refdes) AS refdes, arg_min(value, refdes) AS value FROM b WHERE value <> '' AND visible GROUP BY 1, 2),
+      t AS (SELECT x.source, x.page AS one, y.page AS two, a.refdes AS r1, c.refdes AS r2, c.value AS v2 FROM o x JOIN o y ON y.source = x.source AND x.i = 1 AND y.i = 2
+        JOIN f a ON a.source = x.source AND a.page = x.page JOIN f c ON c.source = y.source AND c.page = y.page)
+      SELECT source, 0 AS turn, one AS page, 'Show me ' || r1 || '.' AS question, 'show_label' AS tool, r1 AS argument, 'Showing ' || r1 || '.' AS answer, NULL AS expected, true AS may_move, false AS refusal FROM t
+      UNION ALL SELECT source, 1, two, 'I changed to page ' || two || '. Read the value of ' || r2 || ' here without moving the view.', NULL, NULL, r2 || ' is marked ' || v2 || '.', v2, false, false FROM t
+      UNION ALL SELECT source, 2, two, 'Discuss only: what startup voltage was measured at ' || r2 || ' on this page?', NULL, NULL,
+        'The schematic does not provide measured startup voltage. A bench measurement is required.', NULL, false, true FROM t
+      UNION ALL SELECT source, 3, two, 'Now explicitly show ' || r2 || ' on this page.', 'show_label', r2, 'Showing ' || r2 || '.', NULL, true, false FROM t""",
     "absent_names": f"WITH {_BOM} SELECT source, page, missing FROM miss",
     "routing_lessons": f"""WITH {_C}, l(kind, train, val, tool, arg) AS (VALUES
         ('search', 'Search the web for the datasheet for @R.', 'Find the manufacturer''s datasheet online for @R.', 'web_search', '@V datasheet'),
