@@ -9,11 +9,15 @@ from quarryline.functions import expressions as X
 from quarryline.functions import parsers as P
 
 from . import wire
+from .durable import settled
+from .selection import first_of
 
 #: Forms of parts and nets that the viewer is asked for, nets that are never asked for.
 REFDES, NET, RAILS = r"^[A-Z][A-Z0-9_]*[0-9][A-Z0-9_]*$", r"^[A-Z][A-Z0-9_+]{1,15}$", ("GND", "VCC")
 #: The largest area of a part, and of a net or of two parts together, of a page of 1000 x 1000.
 PART_AREA, NET_AREA = 40_000, 250_000
+#: Boxes of the greatest names that parts meet first, and parts of a page's other boxes.
+NEAR, TILES = 32, 64
 #: The system message of view lessons.
 SYSTEM = ("Answer only from the attached schematic image. If a part, label or measurement is not shown, say so. Do not invent facts.\n\n"
           "You control the schematic viewer beside this conversation. When the user asks to see, find, show or zoom to something, call a viewer function first, then answer "
@@ -40,27 +44,51 @@ def targets(parts: DataFrame, nets: DataFrame, keys: list[str]) -> DataFrame:
     is that of fewest pads, then by name. The pair is the first one in the order of parts, of two that don't
     overlap and fit into one view, the lesser name first. The missing name is R999, or with as many more
     nines as it takes to be no part or net of the page. Pages with fewer than three such parts, no such net or no
-    pair have no row. All visible parts of a page meet in one row, as many as a drawing shows.
+    pair have no row.
+
+    Parts are written once, and no page's parts meet in one task. Whether two parts make a pair depends on their boxes and
+    on which name is greater, so of the parts of one box only the first may be the first of a pair, and the box's greatest
+    name tells whether any other of them may be its fellow. First parts meet the boxes of the greatest names; those
+    before the best one so found meet all boxes of their page, in TILES parts. A page on which no two boxes make a pair has as
+    many comparisons as pairs of different boxes.
     """
+    parts = settled(parts.select(*keys, "refdes", "value", "visible", "box").distinct())
     corners, rank = _corners(F.col("box")), ~F.col("refdes").rlike("^[UR]")
     fit = parts.where(F.col("visible") & F.col("refdes").rlike(REFDES) & F.col("box").isNotNull())
-    fit = fit.where((X.area(corners) > 0) & (X.area(corners) <= PART_AREA))
-    listed = fit.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(rank.alias("rank"), "refdes", "value", "box"))).alias("parts")).where("size(parts) >= 3")
-
-    def together(a, b):
-        x, y = _corners(a["box"]), _corners(b["box"])
-        return (a["refdes"] < b["refdes"]) & (X.iou(x, y) == 0) & (X.area(X.union_box(x, y)) <= NET_AREA)
-
-    one = F.get(F.filter("parts", lambda a: F.exists("parts", lambda b: together(a, b))), 0)
-    listed = listed.withColumn("a", one).where("a is not null").withColumn("b", F.get(F.filter("parts", lambda b: together(F.col("a"), b)), 0))
+    fit = fit.where((X.area(corners) > 0) & (X.area(corners) <= PART_AREA)).select(*keys, rank.alias("rank"), "refdes", "value", "box")
+    boxes = settled(fit.groupBy(*keys, "rank", "box").agg(F.min(F.struct("refdes", "value")).alias("low"), F.max("refdes").alias("high"), F.count("*").alias("n")))
+    head = F.struct("rank", F.col("low.refdes").alias("refdes"), F.col("low.value").alias("value"), "box")
+    listed = boxes.groupBy(*keys).agg(F.sum("n").alias("n"), F.min(head).alias("top")).where("n >= 3").drop("n")
+
+    def at(box, name):
+        return [c.alias(f"{name}{i}") for i, c in enumerate(_corners(F.col(box)))]
+
+    def apart(a, b):
+        # No box is empty. Millions of pairs are compared, so the condition has plain columns only.
+        x, y = [F.col(f"{a}{i}") for i in range(4)], [F.col(f"{b}{i}") for i in range(4)]
+        aside = (x[2] <= y[0]) | (y[2] <= x[0]) | (x[3] <= y[1]) | (y[3] <= x[1])
+        return aside & ((F.greatest(x[2], y[2]) - F.least(x[0], y[0])) * (F.greatest(x[3], y[3]) - F.least(x[1], y[1])) <= NET_AREA)
+
+    heads = boxes.select(*keys, head.alias("a"), F.col("low.refdes").alias("one"), *at("box", "p"))
+    ends = boxes.groupBy(*keys, "box").agg(F.max("high").alias("high")).select(*keys, "box", "high", *at("box", "q"))
+    meets = (F.col("one") < F.col("high")) & apart("p", "q")
+    near = first_of(ends, keys, [F.col("high").desc(), F.col("box")], NEAR)
+    known = heads.join(near, keys).where(meets).groupBy(*keys).agg(F.min("a").alias("known"))
+    rest = heads.join(known, keys, "left").where(F.col("known").isNull() | (F.col("a") < F.col("known"))).drop("known")
+    tiled = rest.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(TILES - 1)))).join(
+        ends.withColumn("tile", F.pmod(F.hash("box"), F.lit(TILES))), [*keys, "tile"]).where(meets).select(*keys, "a")
+    first = settled(tiled.unionByName(known.select(*keys, F.col("known").alias("a"))).groupBy(*keys).agg(F.min("a").alias("a")))
+    told = fit.select("*", *at("box", "q")).join(first.select(*keys, F.col("a.refdes").alias("one"), *at("a.box", "p")), keys)
+    second = told.where((F.col("one") < F.col("refdes")) & apart("p", "q"))
+    pairs = second.groupBy(*keys).agg(F.min(F.struct("rank", "refdes", "value", "box")).alias("b")).join(first, keys)
     union = F.array(*X.union_box(_corners(F.col("a.box")), _corners(F.col("b.box"))))
     best = viewable_nets(nets).groupBy(*keys).agg(F.min(F.struct(F.size("pads").alias("n"), "net", "box")).alias("best"))
     names = parts.select(*keys, F.col("refdes").alias("name")).unionAll(nets.select(*keys, F.col("net").alias("name")))
     nines = names.where(F.col("name").rlike("^R9{3,}$")).groupBy(*keys).agg(F.collect_set(F.length("name") - 1).alias("used"))
     free = F.array_min(F.array_except(F.sequence(F.lit(3), F.size("used") + 3), F.col("used")))
     missing = F.concat(F.lit("R"), F.repeat(F.lit("9"), F.coalesce(free, F.lit(3))))
-    return listed.join(best, keys).join(nines, keys, "left").select(
-        *keys, F.get("parts", 0)["refdes"].alias("first"), F.get("parts", 0)["value"].alias("value"), F.get("parts", 0)["box"].alias("first_box"),
+    return listed.join(pairs, keys).join(best, keys).join(nines, keys, "left").select(
+        *keys, F.col("top.refdes").alias("first"), F.col("top.value").alias("value"), F.col("top.box").alias("first_box"),
         F.col("best.net").alias("net"), F.col("best.box").alias("net_box"), F.col("a.refdes").alias("one"), F.col("b.refdes").alias("other"),
         union.alias("pair_box"), missing.alias("missing"))
 

@@ -10,15 +10,17 @@ from quarryline.operators import evidence as E
 from quarryline.operators import ledger as L
 from quarryline.operators import selection as S
 
-from .common import refuses_sql, table
+from .common import dealt, refuses_sql, table
 
 
 # Line items stand in for a netlist: an order is a net, a part with its line is a pad, a supplier a page.
-def _pads(spark, d):
-    i = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    return i.select((F.col("l_suppkey") % 20).alias("source"), F.col("l_linenumber").cast("long").alias("page"),
+def _pads(spark, d, *keys):
+    """keys: those that all else groups by, if the rows are to be dealt by them."""
+    i = table(spark, d, "lineitem")
+    pads = i.select((F.col("l_suppkey") % 20).alias("source"), F.col("l_linenumber").cast("long").alias("page"),
                     F.when(F.col("l_orderkey") % 10 == 0, F.concat(F.lit("N$"), "l_orderkey")).otherwise(F.col("l_orderkey").cast("string")).alias("net"),
-                    F.concat(F.lit("P"), "l_partkey", F.lit("."), "l_linenumber").alias("pad")).distinct()
+                    F.concat(F.lit("P"), "l_partkey", F.lit("."), "l_linenumber").alias("pad"))
+    return (dealt(pads, i.count(), *keys) if keys else pads).distinct()
 
 
 def native_pin_resolution(spark, d):

@@ -12,25 +12,27 @@ from quarryline.functions import expressions as X
 from quarryline.operators import evidence as E
 from quarryline.operators import lessons as M
 
-from .common import split_sql, table
+from .common import dealt, split_sql, table
 from .facts import _PADS, _pads
 
 SHEET = ["source", "page"]
 
 
 def _bom(spark, d):
-    key = F.regexp_extract("pad", r"^P(\d+)\.", 1).cast("long")
-    own = _pads(spark, d).select(*SHEET, key.alias("p_partkey")).distinct().join(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    i = table(spark, d, "lineitem")
+    n = i.count()
+    own = i.select((F.col("l_suppkey") % 20).alias("source"), F.col("l_linenumber").cast("long").alias("page"), F.col("l_partkey").alias("p_partkey"))
+    own = dealt(own, n, "p_partkey").distinct().join(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
     k = F.col("p_partkey")
     name = F.when(k % 50 == 7, F.concat(F.lit("R"), F.repeat(F.lit("9"), (4 + k % 3).cast("int")))).when(
         k % 3 == 0, F.concat(F.lit("R"), k)).otherwise(F.concat(F.lit("C"), k))
     value = F.when(F.col("p_size") % 10 == 0, "").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("k")))
     found = own.select(*SHEET, name.alias("refdes"), value.alias("value"), (F.col("p_size") % 4 != 0).alias("visible"))
-    return found.groupBy(*SHEET, "refdes").agg(F.max("value").alias("value"), F.bool_or("visible").alias("visible"))
+    return dealt(found, n, *SHEET, "refdes").groupBy(*SHEET, "refdes").agg(F.max("value").alias("value"), F.bool_or("visible").alias("visible"))
 
 
 def _nets(spark, d):
-    return _pads(spark, d).groupBy(*SHEET, "net").agg(F.array_sort(F.collect_set("pad")).alias("pads"))
+    return _pads(spark, d, *SHEET, "net").groupBy(*SHEET, "net").agg(F.array_sort(F.collect_set("pad")).alias("pads"))
 
 
 def evidence_turns(spark, d):

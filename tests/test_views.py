@@ -1,4 +1,5 @@
 import json
+import random
 
 from quarryline.operators import views, wire
 
@@ -25,6 +26,34 @@ def test_targets(spark):
     assert [(r.one, r.other) for r in found(spark, late).collect()] == [("C1", "D1")]  # R1 and R2 have no greater name that is apart
 
 
+def test_pairs_of_dense_pages_are_those_of_all_pairs(spark, capsys):
+    """No page's parts are collected into one row, and the pair is the first of all pairs in order."""
+    rng = random.Random(7)
+    parts, want = [], {}
+    for page in range(12):
+        names = [f"{p}{i}" for i, p in enumerate(rng.choices("URCA", k=60))]
+        spread = (20, 500, 900)[page % 3]  # all overlap, some do, few do
+        for name in names:
+            x, y = rng.randrange(spread) // 9 * 9, rng.randrange(spread) // 9 * 9
+            parts.append((page, name, "v", True, [x, y, x + rng.choice((60, 90)), y + rng.choice((60, 90))]))
+        parts += [(page, "r0", "v", True, [0, 0, 9, 9])]
+        own = sorted((not n[0] in "UR", n, tuple(b)) for p, n, _, _, b in parts if p == page and n != "r0")
+
+        def together(a, b):
+            (_, m, p), (_, n, q) = a, b
+            aside = p[2] <= q[0] or q[2] <= p[0] or p[3] <= q[1] or q[3] <= p[1]
+            return m < n and aside and (max(p[2], q[2]) - min(p[0], q[0])) * (max(p[3], q[3]) - min(p[1], q[1])) <= views.NET_AREA
+
+        pair = next(((a, b) for a in own for b in own if together(a, b)), None)
+        if pair:
+            want[page] = (own[0][1], pair[0][1], pair[1][1])
+    nets = [(page, "SCL", ["R1.1", "R2.1"], [0, 0, 9, 9]) for page in range(12)]
+    df = found(spark, parts, nets)
+    assert {r.page: (r["first"], r.one, r.other) for r in df.collect()} == want and 4 <= len(want) < 12
+    df.explain()
+    assert "collect_set(struct" not in capsys.readouterr().out
+
+
 def test_lessons_and_their_own_replies(spark):
     made = views.lessons(found(spark), ["page"], views.F.lit("../images/sheet.png"))
     row = made.collect()[0]
