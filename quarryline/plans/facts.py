@@ -129,7 +129,7 @@ def contextual_refusal(spark, d):
     second = F.when(measured, "I cannot infer a measured voltage").otherwise("its value and connections are not shown")
     answer = F.when(k == 0, F.concat(good, F.lit("."))).when(k == 1, F.concat(good, F.lit(". But it is 5V."))).when(k == 2, "").when(
         k == 3, F.concat(good, F.lit(", so "), second)).when(k == 4, second).when(k == 5, F.concat(good, F.lit("\n\t\n"), good)).when(
-        k == 6, F.concat(F.lit("<think>no</think>"), F.upper(good))).otherwise(F.replace(good, name, F.lit("R0")))
+        k == 6, F.concat(F.lit("<think>no</think>"), F.upper(good))).otherwise(F.replace(good, name, F.lit("RX")))  # no part has this name
     return p.select("p_partkey", P.contextual_refusal(question, answer).alias("v")).select("p_partkey", "v.*")
 
 

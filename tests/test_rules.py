@@ -101,3 +101,16 @@ def test_stream_folds_to_the_same_states(spark, tmp_path):
     assert [r.key for r in logs.pending(plan, done).collect()] == ["b"]
     with pytest.raises(ValueError):
         logs.pending(done, plan)
+
+
+def test_another_subject_is_no_part_of_the_table(spark, tmp_path):
+    """contextual_refusal: the answer about another part must not name the part with key 0."""
+    import duckdb
+
+    from quarryline.plans import facts
+
+    spark.range(64).selectExpr("id div 32 * 7 as p_partkey", "cast(id % 32 as int) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted((*map(str, r),) for r in facts.contextual_refusal(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert got == sorted((*map(str, r),) for r in con.execute(facts.ORACLES["contextual_refusal"]).fetchall())
