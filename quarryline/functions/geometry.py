@@ -52,16 +52,27 @@ def text_bounds(text: Column, x: Column, y: Column, size: Column, angle: Column,
     lines = F.split(F.regexp_replace(text, r"(\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])\z", ""), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]")
     known = lambda i: F.coalesce(*(F.when(align == name, F.lit(side[i])) for name, side in ALIGNMENTS.items()))
     turned = F.pmod(angle.cast("double"), F.lit(360.0))
-    over = (turned > 90) & (turned <= 270)
-    turned = F.when(over, F.pmod(turned + 180, F.lit(360.0))).otherwise(turned)
-    across = known(0) * F.when(mirrored, -1).otherwise(1) * F.when(over, -1).otherwise(1)
-    down = known(1) * F.when(over, -1).otherwise(1)
-    wide = F.array_max(F.transform(lines, F.length)) * size
-    left = F.when(across > 0, -wide).when(across == 0, -wide / 2).otherwise(0.0)
-    span = (F.size(lines) - 1) * size * PITCH
-    top = F.when(down > 0, -span - size * OVER).when(down == 0, -span / 2 - size * HALF).otherwise(-size * UNDER)
-    bottom = F.when(down > 0, size * UNDER).when(down == 0, span / 2 + size * HALF).otherwise(span + size * OVER)
-    sin, cos = F.sin(F.radians(-turned)), F.cos(F.radians(-turned))
-    corners = [(a, b) for a in (left, left + wide) for b in (top, bottom)]
-    box = _box([x + a * cos - b * sin for a, b in corners], [y + a * sin + b * cos for a, b in corners])
+    # An expression that is used twice is worked out twice, so each step is the element of an array that the next one is a function of.
+    step = lambda values, f: F.element_at(F.transform(F.array(values), f), 1)
+
+    def placed(v):
+        flip = F.when((v.turned > 90) & (v.turned <= 270), -1).otherwise(1)
+        return F.struct(F.when(flip < 0, F.pmod(v.turned + 180, F.lit(360.0))).otherwise(v.turned).alias("turned"), (v.across * F.when(v.mirrored, -1).otherwise(1) * flip).alias("across"),
+                        (v.down * flip).alias("down"), v.wide.alias("wide"), v.span.alias("span"), v["size"].alias("size"), v.x.alias("x"), v.y.alias("y"))
+
+    def spread(v):
+        left = F.when(v.across > 0, -v.wide).when(v.across == 0, -v.wide / 2).otherwise(0.0)
+        top = F.when(v.down > 0, -v.span - v["size"] * OVER).when(v.down == 0, -v.span / 2 - v["size"] * HALF).otherwise(-v["size"] * UNDER)
+        bottom = F.when(v.down > 0, v["size"] * UNDER).when(v.down == 0, v.span / 2 + v["size"] * HALF).otherwise(v.span + v["size"] * OVER)
+        return F.struct(left.alias("left"), (left + v.wide).alias("right"), top.alias("top"), bottom.alias("bottom"), F.sin(F.radians(-v.turned)).alias("sin"), F.cos(F.radians(-v.turned)).alias("cos"),
+                        v.x.alias("x"), v.y.alias("y"))
+
+    def around(v):
+        corners = [(a, b) for a in (v.left, v.right) for b in (v.top, v.bottom)]
+        return _box([v.x + a * v.cos - b * v.sin for a, b in corners], [v.y + a * v.sin + b * v.cos for a, b in corners])
+
+    told = step(lines, lambda own: F.struct(
+        turned.alias("turned"), known(0).alias("across"), known(1).alias("down"), mirrored.alias("mirrored"), (F.array_max(F.transform(own, F.length)) * size).alias("wide"),
+        ((F.size(own) - 1) * size * PITCH).alias("span"), size.cast("double").alias("size"), x.cast("double").alias("x"), y.cast("double").alias("y")))
+    box = step(step(step(told, placed), spread), around)
     return F.when(align.isin(*ALIGNMENTS), box)

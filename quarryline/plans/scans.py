@@ -44,7 +44,8 @@ def text_extents(spark, d):
     p = table(spark, d, "part")
     align = F.element_at(F.array(*map(F.lit, G.ALIGNMENTS)), (F.col("p_partkey") % len(G.ALIGNMENTS) + 1).cast("int"))
     box = G.text_bounds(F.concat("p_name", F.lit("\n"), "p_brand"), F.lit(0.0), F.lit(0.0), F.lit(1.6), F.col("p_size") * 15.0, F.col("p_partkey") % 4 == 1, align)
-    return p.select("p_partkey", *((F.round(box[c], 3) + 0.0).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    rounded = F.transform(F.array(box), lambda b: F.struct(*((F.round(b[c], 3) + 0.0).alias(c) for c in ("x1", "y1", "x2", "y2"))))
+    return p.select("p_partkey", F.inline(rounded))
 
 
 QUERIES = {f.__name__: f for f in (recorded_chains, arc_bounds, text_extents)}

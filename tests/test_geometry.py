@@ -51,3 +51,11 @@ def test_text_bounds(spark):
                  ("", 0.0, False, "bottom-left"), ("abc", 0.0, False, "middle"), ("a\r\nbc", 360.0, False, "center-left")) == [
         (10, 17.4, 16, 20.2), (4, 17.4, 10, 20.2), (7, 18.6, 13, 21.4), (4, 19.8, 10, 25.1), (7.4, 14, 10.2, 20), (4, 19.8, 10, 22.6), (9.8, 20, 12.6, 26),
         (9.8, 20, 12.6, 26), (10, 17.4, 10, 20.2), None, (10, 17.35, 14, 22.65)]
+
+
+def test_text_bounds_works_each_step_out_once(spark, capsys):
+    from quarryline.plans import scans
+
+    scans.text_extents(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("split(") == 1 and plan.count("COS(") == 1
