@@ -118,8 +118,9 @@ def image_fault(page: Column, declared: Column, images: Column) -> Column:
         ~F.get(images, 0).eqNullSafe(digest), "differs")
 
 
-def search_results(results: DataFrame, query: str, place: str, url: str, n: int = 5, chars: int = 2048) -> DataFrame:
+def search_results(results: DataFrame, query: str, place: str, url: str | Column, n: int = 5, chars: int = 2048) -> DataFrame:
     """Of the first n results of each query, those with a web address, which is cut at chars. Places of
-    a query are different numbers."""
+    a query are different numbers. An expression as url is worked out for the first n only, and is column url."""
     top = first_of(results, [query], [F.col(place)], n)
-    return top.withColumn(url, F.left(F.coalesce(url, F.lit("")), F.lit(chars))).where(F.col(url).rlike("(?i)^https?:"))
+    name, own = (url, F.col(url)) if isinstance(url, str) else ("url", url)
+    return top.withColumn(name, F.left(F.coalesce(own, F.lit("")), F.lit(chars))).where(F.col(name).rlike("(?i)^https?:"))

@@ -102,8 +102,8 @@ def image_bindings(spark, d):
 def search_hits(spark, d):
     """Parts as results of a search for their brand."""
     url = F.element_at(F.array(*map(F.lit, ("https://a.test/", "HTTP://b.test/", "ftp://c.test/", "javascript:"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    r = table(spark, d, "part").select("p_brand", "p_partkey", F.concat(url, F.repeat("p_name", F.lit(60))).alias("url"))
-    return A.search_results(r, "p_brand", "p_partkey", "url").select("p_brand", "p_partkey", F.length("url").alias("chars"), X.digest(F.col("url")).alias("url_sha256"))
+    r = table(spark, d, "part").select("p_brand", "p_partkey", "p_name")
+    return A.search_results(r, "p_brand", "p_partkey", F.concat(url, F.repeat("p_name", F.lit(60)))).select("p_brand", "p_partkey", F.length("url").alias("chars"), X.digest(F.col("url")).alias("url_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (snapshot_composition, readability_counts, distinct_wordings, probe_counts, populated_sheets, sheet_names, priority_first,

@@ -74,3 +74,11 @@ def test_settled_rows_and_ranks_stay(spark):
     got = ranked(spark.range(1000).withColumn("v", F.col("id") % 7), [F.col("v"), F.col("id").desc()]).collect()
     want = sorted(range(1000), key=lambda i: (i % 7, -i))
     assert [r.id for r in sorted(got, key=lambda r: r["rank"])] == want
+
+
+def test_addresses_are_made_of_the_first_results_only(spark, sf_dir, capsys):
+    from quarryline.plans import audits
+
+    audits.search_hits(spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    assert 0 <= plan.index("repeat(") and plan.rindex("repeat(") < plan.index("Window")
