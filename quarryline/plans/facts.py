@@ -10,7 +10,7 @@ from quarryline.operators import evidence as E
 from quarryline.operators import ledger as L
 from quarryline.operators import selection as S
 
-from .common import dealt, refuses_sql, table
+from .common import refuses_sql, table
 
 
 # Line items stand in for a netlist: an order is a net, a part with its line is a pad, a supplier a page.
@@ -20,7 +20,7 @@ def _pads(spark, d, *keys):
     pads = i.select((F.col("l_suppkey") % 20).alias("source"), F.col("l_linenumber").cast("long").alias("page"),
                     F.when(F.col("l_orderkey") % 10 == 0, F.concat(F.lit("N$"), "l_orderkey")).otherwise(F.col("l_orderkey").cast("string")).alias("net"),
                     F.concat(F.lit("P"), "l_partkey", F.lit("."), "l_linenumber").alias("pad"))
-    return (dealt(pads, i.count(), *keys) if keys else pads).distinct()
+    return (S.dealt(pads, i.count(), *keys) if keys else pads).distinct()
 
 
 def native_pin_resolution(spark, d):
@@ -61,7 +61,7 @@ def point_status(spark, d):
 
 
 def cross_page_nets(spark, d):
-    return E.across_pages(_pads(spark, d))
+    return E.across_pages(_pads(spark, d, "source", "net"))
 
 
 def source_complexity(spark, d):

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from quarryline.functions import expressions as X
 from quarryline.operators import evidence as E
 from quarryline.operators import lessons as M
+from quarryline.operators.selection import dealt
 
-from .common import dealt, split_sql, table
+from .common import split_sql, table
 from .facts import _PADS, _pads
 
 SHEET = ["source", "page"]
