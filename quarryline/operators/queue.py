@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .intake import runnable
+from .selection import dealt
 
 SCHEMA = "id string, kind string, adapter string, status string, created double, elapsed double, reason string, metrics string"
 #: Why a job waits for memory; such jobs are asked again in the next round.
@@ -105,7 +106,7 @@ class Queue:
         """Adds jobs (id, kind, adapter, created) to the queue. An id that is there already is an error."""
         version = self.version()
         jobs, choice = self._read(version)
-        if new.join(jobs, "id", "left_semi").limit(1).count() or new.groupBy("id").count().where("count > 1").limit(1).count():
+        if new.join(jobs, "id", "left_semi").limit(1).count() or dealt(new.select("id"), new.count(), "id").groupBy("id").count().where("count > 1").limit(1).count():
             raise ValueError("a job's id is taken")
         rows = new.select(F.col("id").cast("string"), "kind", "adapter", F.lit("queued").alias("status"), F.col("created").cast("double").alias("created"), F.lit(0.0).alias("elapsed"),
                           F.lit("").alias("reason"), F.lit("{}").alias("metrics"))
@@ -175,5 +176,5 @@ def offered(jobs: DataFrame, settings: Settings, memory: Memory) -> DataFrame:
     reason = F.when(F.col("reason") == "no memory", NO_INVENTORY if memory.free_mb is None else NO_MEMORY).otherwise(F.col("reason"))
     out = asked.withColumns({"_why": reason, "fit": F.when(waits, reason.isNull())})
     kept = F.when(F.col("fit").isNull(), F.col("_was")).when(F.col("fit"), F.when(F.col("status") == "queued", F.col("_was")).otherwise("")).otherwise(F.col("_why"))
-    return out.withColumn("reason", kept).drop("_was", "_why").join(share, "kind", "left")
+    return out.withColumn("reason", kept).drop("_was", "_why").join(F.broadcast(share), "kind", "left")  # one row for each budget
 
