@@ -13,9 +13,10 @@ REFDES, PAD = r"^[A-Z][A-Z0-9_$-]*$", r"^[A-Z][A-Z0-9_$-]*\.[A-Z0-9_$+-]+$"
 
 def absent_name(bom: DataFrame, keys: list[str]) -> DataFrame:
     """keys, missing: R9999, or with as many more nines as it takes to be no part of the sheet."""
-    used = F.array_sort(F.collect_set(F.when(F.col("refdes").rlike("^R9{4,}$"), F.length("refdes") - 1)))
     free = F.array_min(F.array_except(F.sequence(F.lit(4), F.size("used") + 4), F.col("used")))
-    return bom.groupBy(*keys).agg(used.alias("used")).select(*keys, F.concat(F.lit("R"), F.repeat(F.lit("9"), free)).alias("missing"))
+    # Few rows are left of a sheet before sets are made, which are sorted where there are many sheets.
+    nines = bom.select(*keys, F.when(F.col("refdes").rlike("^R9{4,}$"), F.length("refdes") - 1).alias("n")).distinct()
+    return nines.groupBy(*keys).agg(F.collect_set("n").alias("used")).select(*keys, F.concat(F.lit("R"), F.repeat(F.lit("9"), free)).alias("missing"))
 
 
 def targets(bom: DataFrame, nets: DataFrame, keys: list[str], visible_only: bool = False) -> DataFrame:

@@ -33,7 +33,13 @@ def _bom(spark, d):
 
 
 def _nets(spark, d):
-    return _pads(spark, d, *SHEET, "net").groupBy(*SHEET, "net").agg(F.array_sort(F.collect_set("pad")).alias("pads"))
+    """Nets of a sheet and their pads, as in facts.py; numbers are dealt and grouped, and names are made of what is left."""
+    i = table(spark, d, "lineitem")
+    own = i.select((F.col("l_suppkey") % 20).alias("source"), F.col("l_linenumber").cast("long").alias("page"), "l_orderkey", "l_partkey")
+    k = dealt(own, i.count(), *SHEET, "l_orderkey").groupBy(*SHEET, "l_orderkey").agg(F.collect_set("l_partkey").alias("k"))
+    pads = F.array_sort(F.transform("k", lambda p: F.concat(F.lit("P"), p.cast("string"), F.lit("."), F.col("page").cast("string"))))
+    net = F.col("l_orderkey").cast("string")
+    return k.select(*SHEET, F.when(F.col("l_orderkey") % 10 == 0, F.concat(F.lit("N$"), net)).otherwise(net).alias("net"), pads.alias("pads"))
 
 
 def evidence_turns(spark, d):

@@ -1,5 +1,5 @@
 from quarryline.operators.selection import TASK_ROWS, dealt
-from quarryline.plans import facts
+from quarryline.plans import facts, lessons
 
 
 def test_parts_grow_with_the_table(spark):
@@ -10,3 +10,13 @@ def test_parts_grow_with_the_table(spark):
 def test_nets_across_pages_are_dealt_once(spark, sf_dir, capsys):
     facts.cross_page_nets(spark, sf_dir).explain()
     assert capsys.readouterr().out.count("Exchange") == 1
+
+
+def test_tasks_of_a_large_table_deal_to_parts_without_holding_their_rows(spark):
+    assert dealt(spark.range(10), 2000 * TASK_ROWS, "id").rdd.getNumPartitions() == 200  # spark.shuffle.sort.bypassMergeThreshold
+
+
+def test_nets_are_dealt_as_numbers(spark, sf_dir, capsys):
+    lessons._nets(spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "collect_set(l_partkey" in plan
