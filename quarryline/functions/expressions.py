@@ -16,9 +16,19 @@ ROLE_LINE = r"^[ \t]*(?:user|assistant|system)[ \t]*:?[ \t\r]*$"
 PYTHON_RE = "(?diuU)"
 
 
+#: Unicode's white space, and four separators that only Python's strip() takes, too.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
 def stripped(c: Column) -> Column:
     """Without white space at both ends, Unicode's included; trim() takes spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def python_stripped(c: Column) -> Column:
+    """As Python's strip() has it."""
+    return F.btrim(c, F.lit(WHITE + SEPARATORS))
 
 
 def final_answer(c: Column) -> Column:

@@ -77,7 +77,7 @@ def view_graded(answers: DataFrame) -> DataFrame:
     made = answers.withColumn("_calls", P.parsed_calls(F.col("output"))["calls"]).withColumn("_one", F.when(F.size(calls) == 1, F.element_at(calls, 1)))
     corners = lambda c: [F.get(c, i) for i in range(4)]
     found = F.col("_one.arguments")
-    fits = F.when(F.col("function") == "show_label", P.casefolded(found["label"]) == P.casefolded(F.col("label"))).when(
+    fits = F.when(F.col("function") == "show_label", P.same_label(found["label"], F.col("label"))).when(
         F.col("function") == "show_region", X.iou(corners(found["box"]), corners(F.col("box"))) >= F.col("min_iou")).otherwise(True)
     right = F.coalesce((F.col("_one.name") == F.col("function")) & fits, F.lit(False))
     return made.withColumn("score", right.cast("double")).drop("_calls", "_one")

@@ -150,17 +150,18 @@ def graded(answers: DataFrame) -> DataFrame:
     a word of its own. view_refuse: no call and a refusal. A malformed call counts as none and no reply.
     """
     form = "array<struct<arguments:struct<box:array<int>,label:string>,name:string>>"
-    own = answers.withColumn("_p", P.parsed_calls(X.final_answer(F.col("output"))))
+    own = answers.withColumn("_said", X.final_answer(F.col("output"))).withColumn("_p", P.parsed_calls(F.col("_said")))
     own = own.withColumns({"_calls": F.from_json("_p.calls", form), "_want": F.from_json("arguments", "box array<int>, label string")})
     own = own.withColumn("_one", F.when(F.size("_calls") == 1, F.get("_calls", 0)))
-    same = P.casefolded(F.col("_one.arguments.label")) == P.casefolded(F.col("_want.label"))
+    same = P.same_label(F.col("_one.arguments.label"), F.col("_want.label"))
     meets = X.iou(_corners(F.col("_one.arguments.box")), _corners(F.col("_want.box"))) >= F.coalesce("min_iou", F.lit(MIN_IOU))
     right = F.col("_one.name") == F.col("name")
     fits = F.when(F.col("name") == "show_label", same).when(F.col("name") == "show_region", meets).otherwise(F.lit(True))
-    text = F.when((F.size("_calls") == 0) & (F.length("_p.content") > 0), F.col("_p.content"))
+    own = own.withColumn("_text", F.when((F.size("_calls") == 0) & (F.length("_p.content") > 0), F.col("_p.content")))
+    text = F.col("_text")
     score = lambda name, c: F.struct(F.lit(name).alias("metric"), F.coalesce(c, F.lit(False)).cast("double").alias("score"))
     called = score("view.call_acc", right & fits)
     scores = F.when((F.col("type") == "view") & (F.col("name") == "show_region"), F.array(called, score("view.region_acc", right & meets))).when(
         F.col("type") == "view", F.array(called)).when(F.col("type") == "view_refuse", F.array(score("view.refuse_acc", X.refuses(text)))).when(
         F.col("type") == "view_reply", F.array(score("view.reply_acc", text.isNotNull() & (F.col("label").isNull() | X.names_label(text, F.col("label"))))))
-    return own.withColumn("scores", scores).drop("_p", "_calls", "_want", "_one")
+    return own.withColumn("scores", scores).drop("_said", "_p", "_calls", "_want", "_one", "_text")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.expressions import python_stripped as stripped
+
 MESSAGES = ("array<struct<role:string,content:array<struct<type:string,text:string,image:string>>,"
             "tool_calls:array<struct<id:string,name:string,arguments:string>>,tool_call_id:string,name:string>>")
 PLAIN = "array<struct<role:string,content:array<struct<type:string,text:string,image:string>>>>"
@@ -44,8 +46,6 @@ BEFORE, AFTER = "# Tools\n\nYou have access to the following functions:\n\n<tool
     "nested within <tool_call></tool_call> XML tags\n- Required parameters MUST be specified\n- You may provide optional reasoning for your function call in natural language "
     "BEFORE the function call, but NOT after\n- If there is no function call available, answer the question like normal with your current knowledge and do not tell the user "
     "about function calls\n</IMPORTANT>")
-#: White space that is cut from the ends of a text.
-_EDGE = r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$"
 
 
 def preamble(tools: tuple[str, ...]) -> str:
@@ -53,10 +53,6 @@ def preamble(tools: tuple[str, ...]) -> str:
     return BEFORE + "".join("\n" + TOOLS[t] for t in tools) + AFTER
 
 
-def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE, "")
-
-
 def parameters(name: Column, arguments: Column, tools: tuple[str, ...] = VIEWER) -> Column:
     """A call's parameters as <parameter=...> blocks, or null where the function is not offered or its
     arguments are not exactly what it takes. Nothing is clamped or converted: a box is four rising

@@ -66,14 +66,15 @@ def view_lessons(spark, d):
     reply = F.filter("messages", lambda m: m["role"] == "assistant")
     pairs = made.select(*SHEET, "messages", F.posexplode(F.arrays_zip(reply.alias("said"), F.col("gold").alias("gold"))).alias("k", "x"))
     graded = V.graded(pairs.select(*SHEET, X.digest(flat("messages")).alias("messages_sha256"), "k", F.get("x.said.content", 0)["text"].alias("output"), "x.gold.*"))
-    return graded.select(*SHEET, "messages_sha256", "k", F.inline("scores"))
+    return graded.select(*SHEET, "messages_sha256", "k", F.inline_outer("scores"))
 
 
 def view_replies(spark, d):
     """Whole texts of documents as replies: those of even doc_id have to name a label, the others to refuse."""
     t = table(spark, d, "documents").select("doc_id", F.col("text").alias("output"), F.when(F.col("doc_id") % 2 == 0, "view_reply").otherwise("view_refuse").alias("type"),
                                             F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit("the").alias("label"), F.lit(None).cast("double").alias("min_iou"))
-    return V.graded(t).select("doc_id", F.inline("scores"))
+    # All have a score. inline() would have all texts parsed and graded twice, the first time to filter those without one.
+    return V.graded(t).select("doc_id", F.inline_outer("scores"))
 
 
 def _candidates(spark, d):

@@ -114,3 +114,26 @@ def test_another_subject_is_no_part_of_the_table(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     assert got == sorted((*map(str, r),) for r in con.execute(facts.ORACLES["contextual_refusal"]).fetchall())
+
+
+def test_calls_are_parsed_of_what_begins_with_one(spark):
+    call = "<tool_call><function=show_label><parameter=label>R1</parameter></function></tool_call>"
+    texts = [None, "", " \x1fhi\u2003", f"\x85 See. {call}", call, call * 2, call * 5, "<tool_call>", "a</tool_call>", f"</tool_call>{call}", f"{call} x", f"é\U0001f600 {call}\n", "</tool_call>" * 2 + "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", P.parsed_calls(F.col("t")).alias("v"))
+    assert [tuple(r.v) for r in df.orderBy("k").collect()] == [P.tool_calls(t) for t in texts]
+    # Answers without a call are not in the batches for Python.
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN Contains" in plan.split("Project")[-1]
+
+
+def test_white_space_and_letter_case_as_python_has_them(spark):
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(chr(c),) for c in points if c < 0x3100], "c string")
+    cut = lambda f: {r.c for r in df.where(f(F.concat("c", F.lit("x"), "c")) == "x").collect()}
+    assert cut(X.python_stripped) == {chr(c) for c in points if chr(c).isspace()}
+    assert cut(X.stripped) == cut(lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    folds = {chr(c): chr(c).casefold() for c in points if c > 127 and chr(c).casefold().isascii()}
+    assert folds == P._FOLDS
+    pairs = [("Straße1", "STRASSE1"), ("\u212a1", "k1"), ("İ", "i"), ("Å", "a"), ("r1", "R1"), ("r1", "R2")]
+    got = spark.createDataFrame(pairs, "o string, l string").select(P.same_label(F.col("l"), F.col("o")).alias("s")).collect()
+    assert [r.s for r in got] == [a.casefold() == b.casefold() for a, b in pairs]

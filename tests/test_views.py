@@ -1,6 +1,7 @@
 import json
 import random
 
+from quarryline.plans import wire as wire_plans
 from quarryline.operators import views, wire
 
 PARTS = "page int, refdes string, value string, visible boolean, box array<int>"
@@ -84,3 +85,8 @@ def test_lessons_and_their_own_replies(spark):
     assert one(4, replies[4].replace("440", "400")) == {"view.call_acc": 1.0, "view.region_acc": 1.0} and one(4, replies[4].replace("440", "365")) == {"view.call_acc": 0.0, "view.region_acc": 0.0}
     assert one(1, "showing r1.") == {"view.reply_acc": 1.0} and one(1, "Showing R12.") == {"view.reply_acc": 0.0} and one(1, "$R1") == {"view.reply_acc": 0.0}
     assert one(7, replies[6]) == {"view.refuse_acc": 0.0}
+
+
+def test_replies_are_parsed_once(spark, sf_dir, capsys):
+    wire_plans.view_replies(spark, sf_dir).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
