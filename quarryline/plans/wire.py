@@ -77,8 +77,14 @@ def view_replies(spark, d):
     return V.graded(t).select("doc_id", F.inline_outer("scores"))
 
 
+#: Parts of the table whose messages are made in one task, and tasks at most.
+TASK_PARTS, TASKS = 2_000, 200
+
+
 def _candidates(spark, d):
-    made = _circuits(spark, d).withColumns({"design_id": F.concat(F.lit("d"), F.col("id").cast("string")), "family_id": F.col("value"), "title": F.concat(F.lit("board Ω "), F.col("id").cast("string")),
+    # A candidate's row is small and the messages made of it are not, so rows are dealt by their number; by their bytes all would go to one task.
+    tasks = min(table(spark, d, "part").count() // TASK_PARTS + 1, TASKS)
+    made = _circuits(spark, d).repartition(tasks, "id").withColumns({"design_id": F.concat(F.lit("d"), F.col("id").cast("string")), "family_id": F.col("value"), "title": F.concat(F.lit("board Ω "), F.col("id").cast("string")),
                                             "box": _box(F.col("id")), "image": F.concat(F.lit("images/"), F.col("id").cast("string"), F.lit(".png"))})
     part = F.concat(F.lit('{"refdes": "'), "refdes", F.lit('"}'))
     return made.withColumns({"evidence": F.concat(F.lit('{"bom": ['), part, F.lit("]}")), "part": part})

@@ -90,3 +90,9 @@ def test_lessons_and_their_own_replies(spark):
 def test_replies_are_parsed_once(spark, sf_dir, capsys):
     wire_plans.view_replies(spark, sf_dir).explain()
     assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
+def test_candidates_are_dealt_by_their_number(spark, tmp_path):
+    part = spark.range(5000).selectExpr("id as p_partkey", "int(id % 50 + 1) as p_size", "'Brand#1' as p_brand", "'TIN' as p_type")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    assert wire_plans._candidates(spark, str(tmp_path)).rdd.getNumPartitions() == 3
