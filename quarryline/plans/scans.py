@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import geometry as G
+from quarryline.operators.selection import dealt
 from quarryline.sources import pinned as P
 
 from .common import table
@@ -13,10 +15,15 @@ from .common import table
 def recorded_chains(spark, d):
     """Orders as conversations whose line items are turns, as a run recorded them. A discount of 0.1 is a failure, and what comes
     after the first one was blocked; by part some records are unsound, name another cause, or are missing."""
-    i = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max(F.round("l_discount", 2) >= 0.1).alias("fails"))
-    t = i.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id"), F.col("l_orderkey").alias("k"), (F.col("l_linenumber") - 1).alias("turn"), "p", "fails")
-    span = t.groupBy("id").agg((F.max("turn") + 1).alias("n_turns"), F.min(F.when(F.col("fails"), F.col("turn"))).alias("first"))
-    t = t.join(span, "id")
+    lines = table(spark, d, "lineitem")
+    # An order's lines are dealt once, and the window and the grouping by lines find them together.
+    i = dealt(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_discount"), lines.count(), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_partkey").alias("p"), F.max(F.round("l_discount", 2) >= 0.1).alias("fails"))
+    turn = F.col("l_linenumber") - 1
+    first = F.min(F.when(F.col("fails"), turn)).over(Window.partitionBy("l_orderkey"))
+    name = F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id")
+    t = i.select(name, turn.alias("turn"), "p", "fails", first.alias("first"))
+    span = lines.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n_turns")).select(name, "n_turns")
     key = F.concat("id", F.lit("#"), F.col("turn").cast("string"))
     blocked, failed = F.coalesce(F.col("turn") > F.col("first"), F.lit(False)), F.coalesce(F.col("turn") == F.col("first"), F.lit(False))
     odd = F.col("p") % 11
@@ -27,7 +34,7 @@ def recorded_chains(spark, d):
     records = t.where(odd != 5).select(
         key.alias("key"), F.when(done, F.when(odd == 3, " 10k").otherwise("10k")).otherwise("").alias("output"), F.when(done, "success").otherwise("failure").alias("status"),
         (~blocked).alias("attempted"), F.when(blocked, "dependency_failed").when(failed, "error").otherwise("stop").alias("finish_reason"), error.alias("error"))
-    return P.chain_faults(records, span.select("id", "n_turns"), generated=True)
+    return P.chain_faults(records, span, generated=True)
 
 
 def arc_bounds(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.expressions import final_answer, stripped
@@ -78,6 +78,9 @@ def training_rows(spark: SparkSession, path: str, expected: str | DataFrame | No
     return rows, used
 
 
+#: Places of a conversation's gold row and of keys that name no turn, before its turns.
+GOLD, NO_TURN = -1, -2
+
 RECORD = "key string, output string, status string, attempted boolean, finish_reason string, error struct<code:string,caused_by:string>"
 
 
@@ -94,25 +97,41 @@ def chain_faults(records: DataFrame, gold: DataFrame, generated: bool) -> DataFr
     form = F.when(F.col("key").isNull() | said.isNull() | F.col("attempted").isNull(), "no key, output or attempt").when(
         F.col("status") == "success", F.when(~F.coalesce(sound, F.lit(False)), "unsound success")).when(
         F.col("status") == "failure", F.when((said != "") | F.col("error").isNull(), "unsound failure")).otherwise("unknown status")
-    own = records.select("*", form.alias("_form"))
-    turns = gold.select("id", F.explode(F.sequence(F.lit(0), F.col("n_turns").cast("int") - 1)).alias("turn")).select(
-        F.concat("id", F.lit("#"), F.col("turn").cast("string")).alias("key"), "id", "turn")
-    met = turns.join(own, "key")
-    # The turn where a conversation broke is a minimum, taken before any shuffle of its turns.
-    broke = met.where("status = 'failure'").groupBy("id").agg(F.min("turn").alias("_first")).select("id", "_first")
-    met = met.join(broke, "id", "left")
-    cause = F.concat("id", F.lit("#"), F.col("_first").cast("string"))
-    behind = F.lit(generated) & F.coalesce(F.col("turn") > F.col("_first"), F.lit(False))
-    blocked = (F.col("status") == "failure") & ~F.col("attempted") & (F.col("finish_reason") == "dependency_failed") & (
-        F.col("error.code") == "dependency_failed") & (F.col("error.caused_by") == cause)
-    failed = F.col("attempted") & (F.col("finish_reason") == "error") & (F.col("error.code") == "generation_failed")
-    chain = F.when(behind & ~F.coalesce(blocked, F.lit(False)), "not blocked by its cause").when(
-        ~behind & (F.col("status") == "failure") & ~F.coalesce(failed, F.lit(False)), "unsound generation failure")
-    wrong = met.select("key", F.coalesce("_form", chain).alias("fault")).where("fault is not null")
-    repeated = own.groupBy("key").count().where("count > 1").select("key", F.lit("repeated key").alias("fault"))
-    missing = turns.join(own.select("key"), "key", "left_anti").select("key", F.lit("no record").alias("fault"))
-    extra = own.join(turns.select("key"), "key", "left_anti").select("key", F.lit("no such turn").alias("fault"))
-    return wrong.unionAll(repeated).unionAll(missing).unionAll(extra).distinct()
+    # A conversation's gold row stands before its records, which a window passes in order; a key that names no turn stands in front.
+    number = F.substring_index("key", "#", -1)
+    turn = F.when(F.contains("key", F.lit("#")) & number.rlike(r"^(0|[1-9][0-9]{0,9})\z"), F.expr("try_cast(substring_index(key, '#', -1) as int)"))
+    name = F.when(F.col("_turn") < 0, F.col("key")).otherwise(F.substr("key", F.lit(1), F.length("key") - F.length(F.substring_index("key", "#", -1)) - 1))
+    error, none = F.col("error"), F.lit(None)
+    blocked = (F.col("status") == "failure") & ~F.col("attempted") & (F.col("finish_reason") == "dependency_failed") & (error["code"] == "dependency_failed")
+    failed = F.col("attempted") & (F.col("finish_reason") == "error") & (error["code"] == "generation_failed")
+    # Of a failure's cause only its turn is kept, and of others nothing.
+    caused = F.substring_index(error["caused_by"], "#", -1)
+    own = records.withColumn("_turn", F.coalesce(turn, F.lit(NO_TURN))).withColumn("_id", name)
+    cause = F.when(F.coalesce(blocked & (error["caused_by"] == F.concat("_id", F.lit("#"), caused)), F.lit(False)), caused)
+    own = own.select("_id", "_turn", none.cast("int").alias("_n"), form.alias("_form"), F.coalesce(F.col("status") == "failure", F.lit(False)).alias("_fails"),
+                     F.coalesce(failed, F.lit(False)).alias("_failed"), cause.alias("_cause"))
+    head = gold.where("n_turns > 0").select(F.col("id").alias("_id"), F.lit(GOLD).alias("_turn"), F.col("n_turns").cast("int").alias("_n"), none.cast("string").alias("_form"),
+                                            F.lit(False).alias("_fails"), F.lit(False).alias("_failed"), none.cast("string").alias("_cause"))
+    order = Window.partitionBy("_id").orderBy("_turn")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = own.unionAll(head).withColumns({
+        "_n": F.max("_n").over(so_far), "_first": F.min(F.when(F.col("_fails") & (F.col("_turn") >= 0), F.col("_turn"))).over(so_far), "_before": F.lag("_turn").over(order), "_next": F.lead("_turn").over(order)})
+    is_turn = (F.col("_turn") >= 0) & F.coalesce(F.col("_turn") < F.col("_n"), F.lit(False))
+    behind = F.lit(generated) & F.coalesce(F.col("_turn") > F.col("_first"), F.lit(False))
+    chain = F.when(behind & ~F.coalesce(F.col("_cause") == F.col("_first").cast("string"), F.lit(False)), "not blocked by its cause").when(
+        ~behind & F.col("_fails") & ~F.col("_failed"), "unsound generation failure")
+    record = F.col("_turn") != GOLD
+    at = lambda turn, fault: F.struct(turn.alias("turn"), fault.alias("fault"))
+    said = F.array(
+        at(F.col("_turn"), F.when(is_turn, F.coalesce("_form", chain))), at(F.col("_turn"), F.when(record & (F.col("_turn") == F.col("_before")), "repeated key")),
+        at(F.col("_turn"), F.when(record & ~is_turn, "no such turn")))
+    # The turns between a row and the next one, or the conversation's end, have no record.
+    low, high = F.greatest(F.col("_turn") + 1, F.lit(0)), F.least(F.coalesce("_next", "_n"), F.col("_n")) - 1
+    gap = F.when((F.col("_turn") >= GOLD) & (low <= high), F.transform(F.sequence(low, high), lambda k: at(k, F.lit("no record"))))
+    faults = F.concat(F.filter(said, lambda x: x["fault"].isNotNull()), F.coalesce(gap, F.array().cast("array<struct<turn:int,fault:string>>")))
+    found = rows.select("_id", F.explode_outer(faults).alias("x")).where("x is not null")
+    key = F.when(F.col("x.turn") < 0, F.col("_id")).otherwise(F.concat("_id", F.lit("#"), F.col("x.turn").cast("string")))
+    return found.select(key.alias("key"), "x.fault", "_id").distinct().select("key", "fault")
 
 
 def benchmark_records(spark: SparkSession, path: str, gold: DataFrame, generated: bool, expected: str | None = None) -> DataFrame:

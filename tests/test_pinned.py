@@ -4,6 +4,7 @@ import json
 import pytest
 from test_images import png
 
+from quarryline.plans import scans
 from quarryline.sources import pinned as P
 
 
@@ -102,6 +103,20 @@ def test_recorded_chains(spark):
     assert ("a#1", "unsound failure") in run(good("a#0"), failed("a#1") | {"output": "x"}, blocked("a#2", "a#1"))
 
 
+def test_keys_that_name_no_turn(spark):
+    turns = [good("a#0"), good("a#1"), good("a#2"), good("b#0")]
+    odd = ["a", "a#01", "a#-1", "a#", "#", "", "a#x", "a#9999999999", "a#3", "c#0", "a#0#0"]
+    assert faults(spark, *turns, *map(failed, odd)) == {(k, "no such turn") for k in odd}
+    assert faults(spark, *turns, failed("a"), failed("a"), failed(None)) == {("a", "no such turn"), ("a", "repeated key"), (None, "no such turn")}
+    assert faults(spark) == {(k, "no record") for k in ("a#0", "a#1", "a#2", "b#0")}
+    assert faults(spark, good("a#1"), good("a#1"), good("a#7")) == {("a#0", "no record"), ("a#2", "no record"), ("b#0", "no record"), ("a#1", "repeated key"), ("a#7", "no such turn")}
+
+
+def test_records_are_dealt_once(spark, sf_dir, capsys):
+    scans.recorded_chains(spark, sf_dir).explain()
+    assert capsys.readouterr().out.count("Exchange") == 3  # line items, their orders, and records with gold rows
+
+
 def test_records_of_a_file(spark, tmp_path):
     path = tmp_path / "p.jsonl"
     gold = spark.createDataFrame([("b", 1)], "id string, n_turns int")
