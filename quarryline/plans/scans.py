@@ -16,8 +16,9 @@ def recorded_chains(spark, d):
     """Orders as conversations whose line items are turns, as a run recorded them. A discount of 0.1 is a failure, and what comes
     after the first one was blocked; by part some records are unsound, name another cause, or are missing."""
     lines = table(spark, d, "lineitem")
+    n = lines.count()
     # An order's lines are dealt once, and the window and the grouping by lines find them together.
-    i = dealt(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_discount"), lines.count(), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
+    i = dealt(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_discount"), n, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("p"), F.max(F.round("l_discount", 2) >= 0.1).alias("fails"))
     turn = F.col("l_linenumber") - 1
     first = F.min(F.when(F.col("fails"), turn)).over(Window.partitionBy("l_orderkey"))
@@ -34,7 +35,7 @@ def recorded_chains(spark, d):
     records = t.where(odd != 5).select(
         key.alias("key"), F.when(done, F.when(odd == 3, " 10k").otherwise("10k")).otherwise("").alias("output"), F.when(done, "success").otherwise("failure").alias("status"),
         (~blocked).alias("attempted"), F.when(blocked, "dependency_failed").when(failed, "error").otherwise("stop").alias("finish_reason"), error.alias("error"))
-    return P.chain_faults(records, span, generated=True)
+    return P.chain_faults(records, span, generated=True, n_rows=n)
 
 
 def arc_bounds(spark, d):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarryline.functions.expressions import final_answer, stripped
 from quarryline.functions.parsers import strict_json_error
 from quarryline.operators.durable import settled
-from quarryline.operators.selection import require_empty
+from quarryline.operators.selection import dealt, require_empty
 
 from . import images
 
@@ -84,9 +84,9 @@ GOLD, NO_TURN = -1, -2
 RECORD = "key string, output string, status string, attempted boolean, finish_reason string, error struct<code:string,caused_by:string>"
 
 
-def chain_faults(records: DataFrame, gold: DataFrame, generated: bool) -> DataFrame:
+def chain_faults(records: DataFrame, gold: DataFrame, generated: bool, n_rows: int | None = None) -> DataFrame:
     """key, fault of benchmark records (RECORD) held against gold rows (id, n_turns), as they were recorded: nothing is
-    filled in. A key is <id>#<turn>, from 0.
+    filled in. A key is <id>#<turn>, from 0. n_rows: about how many records there are, to deal them to as many parts.
 
     Each turn has one record and no other key has one. A success was attempted, is a complete answer (without reasoning or
     white space around it) and stopped; a failure says nothing and has an error. A turn that ran and failed says
@@ -114,7 +114,8 @@ def chain_faults(records: DataFrame, gold: DataFrame, generated: bool) -> DataFr
                                             F.lit(False).alias("_fails"), F.lit(False).alias("_failed"), none.cast("string").alias("_cause"))
     order = Window.partitionBy("_id").orderBy("_turn")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = own.unionAll(head).withColumns({
+    both = own.unionAll(head)
+    rows = (dealt(both, n_rows, "_id") if n_rows else both).withColumns({
         "_n": F.max("_n").over(so_far), "_first": F.min(F.when(F.col("_fails") & (F.col("_turn") >= 0), F.col("_turn"))).over(so_far), "_before": F.lag("_turn").over(order), "_next": F.lead("_turn").over(order)})
     is_turn = (F.col("_turn") >= 0) & F.coalesce(F.col("_turn") < F.col("_n"), F.lit(False))
     behind = F.lit(generated) & F.coalesce(F.col("_turn") > F.col("_first"), F.lit(False))
