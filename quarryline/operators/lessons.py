@@ -11,12 +11,21 @@ from .selection import first_of
 REFDES, PAD = r"^[A-Z][A-Z0-9_$-]*$", r"^[A-Z][A-Z0-9_$-]*\.[A-Z0-9_$+-]+$"
 
 
+def _nines() -> Column:
+    """How many nines a name has that is R and four nines or more; null for others."""
+    return F.when(F.col("refdes").rlike("^R9{4,}$"), F.length("refdes") - 1)
+
+
+def _absent(used: Column) -> Column:
+    """R9999, or with more nines where used has that number of nines."""
+    return F.concat(F.lit("R"), F.repeat(F.lit("9"), F.array_min(F.array_except(F.sequence(F.lit(4), F.size(used) + 4), used))))
+
+
 def absent_name(bom: DataFrame, keys: list[str]) -> DataFrame:
     """keys, missing: R9999, or with as many more nines as it takes to be no part of the sheet."""
-    free = F.array_min(F.array_except(F.sequence(F.lit(4), F.size("used") + 4), F.col("used")))
     # Few rows are left of a sheet before sets are made, which are sorted where there are many sheets.
-    nines = bom.select(*keys, F.when(F.col("refdes").rlike("^R9{4,}$"), F.length("refdes") - 1).alias("n")).distinct()
-    return nines.groupBy(*keys).agg(F.collect_set("n").alias("used")).select(*keys, F.concat(F.lit("R"), F.repeat(F.lit("9"), free)).alias("missing"))
+    nines = bom.select(*keys, _nines().alias("n")).distinct()
+    return nines.groupBy(*keys).agg(F.collect_set("n").alias("used")).select(*keys, _absent(F.col("used")).alias("missing"))
 
 
 def targets(bom: DataFrame, nets: DataFrame, keys: list[str], visible_only: bool = False) -> DataFrame:
@@ -28,15 +37,19 @@ def targets(bom: DataFrame, nets: DataFrame, keys: list[str], visible_only: bool
     ones come first, then those of fewest pads, then by name. Sheets with one such part or no such
     net have no row.
     """
-    fit = bom.where(F.coalesce(F.col("value") != "", F.lit(False)) & F.col("refdes").rlike(REFDES))
-    fit = fit.where("visible") if visible_only else fit
-    two = first_of(fit.select(*keys, "refdes", "value").distinct(), keys, [~F.col("refdes").startswith("R"), F.col("refdes")], 2)
+    fit = F.coalesce(F.col("value") != "", F.lit(False)) & F.col("refdes").rlike(REFDES)
+    fit = fit & F.col("visible") if visible_only else fit
+    # Parts to ask about (0) and names of nines (their number), so that one pass over bom finds both; two of each are enough.
+    kinds = F.array_compact(F.array(F.when(fit, F.lit(0)), _nines()))
+    few = first_of(bom.select(*keys, "refdes", "value", F.explode(kinds).alias("kind")).distinct(), [*keys, "kind"], [~F.col("refdes").startswith("R"), F.col("refdes")], 2)
     own = F.struct((~F.col("refdes").startswith("R")).alias("rank"), "refdes", "value")
-    two = two.groupBy(*keys).agg(F.array_sort(F.collect_list(own)).alias("x")).where("size(x) = 2").select(
-        *keys, *(F.col("x")[i][c].alias(n) for i, c, n in ((0, "refdes", "first"), (0, "value", "first_value"), (1, "refdes", "second"), (1, "value", "second_value"))))
+    sheets = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("kind") == 0, own))).alias("x"), F.collect_set(F.nullif("kind", F.lit(0))).alias("used"))
+    two = sheets.where("size(x) = 2").select(
+        *keys, *(F.col("x")[i][c].alias(n) for i, c, n in ((0, "refdes", "first"), (0, "value", "first_value"), (1, "refdes", "second"), (1, "value", "second_value"))),
+        _absent(F.col("used")).alias("missing"))
     sound = nets.where(F.size("pads").between(2, 8) & F.forall("pads", lambda p: p.rlike(PAD)))
     net = first_of(sound, keys, [F.col("net").startswith("N$"), F.size("pads"), F.col("net")]).select(*keys, "net", "pads")
-    return two.join(net, keys).join(absent_name(bom, keys), keys)
+    return two.join(net, keys)
 
 
 def _text(form: str) -> Column:
